@@ -7,9 +7,11 @@ bytes around a place, all those whose least-hashed ``digit`` bytes (their *ancho
 anchor is the digit by which the whole run is sorted first. Equal strings have equal anchors, so nothing is lost.
 
 Pass 1 sorts runs by anchor and drops anchors that occur once. Pass 2 sorts the rest by their whole run: equal runs are
-repeated throughout. Pass 3 takes the anchors whose runs differ (where copies begin, end or were edited) and sorts
-each distinct run's strings at full depth. A string is counted wherever it starts, in any document; matches never cross
-documents. Digits travel as 64-bit hashes under a 64-bit anchor, so equality is decided by 128 bits.
+repeated throughout. Pass 3 takes the anchors whose runs differ (where copies begin, end or were edited), cuts each
+distinct run into blocks of ``step`` strings and sorts these by their *core*, the bytes all of a block's strings share; a core
+that occurs once ends its block. Pass 4 sorts the rest by the bytes around the core, first whole blocks, then, where blocks
+differ, string by string at full depth. A string is counted wherever it starts, in any document; matches never
+cross documents. Anchors, runs and cores travel as 64-bit hashes, two of them to a key, so 128 bits decide; the bytes around a core travel as they are.
 
 Edge cases: a null or empty text, or one shorter than the threshold, has no repeats; repeated rows repeat each other;
 rows are told apart by id and text, so repeated or null ids are fine; an empty table gives an empty result; extra columns are ignored.
@@ -29,7 +31,8 @@ from .common import BUFFER_BYTES, groups_of, stored
 THRESHOLD = 200
 DIGIT = 40
 BASE = 0x9E3779B97F4A7C15
-RUN = "doc_id long, h int, start int, n int, anchor long, run long"
+STEP = 16
+RUN = "doc_id long, h int, start int, n int, lead int, anchor long, run long"
 
 
 @functools.lru_cache(maxsize=1)
@@ -45,10 +48,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, threshold: int = THRESHOLD, digit: int = DIGIT) -> tuple[np.ndarray, ...]:
-    """Of texts side by side in data: place, number of strings and anchor of each run. bounds: text k is [bounds[k], bounds[k + 1])."""
+    """Of texts side by side in data: place, number of strings, anchor's distance and anchor of each run. bounds: text k is [bounds[k], bounds[k + 1])."""
     n, w = len(data), threshold - digit + 1
     if n < threshold:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     up, down = _powers(max(BUFFER_BYTES * 2, 1 << (n - 1).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -70,7 +73,8 @@ def runs(data: np.ndarray, bounds: np.ndarray, threshold: int = THRESHOLD, digit
     at, length = edge[:-1], np.diff(edge)
     held = least[at] != none
     at, length = at[held], length[held]
-    return at, length, h[(least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    place = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at, length, place - at, h[place]
 
 
 def _runs_of(threshold: int, digit: int):
@@ -87,22 +91,25 @@ def _runs_of(threshold: int, digit: int):
                     hi = min(len(joined), lo + BUFFER_BYTES * 2 + threshold - 1)
                     part = np.frombuffer(joined, np.uint8)[lo:hi]
                     inner = bounds[(bounds > lo) & (bounds < hi)]
-                    at, n, anchor = runs(part, np.concatenate([[lo], inner, [hi]]) - lo, threshold, digit)
+                    at, n, lead, anchor = runs(part, np.concatenate([[lo], inner, [hi]]) - lo, threshold, digit)
                     at = at + lo
                     of = np.searchsorted(bounds, at, "right") - 1
                     view = memoryview(joined)
                     own = np.fromiter((h3(view[x:y]) for x, y in zip(at.tolist(), (at + n + threshold - 1).tolist(), strict=True)), np.uint64, len(at))
                     who = pa.array(of + a)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(who), batch.column(1).take(who), pa.array((at - bounds[of]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64))],
-                        ["doc_id", "h", "start", "n", "anchor", "run"],
+                        [batch.column(0).take(who), batch.column(1).take(who), pa.array((at - bounds[of]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64))],
+                        ["doc_id", "h", "start", "n", "lead", "anchor", "run"],
                     )
 
     return run
 
 
-def _strings_of(threshold: int):
-    """Pass 3: every string of the listed runs, hashed at full depth. weight: 2 where the run itself occurs again."""
+BLOCK = "doc_id long, h int, start int, n int, anchor long, place int, core long, left binary, right binary, weight int"
+
+
+def _blocks_of(threshold: int, step: int):
+    """Pass 3: the blocks of the listed runs, on a grid from the anchor. weight: 2 where the run itself occurs again."""
 
     def run(batches):
         import xxhash
@@ -110,21 +117,33 @@ def _strings_of(threshold: int):
 
         h3, unpack = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            lists = batch.column(3)
-            offsets, own = lists.offsets.to_numpy(), lists.flatten()
-            offsets = offsets - offsets[0]
-            start, n, anchor, weight = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            packed = batch.column(2).to_pylist()
-            for k in range(batch.num_rows):
-                view = memoryview(unpack(packed[k]))
-                a, b = offsets[k], offsets[k + 1]
-                at = np.concatenate([np.arange(s, s + m) for s, m in zip(start[a:b], n[a:b], strict=True)])
-                got = np.fromiter((h3(view[x : x + threshold]) for x in at.tolist()), np.uint64, len(at))
-                who = pa.array(np.full(len(at), k))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(who), batch.column(1).take(who), pa.array(at.astype(np.int32)), pa.array(np.repeat(anchor[a:b], n[a:b])), pa.array(got.view(np.int64)), pa.array(np.repeat(weight[a:b], n[a:b]))],
-                    ["doc_id", "h", "start", "anchor", "string", "weight"],
-                )
+            who, starts, counts, anchors, places, cores, lefts, rights, weights = ([] for _ in range(9))
+            for k, (packed, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                text = unpack(packed)
+                for r in own:
+                    start, first = r["start"], -r["lead"]
+                    last = first + r["n"] - 1
+                    for place in range(first // step, last // step + 1):
+                        a, b = max(first, place * step), min(last, place * step + step - 1)
+                        base, at = start + place * step - first, start + a - first
+                        who.append(k)
+                        starts.append(at)
+                        counts.append(b - a + 1)
+                        anchors.append(r["anchor"])
+                        places.append(place)
+                        cores.append(h3(text[base + step - 1 : base + threshold]))
+                        lefts.append(text[at : base + step - 1])
+                        rights.append(text[base + threshold : start + b - first + threshold])
+                        weights.append(r["weight"])
+                if len(who) > 50_000 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(who, pa.int64())), batch.column(1).take(pa.array(who, pa.int64())), pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array(anchors, pa.int64()),
+                            pa.array(places, pa.int32()), pa.array(np.array(cores, np.uint64).view(np.int64)), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), pa.array(weights, pa.int32()),
+                        ],
+                        ["doc_id", "h", "start", "n", "anchor", "place", "core", "left", "right", "weight"],
+                    )
+                    who, starts, counts, anchors, places, cores, lefts, rights, weights = ([] for _ in range(9))
 
     return run
 
@@ -151,27 +170,39 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
 
 
-def repeats(rows: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
+def repeats(rows: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, step: int = STEP) -> DataFrame:
     """rows as from keyed(). doc_id, h, spans (array<long>, start << 32 | end): what to remove, not yet merged."""
-    all_runs = stored(rows.mapInArrow(_runs_of(threshold, digit), RUN), "runs")
+    span = lambda start, n: F.shiftleft(start.cast("long"), 32).bitwiseOR((start + n + (threshold - 1)).cast("long")).alias("span")
+    all_runs = rows.mapInArrow(_runs_of(threshold, digit), RUN)
+    # Pass 1. The runs are made twice, which costs less than keeping those that turn out to be alone.
     anchors = all_runs.groupBy("anchor").agg(F.count("*").alias("total"), (F.min("run") != F.max("run")).alias("mixed")).where("total > 1").select("anchor", "mixed")
     tied = stored(all_runs.join(anchors, "anchor"), "tied")
-    span = lambda end: F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(end.cast("long"))
-    last = F.col("start") + F.col("n") + (threshold - 1)
-    # Runs under a mixed anchor, once each.
-    first = F.min(F.struct("doc_id", "h", "start", "n")).alias("r")
+    whole = tied.where("NOT mixed").select("doc_id", "h", span(F.col("start"), F.col("n")))
+    # Pass 2: runs under a mixed anchor, once each.
+    first = F.min(F.struct("doc_id", "h", "start", "n", "lead")).alias("r")
     differ = stored(tied.where("mixed").groupBy("anchor", "run").agg(F.count("*").alias("total"), first), "differ")
-    again = differ.where("total > 1").select("anchor", "run")
+    same = tied.where("mixed").join(differ.where("total > 1").select("anchor", "run"), ["anchor", "run"]).select("doc_id", "h", span(F.col("start"), F.col("n")))
+    # Pass 3.
     wanted = differ.select("r.*", "anchor", F.when(F.col("total") > 1, 2).otherwise(1).alias("weight"))
-    per_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "anchor", "weight")).alias("runs"))
+    per_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "lead", "anchor", "weight")).alias("runs"))
     texts = _packed(rows)
     held = texts.join(per_doc, _same(texts, per_doc)).select(texts["doc_id"], texts["h"], "packed", "runs")
-    strings = stored(held.mapInArrow(_strings_of(threshold), "doc_id long, h int, start int, anchor long, string long, weight int"), "strings")
-    twice = strings.groupBy("anchor", "string").agg(F.sum("weight").alias("total")).where("total > 1").select("anchor", "string")
-    edges = strings.where("weight = 1").join(twice, ["anchor", "string"]).select("doc_id", "h", span(F.col("start") + threshold).alias("span"))
-    whole = tied.where("NOT mixed").select("doc_id", "h", span(last).alias("span"))
-    same = tied.where("mixed").join(again, ["anchor", "run"]).select("doc_id", "h", span(last).alias("span"))
-    return whole.unionByName(same).unionByName(edges).groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))
+    blocks = held.mapInArrow(_blocks_of(threshold, step), BLOCK)
+    core, around = ["anchor", "place", "core"], ["left", "right"]
+    first = F.min(F.struct("doc_id", "h", "start", "n")).alias("r")
+    blocks = stored(blocks, "blocks")
+    cores = blocks.groupBy(*core).agg(F.sum("weight").alias("total")).where("total > 1").select(*core)
+    shared = stored(blocks.join(cores, core), "cores")
+    # Pass 4.
+    distinct = stored(shared.groupBy(*core, *around).agg(F.sum("weight").alias("total"), first), "distinct")
+    equal = shared.where("weight = 1").join(distinct.where("total > 1").select(*core, *around), core + around).select("doc_id", "h", span(F.col("start"), F.col("n")))
+    lead = F.lit(step - 1) - F.octet_length("left")  # of the block's first string
+    strings = distinct.withColumn("lead", lead).select(*core, "total", "r", "lead", "left", "right", F.explode(F.sequence(F.col("lead"), F.col("lead") + F.col("r.n") - 1)).alias("j"))
+    strings = strings.select(*core, "j", F.expr("concat(substring(left, j - lead + 1, octet_length(left)), substring(right, 1, j))").alias("rest"), "total", "r", (F.col("r.start") + F.col("j") - F.col("lead")).alias("start"))
+    key = [*core, "j", "rest"]
+    twice = strings.groupBy(*key).agg(F.sum("total").alias("all")).where("all > 1").select(*key)
+    edges = strings.where("total = 1").join(twice, key).select("r.doc_id", "r.h", span(F.col("start"), F.lit(1)))
+    return whole.unionByName(same).unionByName(equal).unionByName(edges).groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))
 
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
