@@ -48,13 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def groups_of(sizes, limit: int = BUFFER_BYTES):
-    """Slices [a, b) over consecutive items whose sizes sum to about limit; a single larger item stands alone."""
+def groups_of(column, limit: int = BUFFER_BYTES):
+    """Slices [a, b) over an Arrow column of texts that hold about limit bytes each; a single larger text stands alone."""
+    import pyarrow.compute as pc
+
     start, held = 0, 0
-    for k, n in enumerate(sizes):
+    for k, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
         if k > start and held + n > limit:
             yield start, k
             start, held = k, 0
         held += n
-    if start < len(sizes):
-        yield start, len(sizes)
+    if start < len(column):
+        yield start, len(column)

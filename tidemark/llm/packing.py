@@ -45,11 +45,12 @@ def pieces(docs: DataFrame, path: str, capacity: Capacity = Capacity(), end_id:
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in groups_of([len(t or "") for t in texts]):
+            ids = batch.column(0)
+            for a, b in groups_of(batch.column(1)):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
                 got: list[tuple] = []
                 who: list[int] = []
-                for k, x in enumerate(cache(path, False).encode([t or "" for t in texts[a:b]]), a):
+                for k, x in enumerate(cache(path, False).encode([t or "" for t in texts]), a):
                     x = np.append(x, np.uint32(end_id)).astype("<u4")
                     for p, at in enumerate(range(0, len(x), size)):
                         own = x[at : at + size].tobytes()

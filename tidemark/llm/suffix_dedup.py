@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUFFER_BYTES, groups_of, stored
+from .common import groups_of, stored
 
 THRESHOLD = 200
 DIGIT = 40
 BASE = 0x9E3779B97F4A7C15
 STEP = 16
+#: Texts are scanned through buffers of so many bytes; some ten arrays of 8 bytes a place are held for one.
+BUFFER_BYTES = 1 << 20
 RUN = "doc_id long, h int, start int, n int, lead int, anchor long, run long"
 
 
@@ -83,10 +85,10 @@ def _runs_of(threshold: int, digit: int):
 
         h3 = xxhash.xxh3_64_intdigest
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            for a, b in groups_of([len(t) for t in texts]):
-                joined = b"".join(texts[a:b])
-                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])])
+            for a, b in groups_of(batch.column(2), BUFFER_BYTES):
+                texts = [t or b"" for t in batch.column(2).slice(a, b - a).to_pylist()]
+                joined = b"".join(texts)
+                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
                 for lo in range(0, max(1, len(joined) - threshold + 1), BUFFER_BYTES * 2):  # a very long text: by parts whose strings don't overlap
                     hi = min(len(joined), lo + BUFFER_BYTES * 2 + threshold - 1)
                     part = np.frombuffer(joined, np.uint8)[lo:hi]
@@ -176,6 +178,7 @@ def repeats(rows: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, ste
     all_runs = rows.mapInArrow(_runs_of(threshold, digit), RUN)
     # Pass 1. The runs are made twice, which costs less than keeping those that turn out to be alone.
     anchors = all_runs.groupBy("anchor").agg(F.count("*").alias("total"), (F.min("run") != F.max("run")).alias("mixed")).where("total > 1").select("anchor", "mixed")
+    anchors = stored(anchors, "anchors")  # else the join keeps the aggregate's partitions, and a hot anchor's can't be split
     tied = stored(all_runs.join(anchors, "anchor"), "tied")
     whole = tied.where("NOT mixed").select("doc_id", "h", span(F.col("start"), F.col("n")))
     # Pass 2: runs under a mixed anchor, once each.
@@ -192,6 +195,7 @@ def repeats(rows: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, ste
     first = F.min(F.struct("doc_id", "h", "start", "n")).alias("r")
     blocks = stored(blocks, "blocks")
     cores = blocks.groupBy(*core).agg(F.sum("weight").alias("total")).where("total > 1").select(*core)
+    cores = stored(cores, "shared-cores")
     shared = stored(blocks.join(cores, core), "cores")
     # Pass 4.
     distinct = stored(shared.groupBy(*core, *around).agg(F.sum("weight").alias("total"), first), "distinct")
