@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import analysis, listing
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "analysis", "listing"]
