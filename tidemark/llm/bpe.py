@@ -106,8 +106,10 @@ def _spaces(text: str, at: int):
 def encode_udf(path: str):
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
-        own = [t or "" for t in texts]
-        return pd.Series([x.tobytes() for x in cache(path, True).encode(own)], dtype=object)
+        encode_, out = cache(path, True).encode, []
+        for a in range(0, len(texts), 500):
+            out += [x.tobytes() for x in encode_([t or "" for t in texts.iloc[a : a + 500]])]
+        return pd.Series(out, dtype=object)
 
     return run
 

@@ -15,6 +15,8 @@ import numpy as np
 #: Entries and pooled ids after which a worker's cache starts anew; this bounds its memory to some 250 MB.
 MAX_ENTRIES = 1_000_000
 MAX_POOL = 6_000_000
+#: Characters whose chunks are lists in memory at once.
+GROUP_CHARS = 1_000_000
 #: White space other than ASCII's, and separators on which regex engines disagree: texts with these go to the library whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　​⁠﻿]")
 SPACED = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
@@ -72,6 +74,15 @@ class ChunkCache:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library's encode(text, add_special_tokens=False) gives them."""
+        out, start, held = [], 0, 0
+        for k, t in enumerate(texts):
+            held += len(t)
+            if held > GROUP_CHARS or k == len(texts) - 1:
+                out += self._encode(texts[start : k + 1])
+                start, held = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > MAX_ENTRIES or self.used > MAX_POOL:
             self._reset()
         chunks, counts = [], np.zeros(len(texts), np.int64)
@@ -91,7 +102,7 @@ class ChunkCache:
         total = int(ends[-1]) if len(ends) else 0
         flat = self.pool[np.arange(total) + np.repeat(self.start[which] - (ends - sizes), sizes)]
         upto = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return np.split(flat, upto[:-1]) if len(texts) else []
+        return np.split(flat, upto[:-1])
 
 
 @functools.lru_cache(maxsize=4)
