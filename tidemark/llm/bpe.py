@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .token_cache import ODD_SPACE, byte_table, cache, decode_bytes, tokenizer
 
 PIECE_CHARS = 32_768
@@ -124,7 +125,7 @@ def decode_udf(path: str):
 
 def encode(docs: DataFrame, path: str, piece: int = PIECE_CHARS, leaf: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers, so that no array is copied value by value)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= piece).select("doc_id", encode_udf(path)("text").alias("ids"))
 
     def split(pdfs):

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 from .token_cache import cache
 
 #: The template's marks.
@@ -71,7 +71,7 @@ def ids_of(path: str | None, texts: list[str]) -> list[np.ndarray]:
 
 def chained(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Each turn with its depth, its prefix's name and its parent's: a running hash in one pass over sorted rows."""
-    rows = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded_batches(turns).select(F.col(id_col).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(pdfs):
         key, depth, digest = object(), 0, b""

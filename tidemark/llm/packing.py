@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, stored
+from .common import bounded_batches, groups_of, stored
 from .token_cache import cache
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, path: str, capacity: Capacity = Capacity(), end_id:
                     cols, names = [*cols, pa.array(own, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 
 

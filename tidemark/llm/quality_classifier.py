@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats
-from .common import stored
+from .common import bounded_batches, stored
 
 #: Transformed statistics, as SQL over textstats.FIELDS. Ratios are in logs of smoothed counts, so that they look normal.
 FEATURES: tuple[str, ...] = (
@@ -59,7 +59,7 @@ class Model:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), textstats.stats(F.col(text_col).cast("binary")).alias("m"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), textstats.stats(F.col(text_col).cast("binary")).alias("m"))
     return rows.select("doc_id", "m.*").select("doc_id", F.array(*[F.expr(f"CAST({x} AS DOUBLE)") for x in FEATURES]).alias("x"))
 
 
@@ -129,7 +129,7 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label_col: str = "quality", text_col: str = "text") -> DataFrame:
     """The rows of docs that score at least ``threshold``, all columns unchanged; scored in place, without a join."""
     m = textstats.stats(F.col(text_col).cast("binary")).alias("m")
-    some = docs.where(~held_out()).join(labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")), F.col("doc_id").cast("long") == F.col("__id"))
+    some = bounded_batches(docs).where(~held_out()).join(labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")), F.col("doc_id").cast("long") == F.col("__id"))
     x = F.array(*[F.expr(f"CAST({f} AS DOUBLE)") for f in FEATURES]).alias("x")
     model = fit(some.select(m, F.col("__y").alias("y")).select("m.*", "y").select(x, "y"))
     held = docs.select(F.struct("*").alias("row"), m).select("row", "m.*").select("row", x)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats
+from .common import bounded_batches
 
 #: name, and the SQL condition under which a document fails; the position in this list is the rule's bit.
 RULES: tuple[tuple[str, str], ...] = (
@@ -53,7 +54,7 @@ LENIENT = Policy("lenient", BASE, BIT["symbols"] | BIT["shouting"] | BIT["exclai
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, every measurement, ``failures`` (bit k set: rule k failed)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), textstats.stats(F.col(text_col).cast("binary")).alias("m"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), textstats.stats(F.col(text_col).cast("binary")).alias("m"))
     return rows.select("doc_id", "m.*").withColumn("failures", F.expr(BITS))
 
 
@@ -82,7 +83,7 @@ def ablations(rows: DataFrame, policies: tuple[Policy, ...] = (POLICY, LENIENT,
 
 def kept_documents(docs: DataFrame, policy: Policy = POLICY, text_col: str = "text") -> DataFrame:
     """The rows of docs that the policy keeps, all columns unchanged. Judged in place: no join, so no key is needed."""
-    held = docs.select(F.struct("*").alias("row"), textstats.stats(F.col(text_col).cast("binary")).alias("m"))
+    held = bounded_batches(docs).select(F.struct("*").alias("row"), textstats.stats(F.col(text_col).cast("binary")).alias("m"))
     found = held.select("row", "m.*").select("row", F.expr(BITS).alias("failures"))
     good = (F.col("failures").bitwiseAND(F.lit(BASE)) == 0) & ~policy.rejects(F.col("failures"))
     return found.where(good).select("row.*")

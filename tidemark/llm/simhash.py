@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .common import stored
+from .common import bounded_batches, stored
 
 SHINGLE = 4
 SEED = 42
@@ -141,7 +141,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
 
 def classes(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of at most ``max_bits`` differing bits."""
-    prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf(F.col(text_col).cast("binary")).alias("fp")), "fingerprints")
+    prints = stored(bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf(F.col(text_col).cast("binary")).alias("fp")), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     found = stored(links(nodes.select("fp"), max_bits), "links")
     labels = components(found)  # node, label: for fingerprints with links

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, stored
+from .common import bounded_batches, groups_of, stored
 
 THRESHOLD = 200
 DIGIT = 40
@@ -165,7 +165,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.col(text_col).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("h"), text.alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("h"), text.alias("text"))
 
 
 def _same(a: DataFrame, b: DataFrame):

@@ -12,9 +12,11 @@ import re
 
 import numpy as np
 
-#: Entries and pooled ids after which a worker's cache starts anew; this bounds its memory to some 250 MB.
+#: Entries after which a worker's cache starts anew; this bounds its memory to some 250 MB. Byte-level chunks are encoded and decoded by two workers a task, so they get a little less.
 MAX_ENTRIES = 1_000_000
-MAX_POOL = 6_000_000
+MAX_ENTRIES_SHARED = 900_000
+#: Pooled ids for each entry, at most.
+POOLED = 6
 #: Characters whose chunks are lists in memory at once.
 GROUP_CHARS = 1_000_000
 #: White space other than ASCII's, and separators on which regex engines disagree: texts with these go to the library whole.
@@ -36,9 +38,9 @@ def tokenizer(path: str):
 
 
 class ChunkCache:
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, most: int = MAX_ENTRIES):
         """keeps_space: white space is part of the tokens (byte-level); else the tokenizer drops it."""
-        self.lib, self.keeps_space = tokenizer(path), keeps_space
+        self.lib, self.keeps_space, self.most = tokenizer(path), keeps_space, most
         self.mark, self.mark_id = next((t.content, i) for i, t in self.lib.get_added_tokens_decoder().items() if t.content == "<|endoftext|>")
         self._reset()
 
@@ -83,7 +85,7 @@ class ChunkCache:
         return out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > MAX_ENTRIES or self.used > MAX_POOL:
+        if len(self.index) > self.most or self.used > POOLED * self.most:
             self._reset()
         chunks, counts = [], np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
@@ -107,7 +109,7 @@ class ChunkCache:
 
 @functools.lru_cache(maxsize=4)
 def cache(path: str, keeps_space: bool) -> ChunkCache:
-    return ChunkCache(path, keeps_space)
+    return ChunkCache(path, keeps_space, MAX_ENTRIES_SHARED if keeps_space else MAX_ENTRIES)
 
 
 @functools.lru_cache(maxsize=2)

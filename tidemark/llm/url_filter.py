@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules, textstats
-from .common import stored
+from .common import bounded_batches, stored
 
 #: Rules up to so many are sent to every task; more are joined like any table.
 BROADCAST_RULES = 10_000
@@ -63,7 +63,7 @@ def outcomes(pages: DataFrame) -> DataFrame:
     """host, bad: pages labelled by whether what they show passes the quality rules."""
     shown = F.regexp_replace(F.regexp_replace(F.col("html"), "(?s)<(script|style|title)\\b.*?</\\1>|<!--.*?-->", " "), "<[^>]*>|&[a-z]+;", " ")
     m = textstats.stats(shown.cast("binary")).alias("m")
-    rows = pages.where(F.col("html").isNotNull()).select(parts(F.col("url"))[0].alias("host"), m).select("host", "m.*").select("host", F.expr(quality_rules.BITS).alias("failures"))
+    rows = bounded_batches(pages).where(F.col("html").isNotNull()).select(parts(F.col("url"))[0].alias("host"), m).select("host", "m.*").select("host", F.expr(quality_rules.BITS).alias("failures"))
     return rows.select("host", (quality_rules.POLICY.rejects(F.col("failures"))).cast("int").alias("bad"))
 
 

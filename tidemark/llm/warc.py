@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 16 << 20
 LEVEL = 4
@@ -84,7 +86,7 @@ def write(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes
     """Writes archives under uri and the manifest to uri/manifest; returns the manifest as read back."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
+    rows = bounded_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     narrow = rows.select("page_id", "url", "sha1", "size")
     shard, n_shards = _shard_column(narrow, shard_bytes)
