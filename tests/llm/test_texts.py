@@ -85,6 +85,8 @@ def test_tree_concatenation_is_exact(spark):
     for r in bpe.decode(bpe.encode(df, path, piece=160, leaf=37), path).collect():
         assert np.frombuffer(r["ids"], "<u4").tolist() == lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["decoded"] == texts[r["doc_id"]]
+    both = {r["doc_id"]: (bytes(r["ids"]), r["decoded"]) for r in bpe.encode(df, path, piece=160, leaf=37, decoded=True).collect()}
+    assert both == {r["doc_id"]: (bytes(r["ids"]), r["decoded"]) for r in bpe.decode(bpe.encode(df, path), path).collect()}
     assert any(tied for t in texts for _, tied in bpe.cuts(path, t, 160, 37))
 
 

@@ -123,10 +123,27 @@ def decode_udf(path: str):
     return run
 
 
-def encode(docs: DataFrame, path: str, piece: int = PIECE_CHARS, leaf: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit integers, so that no array is copied value by value)."""
+def both_udf(path: str):
+    """ids and what they decode to, in one worker: a second one would hold a cache of its own."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        encode_, ids = cache(path, True).encode, []
+        for a in range(0, len(texts), 500):
+            ids += encode_([t or "" for t in texts.iloc[a : a + 500]])
+        return pd.DataFrame({"ids": [x.tobytes() for x in ids], "decoded": [decode_bytes(path, x).decode() for x in ids]}, dtype=object)
+
+    return run
+
+
+def encode(docs: DataFrame, path: str, piece: int = PIECE_CHARS, leaf: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit integers, so that no array is copied value by value), on demand decoded."""
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= piece).select("doc_id", encode_udf(path)("text").alias("ids"))
+    short = rows.where(F.length("text") <= piece)
+    if decoded:
+        short = short.select("doc_id", both_udf(path)("text").alias("b")).select("doc_id", "b.ids", "b.decoded")
+    else:
+        short = short.select("doc_id", encode_udf(path)("text").alias("ids"))
 
     def split(pdfs):
         for pdf in pdfs:
@@ -144,7 +161,8 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE_CHARS, leaf: int = LEA
 
         def row():
             flush()
-            out = pd.DataFrame({"doc_id": pd.array([doc_id], "Int64"), "ids": [np.concatenate(done).tobytes() if done else b""]})
+            whole = np.concatenate(done) if done else np.zeros(0, np.uint32)
+            out = pd.DataFrame({"doc_id": pd.array([doc_id], "Int64"), "ids": [whole.tobytes()]} | ({"decoded": [decode_bytes(path, whole).decode()]} if decoded else {}))
             done.clear()
             return out
 
@@ -162,7 +180,7 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE_CHARS, leaf: int = LEA
     long = rows.where(F.length("text") > piece).withColumn("key", F.monotonically_increasing_id())  # the scan is the same on a retry
     parts = long.mapInPandas(split, "key long, doc_id long, seq int, text string, tied boolean")
     spread = parts.repartition("key", "seq").select("key", "doc_id", "seq", "tied", encode_udf(path)("text").alias("ids"))
-    whole = spread.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(gather, "doc_id long, ids binary")
+    whole = spread.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(gather, "doc_id long, ids binary" + ", decoded string" * decoded)
     return short.unionByName(whole)
 
 

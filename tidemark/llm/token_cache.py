@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-#: Entries after which a worker's cache starts anew; this bounds its memory to some 250 MB. Byte-level chunks are encoded and decoded by two workers a task, so they get a little less.
+#: Entries after which a worker's cache starts anew; this bounds its memory to some 250 MB. Byte-level chunks get a little less, as their results are larger.
 MAX_ENTRIES = 1_000_000
 MAX_ENTRIES_SHARED = 900_000
 #: Pooled ids for each entry, at most.
