@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-IN_ORDER = Window.partitionBy("entity_id").orderBy("snapshot_ts", "pos")
 TRANSIENT = (0, 10)
 
 
+def in_order():
+    return Window.partitionBy("entity_id").orderBy("snapshot_ts", "pos")
+
+
 def transitions(snapshots: DataFrame) -> DataFrame:
     """Rows whose status differs from the row's before."""
-    before = F.lag("status").over(IN_ORDER)
+    before = F.lag("status").over(in_order())
     return snapshots.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col("status"))).drop("_b")
 
 
 def removals(snapshots: DataFrame, few: int = 5, seconds: int = 10, many: int = 10) -> DataFrame:
     """Of each entity, the first absent row that ends a run of ``few`` over ``seconds`` or more, or of ``many``; a present row ends a run."""
-    run = F.sum(F.col("present").cast("int")).over(IN_ORDER)
+    run = F.sum(F.col("present").cast("int")).over(in_order())
     rows = snapshots.withColumn("_run", run).where("NOT present")
     w = Window.partitionBy("entity_id", "_run").orderBy("snapshot_ts", "pos")
     rows = rows.withColumn("n_absent", F.row_number().over(w).cast("long")).withColumn("_since", F.unix_micros(F.col("snapshot_ts").cast("timestamp")) - F.unix_micros(F.first("snapshot_ts").over(w).cast("timestamp")))
