@@ -1,5 +1,6 @@
 """Operators 1, 2, 3, 5, 7 and 9 against plain models, on the smallest tables and on edge cases."""
 
+import itertools
 import random
 
 import numpy as np
@@ -48,9 +49,8 @@ def test_ledger_policies_and_ablations(spark):
     rows = quality_rules.ledger(spark.read.parquet(f"{SF}/documents.parquet"))
     found = {(r["policy"], r["rule"]): r for r in quality_rules.ablations(rows).collect()}
     masks = [r["failures"] for r in rows.collect()]
-    policy = quality_rules.POLICY
-    for name, bit in quality_rules.BIT.items():
-        r = found["v1", name]
+    for policy, (name, bit) in itertools.product((quality_rules.POLICY, quality_rules.STRICT, quality_rules.LENIENT), quality_rules.BIT.items()):
+        r = found[policy.version, name]
         rejects = lambda m: bool(m & policy.hard) or (m & policy.soft).bit_count() > policy.allowed
         assert r["n_failed"] == sum(bool(m & bit) for m in masks)
         assert r["n_rejected"] == sum(map(rejects, masks))
@@ -172,6 +172,17 @@ def test_op7_edges(spark):
     assert {r["score"] for r in quality_classifier.scored(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_is_fitted_before_the_rules_filter(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    bad = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    assert quality_classifier.kept_documents(bad, labels).count() == bad.count()  # one class alone can't be fitted on
+    assert quality_classifier.kept_documents(bad, labels, docs).count() < 0.1 * bad.count()
+    kept = quality_classifier.kept_documents(good, labels, docs)
+    assert kept.columns == docs.columns and kept.count() > 0.95 * good.count()
+
+
 @pytest.mark.parametrize("which", ["edge", "sf"])
 def test_op9(spark, monkeypatch, which):
     df, rows = docs_and_rows(spark, which)

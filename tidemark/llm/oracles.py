@@ -21,7 +21,7 @@ m AS (
 f AS (SELECT *, {BITS} AS failures FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  (failures & {POLICY.hard | POLICY.soft}) = 0 AS kept, CAST(failures AS BIGINT) AS failures
+  (failures & {POLICY.hard}) = 0 AND bit_count(failures & {POLICY.soft}) <= {POLICY.allowed} AS kept, CAST(failures AS BIGINT) AS failures
 FROM f
 """
 

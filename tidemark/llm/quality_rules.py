@@ -48,7 +48,9 @@ class Policy:
 
 BASE = BIT["few_words"] | BIT["repeated_windows"]
 BASE_POLICY = Policy("base", BASE)
-POLICY = Policy("v1", BASE | BIT["symbols"] | BIT["shouting"] | BIT["exclaiming"] | BIT["duplicate_lines"] | BIT["stuttering"], BIT["word_length"], 0)
+STRICT = Policy("v1", BASE | BIT["symbols"] | BIT["shouting"] | BIT["exclaiming"] | BIT["duplicate_lines"] | BIT["stuttering"], BIT["word_length"], 0)
+#: Ablation of v1 against labels: no document that ``duplicate_lines`` alone rejects is labelled bad, so v2 only records that bit.
+POLICY = Policy("v2", STRICT.hard & ~BIT["duplicate_lines"] | BIT["word_length"])
 LENIENT = Policy("lenient", BASE, BIT["symbols"] | BIT["shouting"] | BIT["exclaiming"] | BIT["duplicate_lines"] | BIT["stuttering"], 1)
 
 
@@ -64,7 +66,7 @@ def judged(rows: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return rows.withColumn("base_failed", base).withColumn("kept", ~base & ~policy.rejects(F.col("failures")))
 
 
-def ablations(rows: DataFrame, policies: tuple[Policy, ...] = (POLICY, LENIENT, BASE_POLICY)) -> DataFrame:
+def ablations(rows: DataFrame, policies: tuple[Policy, ...] = (POLICY, STRICT, LENIENT, BASE_POLICY)) -> DataFrame:
     """Per policy and rule: how many documents the rule fails, the policy rejects, and only this rule makes it reject.
 
     Documents collapse to at most 2^rules distinct failure masks before anything else, so this reads the ledger once.
