@@ -126,10 +126,15 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label_col: str = "quality", text_col: str = "text") -> DataFrame:
-    """The rows of docs that score at least ``threshold``, all columns unchanged; scored in place, without a join."""
+def kept_documents(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, threshold: float = 0.5, label_col: str = "quality", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score at least ``threshold``, all columns unchanged; scored in place, without a join.
+
+    Fitted on the labelled rows of ``train`` that aren't held out, or of docs: where an earlier filter has already
+    taken one class away, what is left can't be fitted on, so the documents before that filter should be given.
+    """
     m = textstats.stats(F.col(text_col).cast("binary")).alias("m")
-    some = bounded_batches(docs).where(~held_out()).join(labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")), F.col("doc_id").cast("long") == F.col("__id"))
+    some = bounded_batches(docs if train is None else train).where(~held_out()).select(F.col("doc_id").cast("long").alias("__id"), F.col(text_col).alias(text_col))
+    some = some.join(labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__y").isin(0, 1)), "__id")
     x = F.array(*[F.expr(f"CAST({f} AS DOUBLE)") for f in FEATURES]).alias("x")
     model = fit(some.select(m, F.col("__y").alias("y")).select("m.*", "y").select(x, "y"))
     held = docs.select(F.struct("*").alias("row"), m).select("row", "m.*").select("row", x)
