@@ -18,8 +18,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on labelled ones among docs, scores under one half go."""
-    return quality_classifier.kept_documents(docs, table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier scores under one half go.
+
+    It is fitted on the labelled documents of the whole table: the rules leave next to none of class 0 among docs.
+    """
+    return quality_classifier.kept_documents(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
