@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +47,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of rows that go to a Python worker at once. Texts are long, and a batch is held several times: in the JVM, in Arrow, as objects, as results.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -75,3 +76,14 @@ def groups_of(column, limit: int = BUFFER_BYTES):
         held += n
     if start < len(column):
         yield start, len(column)
+
+
+#: Functions that empty caches of a Python worker, by the operator whose caches they are.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def working(owner: str) -> None:
+    """Called by an operator's code in a Python worker, which serves many operators in turn: what others have cached there goes."""
+    for name, clear in CACHES.items():
+        if name != owner:
+            clear()

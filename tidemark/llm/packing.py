@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, groups_of, stored
+from .common import bounded_batches, groups_of, stored, working
 from .token_cache import cache
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,6 +44,7 @@ def pieces(docs: DataFrame, path: str, capacity: Capacity = Capacity(), end_id:
     size = capacity.tokens
 
     def run(batches):
+        working("tokens")
         for batch in batches:
             ids = batch.column(0)
             for a, b in groups_of(batch.column(1)):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .common import bounded_batches, stored
+from .common import bounded_batches, stored, working
 
 SHINGLE = 4
 SEED = 42
@@ -55,6 +55,7 @@ def fingerprint(text: bytes | None, words_per: int = SHINGLE) -> int:
 @F.pandas_udf(T.LongType())
 def fingerprint_udf(texts: pd.Series) -> pd.Series:
     """Of texts given as binary; the 64 bits as a signed long."""
+    working("simhash")
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64))
 
 

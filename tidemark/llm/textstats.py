@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import working
+
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -75,4 +77,5 @@ SCHEMA = T.StructType([T.StructField(f, T.LongType()) for f in FIELDS])
 @F.pandas_udf(SCHEMA)
 def stats(texts: pd.Series) -> pd.DataFrame:
     """A struct of FIELDS for each text, given as binary."""
+    working("textstats")
     return pd.DataFrame(np.array([measure(t) for t in texts], np.int64).reshape(-1, len(FIELDS)), columns=list(FIELDS))

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .common import CACHES
+
 #: Entries after which a worker's cache starts anew; this bounds its memory to some 250 MB. Byte-level chunks get a little less, as their results are larger.
 MAX_ENTRIES = 1_000_000
 MAX_ENTRIES_SHARED = 900_000
@@ -134,3 +136,12 @@ def decode_bytes(path: str, ids: np.ndarray) -> bytes:
     ends = np.cumsum(n)
     flat = data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[ids] - (ends - n), n)].tobytes()
     return flat.decode("utf-8", "replace").encode()
+
+
+def _clear() -> None:
+    cache.cache_clear()
+    byte_table.cache_clear()
+    tokenizer.cache_clear()
+
+
+CACHES["tokens"] = _clear
