@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, groups_of, stored
+from .common import CACHES, bounded_batches, groups_of, stored, working
 
 THRESHOLD = 200
 DIGIT = 40
 BASE = 0x9E3779B97F4A7C15
 STEP = 16
 #: Texts are scanned through buffers of so many bytes; some ten arrays of 8 bytes a place are held for one.
-BUFFER_BYTES = 1 << 20
+BUFFER_BYTES = 1 << 18
 RUN = "doc_id long, h int, start int, n int, lead int, anchor long, run long"
 
 
@@ -49,6 +49,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+CACHES["suffix_dedup"] = _powers.cache_clear
+
+
 def runs(data: np.ndarray, bounds: np.ndarray, threshold: int = THRESHOLD, digit: int = DIGIT) -> tuple[np.ndarray, ...]:
     """Of texts side by side in data: place, number of strings, anchor's distance and anchor of each run. bounds: text k is [bounds[k], bounds[k + 1])."""
     n, w = len(data), threshold - digit + 1
@@ -83,6 +86,7 @@ def _runs_of(threshold: int, digit: int):
     def run(batches):
         import xxhash
 
+        working("suffix_dedup")
         h3 = xxhash.xxh3_64_intdigest
         for batch in batches:
             for a, b in groups_of(batch.column(2), BUFFER_BYTES):
@@ -120,24 +124,24 @@ def _blocks_of(threshold: int, step: int):
         h3, unpack = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             who, starts, counts, anchors, places, cores, lefts, rights, weights = ([] for _ in range(9))
-            for k, (packed, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                text = unpack(packed)
-                for r in own:
-                    start, first = r["start"], -r["lead"]
-                    last = first + r["n"] - 1
+            for k in range(batch.num_rows):  # a document's runs at a time: a batch's are a million objects
+                text = unpack(batch.column(2)[k].as_py())
+                for start, n, lead, anchor, weight in zip(*(x.to_pylist() for x in batch.column(3)[k].values.flatten()), strict=True):
+                    first = -lead
+                    last = first + n - 1
                     for place in range(first // step, last // step + 1):
                         a, b = max(first, place * step), min(last, place * step + step - 1)
                         base, at = start + place * step - first, start + a - first
                         who.append(k)
                         starts.append(at)
                         counts.append(b - a + 1)
-                        anchors.append(r["anchor"])
+                        anchors.append(anchor)
                         places.append(place)
                         cores.append(h3(text[base + step - 1 : base + threshold]))
                         lefts.append(text[at : base + step - 1])
                         rights.append(text[base + threshold : start + b - first + threshold])
-                        weights.append(r["weight"])
-                if len(who) > 50_000 or k == batch.num_rows - 1:
+                        weights.append(weight)
+                if len(who) > 20_000 or k == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(who, pa.int64())), batch.column(1).take(pa.array(who, pa.int64())), pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array(anchors, pa.int64()),
