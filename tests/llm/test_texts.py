@@ -172,6 +172,32 @@ def test_op7_edges(spark):
     assert {r["score"] for r in quality_classifier.scored(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_score_is_the_difference_of_log_densities(spark):
+    sf = "/root/testdata/sf0.001"
+    feats = quality_classifier.features(spark.read.parquet(f"{sf}/documents.parquet"))
+    model = quality_classifier.fit(quality_classifier.labelled(feats, spark.read.parquet(f"{sf}/labels.parquet")))
+    rows = feats.select("x", quality_classifier.score_column(model).alias("score")).toPandas()
+    x, log = np.stack(rows["x"].to_numpy()), []
+    for k in range(2):
+        low = np.linalg.inv(model.factor[k])
+        d = x - model.mean[k]
+        log.append(model.prior[k] - 0.5 * np.linalg.slogdet(low @ low.T)[1] - 0.5 * (d * np.linalg.solve(low @ low.T, d.T).T).sum(1))
+    assert np.allclose(rows["score"], 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700))), atol=1e-6)
+
+
+def test_a_worker_keeps_only_the_caches_at_work():
+    import public_tokenizers
+
+    from tidemark.llm import common
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    held = token_cache.cache(path, False)
+    common.working("tokens")
+    assert token_cache.cache(path, False) is held
+    common.working("textstats")
+    assert token_cache.cache(path, False) is not held
+
+
 def test_classifier_is_fitted_before_the_rules_filter(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

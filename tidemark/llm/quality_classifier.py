@@ -50,13 +50,6 @@ class Model:
     factor: np.ndarray
     half_logdet: np.ndarray
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        log = []
-        for k in range(2):
-            z = (x - self.mean[k]) @ self.factor[k].T
-            log.append(self.prior[k] - self.half_logdet[k] - 0.5 * (z * z).sum(1))
-        return 1.0 / (1.0 + np.exp(np.clip(log[0] - log[1], -700, 700)))
-
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), textstats.stats(F.col(text_col).cast("binary")).alias("m"))
@@ -103,14 +96,20 @@ def fit(rows: DataFrame, shrink: float = 0.1, diagonal: float = 0.1, floor: floa
     return Model(np.log(n / n.sum()), mean, np.stack([f for f, _ in out]), np.array([h for _, h in out]))
 
 
-def score_udf(model: Model | None):
-    @F.pandas_udf("double")
-    def run(xs: pd.Series) -> pd.Series:
-        if model is None or not len(xs):
-            return pd.Series(np.full(len(xs), 0.5))
-        return pd.Series(model.score(np.stack(xs.to_numpy())))
+def score_column(model: Model | None, x: str = "x"):
+    """The score of a vector column, as SQL: one pass over the texts in Python is enough."""
+    if model is None:
+        return F.lit(0.5)
+
+    def log_density(k: int, v):
+        rows = [F.struct(F.array(*map(F.lit, row)).alias("row"), F.lit(-shift).alias("shift")) for row, shift in zip(model.factor[k].tolist(), (model.factor[k] @ model.mean[k]).tolist(), strict=True)]
+        z = F.transform(F.array(*rows), lambda r: F.aggregate(F.zip_with(r["row"], v, lambda a, b: a * b), r["shift"], lambda s, y: s + y))
+        return F.lit(float(model.prior[k] - model.half_logdet[k])) - 0.5 * F.aggregate(z, F.lit(0.0), lambda s, y: s + y * y)
+
+    def score(v):
+        return 1.0 / (1.0 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), log_density(0, v) - log_density(1, v)))))
 
-    return run
+    return F.transform(F.array(F.col(x)), score)[0]  # the vector as a variable, so that it is computed once however the plan is collapsed
 
 
 def labelled(feats: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
@@ -122,7 +121,7 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
     """doc_id, held_out, score, predicted for every row of docs."""
     feats = stored(features(docs, id_col, text_col), "features")  # read twice: to fit, then to score
     model = fit(labelled(feats, labels, label_col))
-    out = feats.select("doc_id", held_out().alias("held_out"), score_udf(model)("x").alias("score"))
+    out = feats.select("doc_id", held_out().alias("held_out"), score_column(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -138,4 +137,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, train: DataFrame | None =
     x = F.array(*[F.expr(f"CAST({f} AS DOUBLE)") for f in FEATURES]).alias("x")
     model = fit(some.select(m, F.col("__y").alias("y")).select("m.*", "y").select(x, "y"))
     held = docs.select(F.struct("*").alias("row"), m).select("row", "m.*").select("row", x)
-    return held.where(score_udf(model)("x") >= threshold).select("row.*")
+    return held.where(score_column(model) >= threshold).select("row.*")
