@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analysis, listing
+from .plans import analysis, listing, scalars
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "listing"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "listing", "scalars"]
