@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import chat_format, queries, url_filter, vector_search, warc
+from tidemark.llm import chat_format, queries, simhash, url_filter, vector_search, warc
 from tidemark.llm.common import shared_path
 
 SF = "/root/testdata/sf0.001"
@@ -216,3 +216,19 @@ def test_pipeline(spark):
         if name != "best_fit_packing":
             assert docs.columns == names
     assert sizes[0] >= sizes[1] >= sizes[2] == sizes[3] <= sizes[4]
+
+
+def test_near_dedup_keeps_one_row_of_every_component(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 9) for _ in range(60)) for _ in range(12)] + [None]
+    ids = [None] * 5 + [7] * 4 + [8, 9, 10, None]
+    rows = [(i, t, "en", "x", 1) for i, t in zip(ids, texts, strict=True)]
+    rows += [(None, texts[9], "en", "x", 1), (3, texts[10], "de", "x", 1), (None, texts[0], "en", "x", 1), (7, texts[5], "fr", "x", None)] + [rows[5]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns
+    want = [(i, t) for i, t in zip([*ids[:10], 3, *ids[11:]], texts, strict=True)]  # of equal texts: the smallest id, a null one only where there is no other
+    found = got.collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == sorted(want, key=str)
+    assert {tuple(r) for r in found} <= set(rows)
+    assert sorted(simhash.representatives(docs.repartition(5)).collect(), key=str) == sorted(found, key=str)

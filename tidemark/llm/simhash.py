@@ -140,21 +140,31 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
     return sorted_.mapInPandas(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def labelled(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """nodes (one row of each ``fp``) with label: their component's smallest linked fingerprint."""
+    found = stored(links(nodes.select("fp"), max_bits), "links")
+    labels = components(found)  # node, label: for fingerprints with links
+    return nodes.join(labels, nodes["fp"] == labels["node"], "left").select(*nodes.columns, F.coalesce("label", "fp").alias("label"))
+
+
 def classes(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of at most ``max_bits`` differing bits."""
     prints = stored(bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf(F.col(text_col).cast("binary")).alias("fp")), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    found = stored(links(nodes.select("fp"), max_bits), "links")
-    labels = components(found)  # node, label: for fingerprints with links
-    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
+    named = labelled(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), max_bits)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_print = stored(named.join(least, "label").select("fp", "component_id"), "by_print")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, max_bits: int = MAX_BITS, text_col: str = "text") -> DataFrame:
-    """One document of each component, all columns unchanged: that with the smallest doc_id; one row of it if repeated."""
-    found = classes(docs, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("doc_id").agg(F.lit(1).alias("__keep")).select(F.col("doc_id").alias("__id"))
-    held = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return held.dropDuplicates(["doc_id"])
+    """One row of each component, all columns unchanged: that with the smallest doc_id, null ids last, then the smallest row key.
+
+    The key is a hash of the whole row, as an id may be null or stand at several texts; rows of one key are copies of each other.
+    """
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != text_col]))
+    keyed = docs.withColumn("__key", F.unhex(F.sha2(F.concat_ws("\n", others, F.col(text_col).cast("string")), 256)))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__key").alias("key")).alias("row")
+    prints = stored(bounded_batches(keyed).select(row, fingerprint_udf(F.col(text_col).cast("binary")).alias("fp")), "fingerprints")
+    named = labelled(prints.groupBy("fp").agg(F.min("row").alias("row")), max_bits)
+    keep = named.groupBy("label").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key"))
+    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
