@@ -191,6 +191,17 @@ def test_reputation_blocks_bad_hosts_and_shrinks(spark):
     assert got["ok.fine.com"]["bound"] < 0.1
 
 
+def test_hosts_without_outcomes_are_judged_like_their_siblings(spark):
+    rows = [(f"h{k}.spam.com", 1) for k in range(30) for _ in range(20)] + [(f"h{k}.fine.com", 0) for k in range(30) for _ in range(20)]
+    rows += [(f"h{k}.bad.co.uk:8080", 1) for k in range(30) for _ in range(20)] + [(f"h{k}.good.co.uk", 0) for k in range(30) for _ in range(20)]
+    labelled = spark.createDataFrame(rows, "host string, bad int")
+    hosts = ["new.spam.com", "new.spam.com:81", "new.fine.com", "new.bad.co.uk", "new.good.co.uk", "new.other.com", "x.unseen", "h1.spam.com"]
+    pages = spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate(hosts)] * 2, "page_id long, url string")
+    got = url_filter.judged(pages, url_filter.rule_table(spark, [("allow", "rule.net/")]), labelled).collect()
+    assert len(got) == 2 * len(hosts) and all(r["bound"] is not None for r in got)
+    assert {r["host"] for r in got if r["verdict"] == "block"} == {"new.spam.com", "new.spam.com:81", "new.bad.co.uk", "h1.spam.com"}
+
+
 def test_empty_tables(spark, monkeypatch):
     for name, df, q in (("conversations", turns(spark, "edge"), queries.op4_chat_formatting), ("embeddings", spark.read.parquet(f"{SF}/embeddings.parquet"), queries.op6_vector_search), ("pages", pages(spark, "edge"), queries.op8_warc), ("pages", pages(spark, "edge"), queries.op10_url_filter)):
         got = run(spark, monkeypatch, name, df.limit(0), q).collect()

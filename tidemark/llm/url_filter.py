@@ -4,7 +4,10 @@ Reputation: labelled page outcomes (bad or not) are counted per host, registered
 bad pages is shrunk towards the overall rate, a domain's towards its suffix, a host's towards its domain, each by a
 beta-binomial prior whose strength is estimated from how much the rates at that level differ (method of moments). A
 host is blocked when the lower posterior bound of its rate, mean minus ``z`` standard deviations, is over ``limit``.
-Hosts without outcomes have their domain's rate with the prior's strength, so they are judged like their siblings.
+Hosts without outcomes have their domain's rate with the prior's strength, so they are judged like their siblings;
+without outcomes of the domain either, its suffix's rate stands for it, and without any of the suffix the overall rate.
+For levels, a port is no part of a host, and a registered domain is the label before the suffix: the last label, or the
+last two where they are in ``SUFFIXES`` (common public suffixes of two labels; others are taken as of one label).
 
 Edge cases: a null url or one without ``://`` has an empty host and path, which no rule fits; its reputation is that of
 the empty host, which is never blocked; repeated rows are judged row by row; an empty table gives an empty result;
@@ -24,6 +27,18 @@ from .common import bounded_batches, stored
 #: Rules up to so many are sent to every task; more are joined like any table.
 BROADCAST_RULES = 10_000
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Public suffixes of two labels under which names are registered: per country, its second labels.
+SUFFIXES = frozenset(
+    f"{second}.{top}"
+    for top, seconds in {
+        "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt iwi kiwi maori mil net org school",
+        "za": "ac co gov net org web", "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or pe re", "br": "art blog com eco edu gov mil net org", "in": "ac co edu firm gen gov ind mil net nic org res",
+        "cn": "ac com edu gov mil net org", "tw": "com edu gov idv net org", "hk": "com edu gov idv net org", "sg": "com edu gov net org per", "my": "com edu gov mil name net org",
+        "mx": "com edu gob net org", "ar": "com edu gob int mil net org tur", "tr": "av bel com dr edu gen gov k12 mil name net org tv web", "il": "ac co gov idf k12 muni net org",
+        "th": "ac co go in mi net or", "id": "ac biz co desa go mil my net or sch web", "vn": "ac biz com edu gov health info int name net org pro", "ua": "com edu gov in net org", "pl": "com edu gov info net org waw",
+    }.items()
+    for second in seconds.split()
+)
 
 
 @dataclass(frozen=True)
@@ -67,10 +82,22 @@ def outcomes(pages: DataFrame) -> DataFrame:
     return rows.select("host", (quality_rules.POLICY.rejects(F.col("failures"))).cast("int").alias("bad"))
 
 
-def reputations(labelled: DataFrame, how: Reputation = Reputation()) -> DataFrame:
-    """host, n, bad, rate, bound. Only the strengths of three levels (a few numbers) reach the driver."""
+def levels(host):
+    """domain and suffix of a host column."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    two = F.substring_index(name, ".", -2)
+    listed = two.isin(*sorted(SUFFIXES))
+    return F.when(listed, F.substring_index(name, ".", -3)).otherwise(two), F.when(listed, two).otherwise(F.substring_index(name, ".", -1))
+
+
+def rates(labelled: DataFrame, how: Reputation = Reputation()) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+    """hosts (host, n, bad, domain, suffix), domains (domain, domain_rate), suffixes (suffix, suffix_rate), the overall rate, and the strength of a host's prior.
+
+    Only the strengths of three levels (a few numbers) reach the driver.
+    """
     hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = stored(hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts")
+    domain, suffix = levels(F.col("host"))
+    hosts = stored(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
@@ -88,18 +115,34 @@ def reputations(labelled: DataFrame, how: Reputation = Reputation()) -> DataFram
     shrunk = lambda prior, s: (F.col("bad") + prior * s) / (F.col("n") + s)
     suffixes = suffixes.select("suffix", shrunk(F.lit(mean), s_suffix).alias("suffix_rate"))
     domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("suffix_rate"), s_domain).alias("domain_rate"))
-    a, b = F.col("bad") + F.col("domain_rate") * s_host, F.col("n") - F.col("bad") + (1 - F.col("domain_rate")) * s_host
-    out = hosts.join(domains, "domain").select("host", "n", "bad", a.alias("a"), b.alias("b"))
+    return hosts, domains, suffixes, mean, s_host
+
+
+def bounded(hosts: DataFrame, prior, s, how: Reputation) -> DataFrame:
+    """host, n, bad, rate, bound: the posterior under a prior rate of strength s."""
+    out = hosts.select("host", "n", "bad", (F.col("bad") + prior * s).alias("a"), (F.col("n") - F.col("bad") + (1 - prior) * s).alias("b"))
     rate = F.col("a") / (F.col("a") + F.col("b"))
     bound = rate - how.z * F.sqrt(rate * (1 - rate) / (F.col("a") + F.col("b") + 1))
     return out.select("host", "n", "bad", rate.alias("rate"), bound.alias("bound"))
 
 
+def reputations(labelled: DataFrame, how: Reputation = Reputation(), others: DataFrame | None = None) -> DataFrame:
+    """host, n, bad, rate, bound: of hosts with outcomes, and with n 0 of those hosts of ``others`` that have none."""
+    hosts, domains, suffixes, mean, s_host = rates(labelled, how)
+    if others is not None:
+        domain, suffix = levels(F.col("host"))
+        new = others.select("host").distinct().join(hosts, "host", "left_anti")
+        zero = F.lit(0).cast("long")
+        hosts = hosts.unionByName(new.select("host", zero.alias("n"), zero.alias("bad"), domain.alias("domain"), suffix.alias("suffix")))
+    prior = F.coalesce("domain_rate", "suffix_rate", F.lit(mean))
+    return bounded(hosts.join(domains, "domain", "left").join(suffixes, "suffix", "left"), prior, s_host, how)
+
+
 def judged(pages: DataFrame, rules: DataFrame, labelled: DataFrame, how: Reputation = Reputation(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, bound for every row of pages."""
     host, path = parts(F.col(url_col))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    bad = reputations(labelled, how).select("host", "bound")
+    bad = reputations(labelled, how, urls).select("host", "bound")
     out = urls.join(matched(urls, rules), ["host", "path"], "left").join(bad, "host", "left")
     blocked = F.coalesce(F.col("bound") > how.limit, F.lit(False)) & (F.col("host") != "")
     verdict = F.coalesce("rule_verdict", F.when(blocked, "block").otherwise("allow"))
