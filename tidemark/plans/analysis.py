@@ -348,6 +348,14 @@ def h14_scrubbed(s, d):
     return V.table(s, d, "documents").where("text NOT LIKE '%=%' AND text NOT LIKE '%ookie:%'").select("doc_id", text.scrubbed(raw).alias("clean"))
 
 
+@query()
+def h14_scrubbed_whole(s, d):
+    """Every document's whole text, between two planted secrets."""
+    k = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit("x access_token="), F.md5(k), F.lit("&y "), F.col("text"), F.lit(" Authorization: Bearer "), k, F.lit(" z"))
+    return V.table(s, d, "documents").select("doc_id", text.scrubbed(raw).alias("clean"))
+
+
 @query()
 def h15_redacted(s, d):
     return V.table(s, d, "documents").select("doc_id", text.redacted(F.concat(F.lit("/home/jo.doe/x "), "text")).alias("message"))
