@@ -1,31 +1,32 @@
 """BPE encoding and decoding of whole texts, byte-level vocabulary, exact to the tokenizers library.
 
-Texts up to ``piece_chars`` are encoded where they are read. Longer ones are cut where the pre-tokenizer always cuts
-(before white space, else between pre-tokens), so that their pieces spread over the cluster and simply concatenate.
-What is left is a single pre-token longer than a piece: *unsplit* text. That is halved down to leaves, the leaves are
-encoded in parallel, and the encodings are concatenated pairwise up a tree: around each join a window of tokens is
-encoded again, twice as wide each time, until its first token is one the left side has at that place and its last one
-is one the right side has. A sequence whose neighbours all agree pairwise is the encoding of its text, so the joined
-one is exact.
+A text of more than ``piece`` characters is halved until its parts are short enough; these leaves are encoded in
+parallel, wherever they are cut, and their encodings are concatenated pairwise up the tree of halves. Around each join a
+window of tokens is encoded again, twice as wide each time, until its first tokens are those that the left side has
+at that place and its last ones those that the right side has: what lies outside is then untouched by the cut. Should
+they never agree, the window ends up as both sides. Shorter texts are a leaf by themselves.
 
 Edge cases: a null text is an empty one and has no ids; repeated rows and repeated ids give one row each; an empty
 table gives an empty result; extra columns are ignored; the special token's string in a text becomes its id, as the
-library does by default.
+library does by default, also where a cut runs through it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-from .token_cache import ODD_SPACE, byte_table, cache, decode_bytes, tokenizer
+from .common import bounded_batches, working
+from .token_cache import byte_table, cache, decode_bytes, tokenizer
 
 PIECE_CHARS = 32_768
-LEAF_CHARS = 8_192
-FIRST_WINDOW = 8
+#: Tokens on each side of a join that are encoded again at first: more bytes than the special token has.
+FIRST_WINDOW = 24
+#: Tokens at each end of a window on which the sides must agree.
+AGREED = 4
 
 
 def encode_one(path: str, text: str) -> np.ndarray:
@@ -33,9 +34,9 @@ def encode_one(path: str, text: str) -> np.ndarray:
 
 
 def join(path: str, left: np.ndarray, right: np.ndarray, window: int = FIRST_WINDOW) -> np.ndarray:
-    """The encoding of two neighbouring stretches of one pre-token from the encodings of each."""
+    """The encoding of two neighbouring stretches of a text from the encodings of each."""
     data, start, size = byte_table(path)
-    inside = lambda i: 128 <= data[start[i]] < 192  # noqa: E731  the token begins within a character
+    inside = lambda i: size[i] and 128 <= data[start[i]] < 192  # noqa: E731  the token begins within a character
     if not len(left) or not len(right):
         return np.concatenate([left, right])
     while True:
@@ -46,71 +47,40 @@ def join(path: str, left: np.ndarray, right: np.ndarray, window: int = FIRST_WIN
             b += 1
         seam = np.concatenate([left[a:], right[:b]])
         again = encode_one(path, decode_bytes(path, seam).decode())
-        if (a == 0 or again[0] == left[a]) and (b == len(right) or again[-1] == right[b - 1]):
+        starts = a == 0 or (again[:AGREED] == left[a : a + AGREED]).all()
+        ends = b == len(right) or (again[-AGREED:] == right[b - AGREED : b]).all()
+        if starts and ends:
             return np.concatenate([left[:a], again, right[b:]])
         window *= 2
 
 
 def tree(path: str, leaves: list[np.ndarray]) -> np.ndarray:
+    """The leaves' encodings joined pairwise, level by level, as the text was halved."""
     while len(leaves) > 1:
-        leaves = [join(path, *leaves[k : k + 2]) if k + 1 < len(leaves) else leaves[k] for k in range(0, len(leaves), 2)]
+        leaves = [join(path, *leaves[k : k + 2]) for k in range(0, len(leaves), 2)]
     return leaves[0] if leaves else np.zeros(0, np.uint32)
 
 
-def cuts(path: str, text: str, piece: int = PIECE_CHARS, leaf: int = LEAF_CHARS) -> list[tuple[str, bool]]:
-    """The text in order as (stretch, belongs to the same pre-token as the stretch before it)."""
-    out: list[tuple[str, bool]] = []
-    lib, specials = tokenizer(path), [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
-
-    def unsplit(part: str) -> None:
-        """No space to cut at: go by special tokens, then by pre-tokens, then by leaves of one pre-token."""
-        at = 0
-        while at < len(part):
-            hit = min(((k, s) for s in specials if (k := part.find(s, at)) >= 0), default=(len(part), ""))
-            held = at
-            for _, (x, y) in lib.pre_tokenizer.pre_tokenize_str(part[at : hit[0]]):
-                x, y = at + x, at + y
-                if y - x > piece:
-                    if x > held:
-                        out.append((part[held:x], False))
-                    out.extend((part[k : min(k + leaf, y)], k > x) for k in range(x, y, leaf))
-                    held = y
-                elif y - held > piece:
-                    out.append((part[held:x], False))
-                    held = x
-            if hit[0] > held or hit[1]:
-                out.append((part[held : hit[0]] + hit[1], False))
-            at = hit[0] + len(hit[1])
-
-    at, odd = 0, ODD_SPACE.search(text) is not None
-    while len(text) - at > piece:
-        cut = at if odd else text.rfind(" ", at + 1, at + piece)
-        while cut > at and text[cut - 1].isspace():
-            cut -= 1
-        if cut <= at:
-            cut = len(text) if odd else next((k for k in _spaces(text, at + piece) if not text[k - 1].isspace()), len(text))
-            unsplit(text[at:cut])
-        else:
-            out.append((text[at:cut], False))
-        at = cut
-    if at < len(text):
-        out.append((text[at:], False))
-    return out
-
-
-def _spaces(text: str, at: int):
-    while (at := text.find(" ", at)) >= 0:
-        yield at
-        at += 1
-
-
-def encode_udf(path: str):
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        encode_, out = cache(path, True).encode, []
-        for a in range(0, len(texts), 500):
-            out += [x.tobytes() for x in encode_([t or "" for t in texts.iloc[a : a + 500]])]
-        return pd.Series(out, dtype=object)
+def halves(text: str, piece: int = PIECE_CHARS) -> list[str]:
+    """The text in 2 ** n parts of at most ``piece`` characters, each level's halves equal but for one character."""
+    parts = [text]
+    while len(parts[0]) > piece or len(parts[-1]) > piece:
+        parts = [p for t in parts for p in (t[: len(t) // 2], t[len(t) // 2 :])]
+    return parts
+
+
+def _encoded(path: str, keep: int, decoded: bool):
+    """An Arrow function: the first ``keep`` columns, then ids, on demand decoded, of the texts in the column after them."""
+
+    def run(batches):
+        working("tokens")
+        for batch in batches:
+            ids = cache(path).encode(batch.column(keep))
+            cols = [*batch.columns[:keep], pa.array([x.tobytes() for x in ids], pa.binary())]
+            names = [*batch.schema.names[:keep], "ids"]
+            if decoded:
+                cols, names = [*cols, pa.array([decode_bytes(path, x).decode() for x in ids], pa.string())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -118,69 +88,46 @@ def encode_udf(path: str):
 def decode_udf(path: str):
     @F.pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
+        working("tokens")
         return pd.Series([decode_bytes(path, np.frombuffer(x, np.uint32)).decode() for x in ids], dtype=object)
 
     return run
 
 
-def both_udf(path: str):
-    """ids and what they decode to, in one worker: a second one would hold a cache of its own."""
-
-    @F.pandas_udf("ids binary, decoded string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        encode_, ids = cache(path, True).encode, []
-        for a in range(0, len(texts), 500):
-            ids += encode_([t or "" for t in texts.iloc[a : a + 500]])
-        return pd.DataFrame({"ids": [x.tobytes() for x in ids], "decoded": [decode_bytes(path, x).decode() for x in ids]}, dtype=object)
-
-    return run
-
-
-def encode(docs: DataFrame, path: str, piece: int = PIECE_CHARS, leaf: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, piece: int = PIECE_CHARS, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers, so that no array is copied value by value), on demand decoded."""
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= piece)
-    if decoded:
-        short = short.select("doc_id", both_udf(path)("text").alias("b")).select("doc_id", "b.ids", "b.decoded")
-    else:
-        short = short.select("doc_id", encode_udf(path)("text").alias("ids"))
+    extra = ", decoded string" * decoded
+    short = rows.where(F.length("text") <= piece).mapInArrow(_encoded(path, 1, decoded), "doc_id long, ids binary" + extra)
 
     def split(pdfs):
         for pdf in pdfs:
             for key, doc_id, text in pdf[["key", "doc_id", "text"]].itertuples(index=False):
-                got = cuts(path, text, piece, leaf)
-                yield pd.DataFrame({"key": key, "doc_id": doc_id, "seq": range(len(got)), "text": [t for t, _ in got], "tied": [j for _, j in got]}).astype({"doc_id": "Int64"})
+                got = halves(text, piece)
+                yield pd.DataFrame({"key": key, "doc_id": doc_id, "seq": range(len(got)), "text": got}).astype({"doc_id": "Int64"})
 
     def gather(pdfs):
-        key, doc_id, done, run = None, None, [], []
-
-        def flush():
-            if run:
-                done.append(tree(path, list(run)))
-                run.clear()
+        working("tokens")
+        key, doc_id, leaves = None, None, []
 
         def row():
-            flush()
-            whole = np.concatenate(done) if done else np.zeros(0, np.uint32)
-            out = pd.DataFrame({"doc_id": pd.array([doc_id], "Int64"), "ids": [whole.tobytes()]} | ({"decoded": [decode_bytes(path, whole).decode()]} if decoded else {}))
-            done.clear()
-            return out
+            whole = tree(path, leaves)
+            return pd.DataFrame({"doc_id": pd.array([doc_id], "Int64"), "ids": [whole.tobytes()]} | ({"decoded": [decode_bytes(path, whole).decode()]} if decoded else {}))
 
         for pdf in pdfs:
-            for k, d, tied, ids in pdf[["key", "doc_id", "tied", "ids"]].itertuples(index=False):
+            for k, d, ids in pdf[["key", "doc_id", "ids"]].itertuples(index=False):
                 if key is not None and k != key:
                     yield row()
-                if not tied:
-                    flush()
+                    leaves = []
                 key, doc_id = k, None if pd.isna(d) else int(d)
-                run.append(np.frombuffer(ids, np.uint32))
+                leaves.append(np.frombuffer(ids, np.uint32))
         if key is not None:
             yield row()
 
     long = rows.where(F.length("text") > piece).withColumn("key", F.monotonically_increasing_id())  # the scan is the same on a retry
-    parts = long.mapInPandas(split, "key long, doc_id long, seq int, text string, tied boolean")
-    spread = parts.repartition("key", "seq").select("key", "doc_id", "seq", "tied", encode_udf(path)("text").alias("ids"))
-    whole = spread.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(gather, "doc_id long, ids binary" + ", decoded string" * decoded)
+    leaves = long.mapInPandas(split, "key long, doc_id long, seq int, text string").repartition("key", "seq")
+    spread = leaves.mapInArrow(_encoded(path, 3, False), "key long, doc_id long, seq int, ids binary")
+    whole = spread.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(gather, "doc_id long, ids binary" + extra)
     return short.unionByName(whole)
 
 

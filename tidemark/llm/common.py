@@ -7,16 +7,20 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Numpy work on whole texts goes through buffers of about so many bytes, so that memory doesn't follow a batch's size.
 BUFFER_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a fresh local one only where that is unset (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a fresh local one only where that is unset and executors are in this process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -64,6 +68,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df in range partitions, stored, with ``before``: the sum of a long column over all rows earlier in the order of unique keys.
+
+    Sums run within the partitions; only a row per partition is sent around.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index(value))
+            sums = pc.add(pc.cumulative_sum(own), total)
+            cols = [*batch.columns, pa.array([part] * len(own), pa.int32()), pc.subtract(sums, own), sums]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "__part", "__local", "__upto"])
+            total = sums[-1].as_py() if len(own) else total
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__local", T.LongType()), T.StructField("__upto", T.LongType())])
+    local = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), name)
+    sums = local.groupBy("__part").agg(F.max("__upto").alias("__s"))
+    base = sums.select("__part", (F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).alias("__base"))  # a row per partition
+    return local.join(F.broadcast(base), "__part").select(*df.columns, (F.col("__base") + F.col("__local")).alias("before"))
+
+
 def groups_of(column, limit: int = BUFFER_BYTES):
     """Slices [a, b) over an Arrow column of texts that hold about limit bytes each; a single larger text stands alone."""
     import pyarrow.compute as pc
@@ -83,7 +113,10 @@ CACHES: dict[str, Callable[[], None]] = {}
 
 
 def working(owner: str) -> None:
-    """Called by an operator's code in a Python worker, which serves many operators in turn: what others have cached there goes."""
+    """Called by an operator's code in a Python worker, which serves many operators in turn: what others have cached there goes, and free Arrow memory with it."""
+    import pyarrow as pa
+
     for name, clear in CACHES.items():
         if name != owner:
             clear()
+    pa.default_memory_pool().release_unused()

@@ -3,8 +3,8 @@
 A sequence has three capacities: tokens, documents, and attention cost (the sum of squared lengths, what attention
 within documents costs). Pieces are placed longest first; among the open sequences in which a piece fits under *every*
 capacity, the one with the least weighted residual norm after placing it is chosen ("norm"), or the one whose residual
-has the largest weighted dot product with the piece's demand ("dot"). Pieces are dealt at random over buckets of
-``bucket_rows``, which are packed independently; a second pass packs what the buckets' poorly filled sequences hold.
+has the largest weighted dot product with the piece's demand ("dot"). Stored pieces are dealt by row number over buckets
+of ``bucket_rows``, which are packed independently; a second pass packs what the buckets' poorly filled sequences hold.
 
 Edge cases: a null text is an empty one, whose one piece is the end id alone; only documents longer than a sequence
 are cut; repeated rows are packed as rows of their own; an empty table gives an empty result; extra columns are ignored.
@@ -30,12 +30,12 @@ PACKED = SCHEMA + ", sequence_id long, offset long"
 
 @dataclass(frozen=True)
 class Capacity:
-    """Per sequence. The default documents and attention capacities never bind before the tokens do."""
+    """Per sequence. The default capacities of documents and attention can't bind before that of tokens; all three residuals select the bin."""
 
     tokens: int = 4096
     documents: int = 4096
     attention: int = 4096 * 4096
-    weights: tuple[float, float, float] = (1.0, 0.001, 0.001)
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     rule: str = "norm"
 
 
@@ -48,10 +48,9 @@ def pieces(docs: DataFrame, path: str, capacity: Capacity = Capacity(), end_id:
         for batch in batches:
             ids = batch.column(0)
             for a, b in groups_of(batch.column(1)):
-                texts = batch.column(1).slice(a, b - a).to_pylist()
                 got: list[tuple] = []
                 who: list[int] = []
-                for k, x in enumerate(cache(path, False).encode([t or "" for t in texts]), a):
+                for k, x in enumerate(cache(path).encode(batch.column(1).slice(a, b - a)), a):
                     x = np.append(x, np.uint32(end_id)).astype("<u4")
                     for p, at in enumerate(range(0, len(x), size)):
                         own = x[at : at + size].tobytes()
