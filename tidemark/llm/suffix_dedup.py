@@ -14,7 +14,8 @@ differ, string by string at full depth. A string is counted wherever it starts,
 cross documents. Anchors, runs and cores travel as 64-bit hashes, two of them to a key, so 128 bits decide; the bytes around a core travel as they are.
 
 Edge cases: a null or empty text, or one shorter than the threshold, has no repeats; repeated rows repeat each other;
-rows are told apart by id and text, so repeated or null ids are fine; an empty table gives an empty result; extra columns are ignored.
+ids play no part, so repeated or null ones are fine: equal texts lose the same bytes, so what is found is kept once per
+text, named by 96 bits of two hash functions; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BASE = 0x9E3779B97F4A7C15
 STEP = 16
 #: Texts are scanned through buffers of so many bytes; some ten arrays of 8 bytes a place are held for one.
 BUFFER_BYTES = 1 << 18
-RUN = "doc_id long, h int, start int, n int, lead int, anchor long, run long"
+RUN = "k long, h int, start int, n int, lead int, anchor long, run long"
 
 
 @functools.lru_cache(maxsize=1)
@@ -105,13 +106,13 @@ def _runs_of(threshold: int, digit: int):
                     who = pa.array(of + a)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(who), batch.column(1).take(who), pa.array((at - bounds[of]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64))],
-                        ["doc_id", "h", "start", "n", "lead", "anchor", "run"],
+                        ["k", "h", "start", "n", "lead", "anchor", "run"],
                     )
 
     return run
 
 
-BLOCK = "doc_id long, h int, start int, n int, anchor long, place int, core long, left binary, right binary, weight int"
+BLOCK = "k long, h int, start int, n int, anchor long, place int, core long, left binary, right binary, weight int"
 
 
 def _blocks_of(threshold: int, step: int):
@@ -121,6 +122,7 @@ def _blocks_of(threshold: int, step: int):
         import xxhash
         import zstandard
 
+        working("suffix_dedup")
         h3, unpack = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             who, starts, counts, anchors, places, cores, lefts, rights, weights = ([] for _ in range(9))
@@ -147,7 +149,7 @@ def _blocks_of(threshold: int, step: int):
                             batch.column(0).take(pa.array(who, pa.int64())), batch.column(1).take(pa.array(who, pa.int64())), pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array(anchors, pa.int64()),
                             pa.array(places, pa.int32()), pa.array(np.array(cores, np.uint64).view(np.int64)), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), pa.array(weights, pa.int32()),
                         ],
-                        ["doc_id", "h", "start", "n", "anchor", "place", "core", "left", "right", "weight"],
+                        ["k", "h", "start", "n", "anchor", "place", "core", "left", "right", "weight"],
                     )
                     who, starts, counts, anchors, places, cores, lefts, rights, weights = ([] for _ in range(9))
 
@@ -155,7 +157,7 @@ def _blocks_of(threshold: int, step: int):
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed before they are dealt out again."""
+    """Texts compressed before they are dealt out again. docs as from keyed()."""
 
     @F.pandas_udf("binary")
     def pack(texts):
@@ -164,53 +166,50 @@ def _packed(docs: DataFrame) -> DataFrame:
         c = zstandard.ZstdCompressor(level=3)
         return texts.map(lambda t: c.compress(t or b""))
 
-    return docs.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), pack("text").alias("packed"))
+    return docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("packed", pack("text")).drop("text")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k and h (96 bits that name the text), text (binary) and doc_id."""
     text = F.col(text_col).cast("binary")
-    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("h"), text.alias("text"))
-
-
-def _same(a: DataFrame, b: DataFrame):
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
+    return bounded_batches(docs).select(F.xxhash64(text).alias("k"), F.hash(text).alias("h"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
 
 
 def repeats(rows: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, step: int = STEP) -> DataFrame:
-    """rows as from keyed(). doc_id, h, spans (array<long>, start << 32 | end): what to remove, not yet merged."""
+    """rows as from keyed(). k, h, spans (array<long>, start << 32 | end): what to remove from each text, not yet merged."""
+    rows = rows.select("k", "h", "text")
     span = lambda start, n: F.shiftleft(start.cast("long"), 32).bitwiseOR((start + n + (threshold - 1)).cast("long")).alias("span")
     all_runs = rows.mapInArrow(_runs_of(threshold, digit), RUN)
     # Pass 1. The runs are made twice, which costs less than keeping those that turn out to be alone.
     anchors = all_runs.groupBy("anchor").agg(F.count("*").alias("total"), (F.min("run") != F.max("run")).alias("mixed")).where("total > 1").select("anchor", "mixed")
     anchors = stored(anchors, "anchors")  # else the join keeps the aggregate's partitions, and a hot anchor's can't be split
     tied = stored(all_runs.join(anchors, "anchor"), "tied")
-    whole = tied.where("NOT mixed").select("doc_id", "h", span(F.col("start"), F.col("n")))
+    whole = tied.where("NOT mixed").select("k", "h", span(F.col("start"), F.col("n")))
     # Pass 2: runs under a mixed anchor, once each.
-    first = F.min(F.struct("doc_id", "h", "start", "n", "lead")).alias("r")
+    first = F.min(F.struct("k", "h", "start", "n", "lead")).alias("r")
     differ = stored(tied.where("mixed").groupBy("anchor", "run").agg(F.count("*").alias("total"), first), "differ")
-    same = tied.where("mixed").join(differ.where("total > 1").select("anchor", "run"), ["anchor", "run"]).select("doc_id", "h", span(F.col("start"), F.col("n")))
+    same = tied.where("mixed").join(differ.where("total > 1").select("anchor", "run"), ["anchor", "run"]).select("k", "h", span(F.col("start"), F.col("n")))
     # Pass 3.
     wanted = differ.select("r.*", "anchor", F.when(F.col("total") > 1, 2).otherwise(1).alias("weight"))
-    per_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "lead", "anchor", "weight")).alias("runs"))
-    texts = _packed(rows)
-    held = texts.join(per_doc, _same(texts, per_doc)).select(texts["doc_id"], texts["h"], "packed", "runs")
+    per_doc = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("start", "n", "lead", "anchor", "weight")).alias("runs"))
+    held = _packed(rows).dropDuplicates(["k", "h"]).join(per_doc, ["k", "h"]).select("k", "h", "packed", "runs")
     blocks = held.mapInArrow(_blocks_of(threshold, step), BLOCK)
     core, around = ["anchor", "place", "core"], ["left", "right"]
-    first = F.min(F.struct("doc_id", "h", "start", "n")).alias("r")
+    first = F.min(F.struct("k", "h", "start", "n")).alias("r")
     blocks = stored(blocks, "blocks")
     cores = blocks.groupBy(*core).agg(F.sum("weight").alias("total")).where("total > 1").select(*core)
     cores = stored(cores, "shared-cores")
     shared = stored(blocks.join(cores, core), "cores")
     # Pass 4.
     distinct = stored(shared.groupBy(*core, *around).agg(F.sum("weight").alias("total"), first), "distinct")
-    equal = shared.where("weight = 1").join(distinct.where("total > 1").select(*core, *around), core + around).select("doc_id", "h", span(F.col("start"), F.col("n")))
+    equal = shared.where("weight = 1").join(distinct.where("total > 1").select(*core, *around), core + around).select("k", "h", span(F.col("start"), F.col("n")))
     lead = F.lit(step - 1) - F.octet_length("left")  # of the block's first string
     strings = distinct.withColumn("lead", lead).select(*core, "total", "r", "lead", "left", "right", F.explode(F.sequence(F.col("lead"), F.col("lead") + F.col("r.n") - 1)).alias("j"))
     strings = strings.select(*core, "j", F.expr("concat(substring(left, j - lead + 1, octet_length(left)), substring(right, 1, j))").alias("rest"), "total", "r", (F.col("r.start") + F.col("j") - F.col("lead")).alias("start"))
     key = [*core, "j", "rest"]
     twice = strings.groupBy(*key).agg(F.sum("total").alias("all")).where("all > 1").select(*key)
-    edges = strings.where("total = 1").join(twice, key).select("r.doc_id", "r.h", span(F.col("start"), F.lit(1)))
-    return whole.unionByName(same).unionByName(equal).unionByName(edges).groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))
+    edges = strings.where("total = 1").join(twice, key).select("r.k", "r.h", span(F.col("start"), F.lit(1)))
+    return whole.unionByName(same).unionByName(equal).unionByName(edges).groupBy("k", "h").agg(F.collect_set("span").alias("spans"))
 
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +235,7 @@ def _cut(whole_chars: bool):
     def run(batches):
         import zstandard
 
+        working("suffix_dedup")
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             kept, starts, ends = [], [], []
@@ -257,7 +257,7 @@ def removed(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, who
     """Per row of docs: doc_id, n_bytes, kept (binary), starts and ends of the maximal removed runs, in bytes of the input."""
     rows = keyed(docs, id_col, text_col)
     spans, texts = repeats(rows, threshold, digit), _packed(rows)
-    held = texts.join(spans, _same(texts, spans), "left").select(texts["doc_id"], "n_bytes", "packed", "spans")
+    held = texts.join(spans, ["k", "h"], "left").select("doc_id", "n_bytes", "packed", "spans")
     return held.mapInArrow(_cut(whole_chars), "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
 
 
@@ -279,9 +279,9 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DI
 
         return pd.Series(out, dtype=object)
 
-    held = docs.withColumn("__h", F.hash(F.col("text").cast("binary")))
-    own = spans.select(F.col("doc_id").alias("__id"), F.col("h").alias("__g"), F.col("spans").alias("__spans"))
-    got = held.join(own, held["doc_id"].cast("long").eqNullSafe(own["__id"]) & (held["__h"] == own["__g"]), "left")
+    held = docs.withColumns({"__k": F.xxhash64(F.col("text").cast("binary")), "__h": F.hash(F.col("text").cast("binary"))})
+    own = spans.select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    got = held.join(own, ["__k", "__h"], "left")
     got = got.withColumn("text", cut("text", "__spans"))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
