@@ -1,9 +1,13 @@
 """WARC archives: a deterministic sharded writer, and a reader that checks what it reads.
 
-Records are sorted by page id and cut into shards at fixed ids that follow from a histogram of bytes over ids, so the
-same table gives the same files byte for byte. A shard is written by one task as a run of ``.warc.gz`` files, each record a
-gzip member of its own, rolled once a file's compressed size passes ``file_bytes``. Files are written under temporary
-names with the task attempt in them and renamed when complete; the manifest names the files that count, and only those are read.
+Records are range-sorted by page id: running sums of payload bytes in the order of ids put a shard's first id at every
+``shard_bytes``, so the same table gives the same files byte for byte, however it is partitioned. A shard is one task, which
+writes a run of ``.warc.gz`` files, each record a gzip member of its own, rolled once a file's compressed size passes
+``file_bytes``. Files are written under temporary names with the task attempt in them and renamed when complete; the
+manifest names the files that count, and only those are read.
+
+An id with more bytes than a shard has several shards; its records are dealt over them by digest, and those of a single
+(id, digest) with over a thousandth of all rows by row number (equal records, so only their number per file may vary).
 
 Headers and digests are made anew. Of records with equal payloads (of at least ``least_bytes``) the one with the
 largest page id is a response, and the others are revisits of it.
@@ -20,24 +24,28 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, running, stored
 
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 16 << 20
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
-#: The histogram of bytes over ids has so many bins at most; that is all that reaches the driver.
-BINS = 4096
+#: Shards at most; beyond, they hold more bytes. Their first ids are what reaches the driver: 8 bytes each.
+MOST_SHARDS = 100_000
+#: What a record adds to its payload, about.
+OVERHEAD = 600
+LEAST_ID = -(1 << 63)
 MANIFEST = "path string, shard int, part int, n_records long, n_bytes long, sha256 string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, path string"
 
 
-def base32(hex_digest: str) -> str:
-    return base64.b32encode(bytes.fromhex(hex_digest)).decode()
+def base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -61,25 +69,33 @@ def record(page_id: int | None, url: str, digest: str, size: int, payload: bytes
     fields = [("WARC-Type", kind), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Record-ID", record_id(page_id, digest) if payload is not None else record_id(page_id, digest + "/revisit"))]
     if payload is None:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Target-URI", refers_url), ("X-Refers-To-Page-Id", str(refers_to))]
-    fields += [("X-Page-Id", "" if page_id is None else str(page_id)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", "sha1:" + base32(hashlib.sha1(block).hexdigest())), ("Content-Length", str(len(block)))]
+    fields += [("X-Page-Id", "" if page_id is None else str(page_id)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", "sha1:" + base32(hashlib.sha1(block).digest())), ("Content-Length", str(len(block)))]
     return _header(fields) + block + b"\r\n\r\n"
 
 
-def _shard_column(sizes: DataFrame, shard_bytes: int):
-    """A column that numbers shards by page id, from a histogram of at most BINS bins."""
-    r = sizes.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).first()
-    if r["a"] is None:
-        return F.lit(0), 1
-    low, width = r["a"], max(1, -(-(r["b"] - r["a"] + 1) // BINS))
-    bin_of = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
-    of, used, shard = [], 0, 0
-    held = dict(sizes.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("bytes")).collect())
-    for k in range(max(held) + 1):
-        if used and used + (held.get(k) or 0) > shard_bytes:
-            used, shard = 0, shard + 1
-        used += held.get(k) or 0
-        of.append(shard)
-    return F.element_at(F.lit(of), bin_of + 1), shard + 1
+def shard_bounds(sizes: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """sizes: id and size of every record. Of each shard, the id in which its first byte lies, in the order of ids."""
+    per_id = sizes.groupBy("id").agg(F.sum(F.col("size") + OVERHEAD).alias("bytes"))
+    ends = running(per_id, ["id"], "bytes", "ids")
+    total = ends.agg(F.sum("bytes")).first()[0] or 0
+    each = max(shard_bytes, -(-total // MOST_SHARDS))
+    first, last = F.ceil(F.col("before") / each), F.ceil((F.col("before") + F.col("bytes")) / each) - 1
+    found = ends.where(first <= last).select(F.explode(F.sequence(first, last)).alias("shard"), "id").collect()
+    return [r["id"] for r in sorted(found, key=lambda r: r["shard"])]
+
+
+def span_of(bounds: list[int]):
+    """A column function: the first shard and the number of shards of an id."""
+    edges = np.array(bounds or [LEAST_ID], np.int64)
+
+    @F.pandas_udf("lo int, n int")
+    def run(ids: pd.Series) -> pd.DataFrame:
+        x = ids.to_numpy(np.int64)
+        hi = np.maximum(np.searchsorted(edges, x, "right"), 1)
+        lo = np.minimum(np.searchsorted(edges, x, "left"), hi - 1)
+        return pd.DataFrame({"lo": lo.astype(np.int32), "n": (hi - lo).astype(np.int32)})
+
+    return run
 
 
 def write(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least_bytes: int = 0, level: int = LEVEL, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -87,16 +103,26 @@ def write(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = bounded_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    narrow = rows.select("page_id", "url", "sha1", "size")
-    shard, n_shards = _shard_column(narrow, shard_bytes)
+    rows = rows.withColumns({"id": F.coalesce("page_id", F.lit(LEAST_ID)), "sha1": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
+    narrow = stored(rows.select("id", "page_id", "url", "sha1", "size"), "records")
+    bounds = shard_bounds(narrow, shard_bytes)
+    span = span_of(bounds)
+    # Equal records of an id with over a thousandth of all rows: a thousand such at most.
+    least = max(1000, narrow.count() // 1000)
+    hot = F.broadcast(narrow.groupBy("id", "sha1").agg(F.count("*").alias("n")).where(F.col("n") > least).select("id", "sha1", F.lit(True).alias("hot")))
     # Of equal payloads, the page with the largest id; then a row for each page that revisits it.
     most = narrow.where(F.col("size") >= least_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("m")).where("n > 1 AND m IS NOT NULL")
-    revisits = narrow.where(F.col("size") >= least_bytes).join(most.select("sha1", "m"), "sha1").where(F.coalesce(F.col("page_id") < F.col("m.page_id"), F.lit(True)))
-    told = revisits.groupBy("page_id", "sha1").agg(F.first("m").alias("m")).select("page_id", "sha1", F.lit(0).alias("kind"), F.col("m.page_id").alias("refers_to"), F.col("m.url").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(0).cast("long").alias("size"))
-    held = rows.select("page_id", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "payload", "size")
-    both = told.unionByName(held).withColumn("shard", shard)
-    ordered = both.repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "kind", "url")
+    pages_of = narrow.where(F.col("size") >= least_bytes).groupBy("sha1", "page_id", "id").agg(F.count("*").alias("rows"))
+    told = pages_of.join(most.select("sha1", "m"), "sha1").where(F.coalesce(F.col("page_id") < F.col("m.page_id"), F.lit(True)))
+    told = told.select("id", "page_id", "sha1", F.lit(0).alias("kind"), F.col("m.page_id").alias("refers_to"), F.col("m.url").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(0).cast("long").alias("size"))
+    told = told.join(hot, ["id", "sha1"], "left").withColumn("s", span("id"))
+    own = F.pmod(F.xxhash64("sha1"), F.col("s.n")).cast("int")
+    told = told.withColumn("i", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.col("s.n") - 1)).otherwise(F.array(own))))
+    held = rows.select("id", "page_id", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "payload", "size")
+    held = held.join(hot, ["id", "sha1"], "left").withColumn("tie", F.monotonically_increasing_id()).withColumn("s", span("id"))
+    held = held.withColumn("i", F.when(F.col("hot"), F.pmod("tie", F.col("s.n")).cast("int")).otherwise(own)).drop("tie")
+    both = told.unionByName(held).select((F.col("s.lo") + F.col("i")).alias("shard"), "page_id", "sha1", "kind", "refers_to", "url", "payload", "size")
+    ordered = both.repartitionById(max(1, len(bounds)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "kind", "url")
 
     def run(batches):
         import pyarrow as pa
@@ -109,7 +135,7 @@ def write(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes
         done: list[tuple] = []
 
         def begin(shard: int, part: int) -> None:
-            name = f"part-{shard:05d}-{part:05d}.warc.gz"
+            name = f"part-{shard:06d}-{part:05d}.warc.gz"
             fs.create_dir(f"{root}/_tmp", recursive=True)
             temp = f"{root}/_tmp/{name}.{task}"
             state.update(shard=shard, part=part, name=name, temp=temp, out=fs.open_output_stream(temp), n=0, size=0, sha=hashlib.sha256())
@@ -193,7 +219,7 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
                         digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
                         size = int(head.rsplit(b"Content-Length: ", 1)[1])
                         revisit = f["WARC-Type"] == "revisit"
-                        if not revisit and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+                        if not revisit and (len(payload) != size or base32(hashlib.sha1(payload).digest()) != digest):
                             raise ValueError(f"{path}: payload and digest differ")
                         rows.append((int(f["X-Page-Id"]) if f["X-Page-Id"] else None, size, digest, f["WARC-Type"], int(f["X-Refers-To-Page-Id"]) if revisit else None, f["WARC-Target-URI"], path))
                 if len(rows) != n_records:
@@ -202,4 +228,4 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.schema(MANIFEST).parquet(f"{uri}/manifest").select("path", "n_records")
-    return files.repartition(max(1, min(files.count(), 4096)), "path").mapInPandas(run, RECORD)
+    return files.repartition(max(1, min(files.count(), MOST_SHARDS)), "path").mapInPandas(run, RECORD)
