@@ -5,14 +5,17 @@ reversibly: a backslash is doubled, and ``<|`` becomes ``<\\|``; so a mark only
 assistants' texts, in escaped characters.
 
 A conversation is the chain of its prefixes; a prefix is named by a running SHA-256 over the turns so far, so equal
-prefixes of any conversations are one *node*. All nodes together are a forest in depth-first order: distinct
-conversations are ranked by their chains of names, a node is visited with the first conversation that has it, and
-``start`` is its place in the sequence of all emitted tokens. A token's position id is ``depth_start`` plus its place
-in the node, and it attends to its own node's earlier tokens and to the ``ancestors`` intervals.
-
-Turns stream through sorted partitions, so neither a tree nor the texts of a conversation are ever one group in memory
-(of one conversation, only its chain of intervals is a row: some 24 bytes a turn); a first turn that very many
-conversations share is one node, found by partial aggregates.
+prefixes of any conversations are one *node*. Of the conversations that share a node, the one whose hashed id is least owns
+it. A conversation owns all that follows a node it owns, so its own nodes are one *path* down the tree. The forest is in
+depth-first order: a path is emitted in one run, then what branches off it, from its deepest node upwards. ``start`` is a node's
+place in the sequence of all emitted tokens. A token's position id is ``depth_start`` plus its place in the node, and it
+attends to its own node's earlier tokens and to the ``ancestors`` intervals: one for each path on the way from the root,
+of which a random order of owners makes some ln(conversations) at most, however long a conversation is.
+
+Turns stream through sorted partitions, so neither a tree nor the texts of a conversation are ever one group in memory; a
+first turn that very many conversations share is one node, found by partial aggregates. Running sums over ranges place
+nodes along paths and paths beside each other, so neither a long path nor one with very many branches is one task. As a
+SHA-256 over a conversation is asked for, the turns of one conversation pass through one task, in order.
 
 Edge cases: a null text or role is an empty one; turns sort by turn, then role, then text, nulls first, and repeated rows are
 turns of their own; a null conv_id is a conversation like any other; an empty table gives empty results; extra columns are ignored.
@@ -28,13 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, running, stored, working
 from .token_cache import cache
 
 #: The template's marks.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LEARNT = "assistant"
-BLOCK = 4096
+INTERVAL = "struct<start: bigint, end: bigint, first_depth: int, last_depth: int>"
 
 
 def escape(s: str) -> str:
@@ -65,7 +68,7 @@ def parse_turns(formatted: str) -> list[tuple[str, str, tuple[int, int]]]:
 def ids_of(path: str | None, texts: list[str]) -> list[np.ndarray]:
     """Token ids of formatted turns: a byte-level vocabulary's, or code points where path is None."""
     if path:
-        return cache(path, True).encode(texts)
+        return cache(path).encode(texts)
     return [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
 
 
@@ -91,53 +94,69 @@ def chained(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def tree(chain: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """chain as from chained(). (nodes, members).
+    """chain as from chained(), stored. (nodes, members).
 
-    nodes: node, parent, depth, tree (the root's name), start, n_tokens, depth_start, ancestors (array of start and end), text (formatted),
-    ids (binary), loss_start, loss_end (characters of text under the loss mask). members: conv_id and its last node.
+    nodes: node, parent, depth, path (its path's start), tree (the root's start), start, n_tokens, depth_start, ancestors (array of
+    start, end, first_depth, last_depth), text (formatted), ids (binary), loss_start, loss_end (characters of text under the loss
+    mask). members: conv_id and its last node.
     """
-    # A conversation is known by its last node; the distinct ones are ranked by a name that sorts chains with a common start together.
-    last = chain.groupBy("conv_id").agg(F.max(F.struct("depth", "node")).alias("m")).select("conv_id", F.col("m.node").alias("leaf"))
-    chain, last = chain, stored(last, "leaves")
-    first = last.groupBy("leaf").agg(F.count("*").alias("n"), F.min("conv_id").alias("conv_id"))
-    steps = stored(chain.join(first.select("conv_id", "leaf"), chain["conv_id"].eqNullSafe(first["conv_id"])).select("leaf", "depth", "node", "parent"), "steps")
-    # The chain in order, 6 bytes of each name; equal starts of it are equal prefixes or, with the leaf at its end, merely neighbours.
-    names = steps.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("depth", F.substring("node", 1, 6).alias("p")))).alias("c"))
-    ranked = names.select("leaf", F.col("c")[0]["p"].alias("root"), F.concat_ws("", F.transform("c", lambda x: F.hex(x["p"]))).alias("key"))
-    ordered = stored(ranked.repartitionByRange("key", "leaf").sortWithinPartitions("key", "leaf").select("leaf", F.monotonically_increasing_id().alias("rank")), "ranked")
-    visits = steps.join(ordered, "leaf").groupBy("node").agg(F.min(F.struct("rank", "depth", "parent", "leaf")).alias("v")).select("node", "v.rank", "v.depth", "v.parent", "v.leaf")
-    texts = chain.groupBy("node").agg(F.first("role").alias("role"), F.first("text").alias("text"))
-    found = visits.join(texts, "node")
+    members = stored(chain.groupBy("conv_id").agg(F.max(F.struct("depth", "node")).alias("m")).select("conv_id", F.col("m.node").alias("leaf")), "leaves")
+    owner = F.concat_ws(":", F.lpad(F.hex(F.xxhash64("conv_id")), 16, "0"), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
+    found = chain.select("node", "parent", "depth", "role", "text", owner.alias("owner")).groupBy("node").agg(
+        F.min("owner").alias("owner"), *[F.first(c).alias(c) for c in ("parent", "depth", "role", "text")]
+    )
 
     def emit(pdfs):
+        working("tokens")
         for pdf in pdfs:
             formatted = [format_turn(r, t) for r, t in zip(pdf["role"], pdf["text"], strict=True)]
             ids = ids_of(path, formatted)
             a = [len(TURN) + len(escape(r)) + len(TEXT) if r == LEARNT else 0 for r in pdf["role"]]
             b = [len(f) - len(END) if r == LEARNT else 0 for r, f in zip(pdf["role"], formatted, strict=True)]
-            yield pdf[["node", "parent", "depth", "rank", "leaf"]].assign(text=formatted, ids=[x.astype("<u4").tobytes() for x in ids], n_tokens=[len(x) for x in ids], loss_start=a, loss_end=b)
-
-    emitted = stored(found.mapInPandas(emit, "node binary, parent binary, depth int, rank long, leaf binary, text string, ids binary, n_tokens long, loss_start int, loss_end int"), "nodes")
-    # Places in the sequence: running sums within blocks of ranks, after the sum of all earlier blocks.
-    from pyspark.sql import Window
-
-    block = F.floor(F.col("rank") / BLOCK)
-    sums = emitted.groupBy(block.alias("block")).agg(F.sum("n_tokens").alias("s"))
-    before = sums.select("block", (F.sum("s").over(Window.orderBy("block")) - F.col("s")).alias("before"))
-    inner = F.sum("n_tokens").over(Window.partitionBy("block").orderBy("rank", "depth").rowsBetween(Window.unboundedPreceding, -1))
-    placed = emitted.select("node", "rank", "depth", "n_tokens", block.alias("block")).join(before, "block").select("node", "n_tokens", (F.col("before") + F.coalesce(inner, F.lit(0))).alias("start"))
-    placed = stored(placed, "placed")
-    # Of each node, the nodes above it: the steps of its first conversation that are less deep.
-    spans = steps.join(placed, "node").select("leaf", F.col("depth").alias("d"), "start", (F.col("start") + F.col("n_tokens")).alias("end"))
-    own = spans.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("d", "start", "end"))).alias("all"))
-    nodes = emitted.join(placed.select("node", "start"), "node").join(own, "leaf")
-    above = F.slice("all", 1, F.col("depth"))
-    nodes = nodes.select(
-        "node", "parent", "depth", F.col("all")[0]["start"].alias("tree"), "start", "n_tokens",
-        F.aggregate(above, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("depth_start"),
-        F.transform(above, lambda x: F.struct(x["start"], x["end"])).alias("ancestors"), "text", "ids", "loss_start", "loss_end",
+            yield pdf[["node", "parent", "owner", "depth"]].assign(text=formatted, ids=[x.astype("<u4").tobytes() for x in ids], n_tokens=[len(x) for x in ids], loss_start=a, loss_end=b)
+
+    emitted = found.mapInPandas(emit, "node binary, parent binary, owner string, depth int, text string, ids binary, n_tokens long, loss_start int, loss_end int")
+    emitted = running(emitted, ["owner", "depth"], "n_tokens", "nodes")  # before: along the path, but for the path's own base
+    # Paths, each with the one it branches off and where.
+    above = F.min_by("parent", "depth")
+    paths = emitted.groupBy("owner").agg(F.min("before").alias("base"), F.sum("n_tokens").alias("length"), F.min("depth").alias("top"), above.alias("node"))
+    joints = emitted.select("node", F.col("owner").alias("parent"), (F.col("before") + F.col("n_tokens")).alias("cut"))
+    paths = stored(paths.join(joints, "node", "left").drop("node").withColumn("parent", F.coalesce("parent", F.lit(""))), "paths")
+    levels = [paths.where("parent = ''")]
+    while not (below := stored(paths.join(levels[-1].select(F.col("owner").alias("parent")), "parent"), "level")).isEmpty():
+        levels.append(below)
+    # Tokens of whole subtrees, from the lowest level up; then each path's place among those beside it.
+    sized = [levels[-1].select("owner", "parent", "top", F.col("length").alias("total"))]
+    for level in reversed(levels[:-1]):
+        sums = sized[0].groupBy(F.col("parent").alias("owner")).agg(F.sum("total").alias("s"))
+        total = (F.col("length") + F.coalesce("s", F.lit(0))).alias("total")
+        sized.insert(0, stored(level.join(sums, "owner", "left").select("owner", "parent", "top", total), "sized"))
+    every = sized[0]
+    for more in sized[1:]:
+        every = every.unionByName(more)
+    beside = running(every.select("owner", "parent", (-F.col("top")).alias("rise"), "total"), ["parent", "rise", "owner"], "total", "beside")
+    first = beside.groupBy("parent").agg(F.min("before").alias("first"))
+    beside = stored(beside.join(first, "parent").select("owner", (F.col("before") - F.col("first")).alias("aside")), "aside")
+    zero = F.lit(0).cast("long")
+    placed = [levels[0].join(beside, "owner").select("owner", "base", "length", "top", F.col("aside").alias("start"), zero.alias("depth_start"), F.col("aside").alias("tree"), F.array().cast(f"array<{INTERVAL}>").alias("ancestors"))]
+    for level in levels[1:]:
+        up = placed[-1].select(F.col("owner").alias("parent"), *[F.col(c).alias(f"u_{c}") for c in ("base", "length", "top", "start", "depth_start", "tree", "ancestors")])
+        cut = F.col("cut") - F.col("u_base")
+        own = F.struct(F.col("u_start").alias("start"), (F.col("u_start") + cut).alias("end"), F.col("u_top").alias("first_depth"), (F.col("top") - 1).alias("last_depth")).cast(INTERVAL)
+        start = F.col("u_start") + F.col("u_length") + F.col("aside")
+        at = level.join(beside, "owner").join(up, "parent").select("owner", "base", "length", "top", start.alias("start"), (F.col("u_depth_start") + cut).alias("depth_start"), F.col("u_tree").alias("tree"), F.concat("u_ancestors", F.array(own)).alias("ancestors"))
+        placed.append(stored(at, "placed"))
+    where = placed[0]
+    for more in placed[1:]:
+        where = where.unionByName(more)
+    where = where.select("owner", "base", "top", F.col("start").alias("path"), "depth_start", "tree", "ancestors")
+    along = F.col("before") - F.col("base")
+    own = F.struct(F.col("path").alias("start"), (F.col("path") + along).alias("end"), F.col("top").alias("first_depth"), (F.col("depth") - 1).alias("last_depth")).cast(INTERVAL)
+    nodes = emitted.join(where, "owner").select(
+        "node", "parent", "depth", "path", "tree", (F.col("path") + along).alias("start"), "n_tokens", (F.col("depth_start") + along).alias("depth_start"),
+        F.when(along > 0, F.concat("ancestors", F.array(own))).otherwise(F.col("ancestors")).alias("ancestors"), "text", "ids", "loss_start", "loss_end",
     )
-    return nodes, last
+    return nodes, members
 
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -146,9 +165,12 @@ def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
     """
     wanted = members.groupBy("leaf").agg(F.count("*").alias("n")).select("leaf")
-    ends = wanted.join(nodes.select(F.col("node").alias("leaf"), "start", "ancestors"), "leaf")
-    starts = ends.select("leaf", F.explode(F.concat(F.transform("ancestors", lambda x: x["start"]), F.array("start"))).alias("start"))
-    parts = starts.join(nodes.select("start", "text", "loss_start", "loss_end"), "start").select("leaf", "start", "text", "loss_start", "loss_end")
+    ends = wanted.join(nodes.select(F.col("node").alias("leaf"), "path", "depth", "ancestors"), "leaf")
+    none = F.lit(None).cast("long")
+    last = F.struct(F.col("path").alias("start"), none.alias("end"), F.col("depth").alias("first_depth"), F.col("depth").alias("last_depth")).cast(INTERVAL)
+    spans = ends.select("leaf", F.explode(F.concat("ancestors", F.array(last))).alias("a"))
+    steps = spans.select("leaf", F.col("a.start").alias("path"), F.explode(F.sequence("a.first_depth", "a.last_depth")).alias("depth"))
+    parts = steps.join(nodes.select("path", "depth", "text", "loss_start", "loss_end"), ["path", "depth"]).select("leaf", "depth", "text", "loss_start", "loss_end")
 
     def run(pdfs):
         key, state = None, None
@@ -176,8 +198,7 @@ def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
         if key is not None:
             yield pd.DataFrame([row()])
 
-    # A node's start grows with its depth along a conversation, so it orders the turns.
-    read = parts.repartition("leaf").sortWithinPartitions("leaf", "start").mapInPandas(run, "leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    read = parts.repartition("leaf").sortWithinPartitions("leaf", "depth").mapInPandas(run, "leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return members.join(read, "leaf").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
