@@ -1,11 +1,13 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Vectors are dealt into blocks. Of each block there is an approximation: per dimension a grid of 2 ** bits integer cells,
-so that a vector is between its cells' edges. A block of queries meets a block of vectors in a task of its own: one
-product over cell edges bounds every score from both sides, then exact vectors are read in order of their best possible
-score, until the k-th exact score found is above what any unread one could reach. The blocks' k best are merged by rank.
+Of each block of vectors there is an approximation file: per dimension a grid of 256 cells, one byte a component, an eighth
+of the exact vectors' size. It is the only thing that queries are held against at first: a block of queries meets a block
+of cells in a task of its own, where the cells bound every score from both sides, and only vectors whose upper bound
+reaches the k-th best lower bound remain. Then exact vectors, which lie in a table of their own, are read in order
+of upper bounds: the first k of each query, and after them only those whose bound still reaches the k-th exact score.
 
-Every vector meets every query once, block by block; a row is sent once per block of the other side.
+Of equal vectors, the k + 1 with the smallest ids alone can be among a query's k best, so a vector that makes up a large
+part of all rows is cut down before it is dealt out. Every other vector meets every query once, as cells, block by block.
 
 Edge cases: vectors that are null or hold a null or a value that isn't finite take no part, nor do rows without an id; scores are
 between vectors of one length; rows with the query's id are its own row; repeated query rows are answered one by one;
@@ -17,14 +19,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-BITS = 6
-QUERY_BLOCK = 4096
-VECTOR_BLOCK = 4096
+CELLS = 256
+QUERY_BLOCK = 16_384
+VECTOR_BLOCK = 16_384
+#: Queries whose bounds are in memory at once.
 STEP = 64
 LIMITS = (-(1 << 63), (1 << 63) - 1)
 
@@ -37,91 +40,114 @@ def scaled(df: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector_co
         out = []
         for v in vectors:
             x = None if v is None else np.array([np.nan if c is None else c for c in v] if v.dtype == object else v, np.float64)
-            out.append(np.floor(scale * x).tobytes() if x is not None and np.isfinite(scale * x).all() else None)
+            out.append((np.floor(scale * x) + 0.0).tobytes() if x is not None and np.isfinite(scale * x).all() else None)  # no -0.0
         return pd.Series(out, dtype=object)
 
     rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), floored(vector_col).alias("x"))
     return rows.where("x IS NOT NULL").withColumn("dim", (F.octet_length("x") / 8).cast("int"))
 
 
-def top_of_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each query, the rows of its k best vectors (ties to the smaller id) and their scores."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    if not q.shape[1] or np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] >= 2.0**52:
-        exact = [[int(c) for c in v] for v in x]
-        for v, own in zip(q, q_ids, strict=True):
-            whole = [int(c) for c in v]
-            score = np.array([min(max(sum(a * b for a, b in zip(whole, w, strict=True)), LIMITS[0]), LIMITS[1]) for w in exact], np.int64)
-            at = np.flatnonzero(x_ids != own)
-            at = np.array(sorted(at.tolist(), key=lambda r: (-int(score[r]), x_ids[r]))[:k], np.int64)
-            out.append((at, score[at]))
-        return out
-    low = x.min(0)
-    width = np.maximum(1, np.ceil((x.max(0) - low + 1) / (1 << bits)))
-    cells = ((x - low) // width).astype(np.uint16)  # the approximation
-    edge = low + cells * width
-    up, down = np.maximum(q, 0) @ (width - 1), np.minimum(q, 0) @ (width - 1)
-    for a in range(0, len(q), 256):
-        near = q[a : a + 256] @ edge.T  # exact: whole numbers below 2 ** 53
-        for r, base in enumerate(near):
-            v, own = q[a + r], x_ids == q_ids[a + r]
-            base[own] = -np.inf
-            n = len(base) - int(own.sum())
-            if n <= 0:
-                out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                continue
-            if n > k:  # no vector whose best is below the k-th best of what is sure can be among the k
-                sure = np.partition(base, -k)[-k] + down[a + r]
-                at = np.flatnonzero(base + up[a + r] >= sure)
-            else:
-                at = np.flatnonzero(~own)
-            at = at[np.argsort(-base[at], kind="stable")]
-            found, score = at[:0], np.zeros(0)
-            for s in range(0, len(at), STEP):
-                if len(found) >= k and base[at[s]] + up[a + r] < score[k - 1]:
-                    break
-                more = at[s : s + STEP]
-                found, score = np.concatenate([found, more]), np.concatenate([score, x[more] @ v])
-                order = np.lexsort((x_ids[found], -score))[:k]
-                found, score = found[order], score[order]
-            out.append((found, score.astype(np.int64)))
+def approximation(x: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per dimension the grid's low edge and its cells' width, and the cell of each component (a byte)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        low = x.min(0)
+        width = np.maximum(1, np.ceil((x.max(0) - low + 1) / cells))
+        at = np.clip(np.nan_to_num((x - low) // width), 0, cells - 1).astype(np.uint8)
+    return low, width, at
+
+
+def bounds(q: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the clipped scores of each query with each vector, from the vectors' cells alone."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        base = (q * width) @ cells.T.astype(np.float64) + (q @ low)[:, None]
+        size = (np.abs(q) @ (np.abs(low) + CELLS * width))[:, None]
+        slack = np.where(size < 2.0**52, 0.0, size * 2.0**-40)  # sums of whole numbers are exact below
+        lower = base + (np.minimum(q, 0) @ (width - 1))[:, None] - slack
+        upper = base + (np.maximum(q, 0) @ (width - 1))[:, None] + slack
+    lower[np.isnan(lower)], upper[np.isnan(upper)] = -np.inf, np.inf
+    return np.clip(lower, *map(float, LIMITS)), np.clip(upper, *map(float, LIMITS))
+
+
+def candidates(q: np.ndarray, q_ids: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray, ids: np.ndarray, k: int):
+    """(query's place, vector's place, lower, upper) of the pairs whose upper bound reaches the query's k-th lower bound."""
+    for a in range(0, len(q), STEP):
+        lower, upper = bounds(q[a : a + STEP], low, width, cells)
+        other = ids[None, :] != q_ids[a : a + STEP, None]
+        if lower.shape[1] > k:
+            lower[~other] = -np.inf
+            sure = np.partition(lower, -k, axis=1)[:, -k]
+            other &= upper >= sure[:, None]
+        i, j = np.nonzero(other)
+        yield i + a, j, lower[i, j], upper[i, j]
+
+
+def exact_scores(q: pd.Series, x: pd.Series) -> np.ndarray:
+    """Inner products of vectors given as bytes of doubles, row by row."""
+    out = np.zeros(len(q), np.int64)
+    size = q.map(len).to_numpy()
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        a, b = (np.frombuffer(b"".join(v.iloc[at])).reshape(len(at), -1) for v in (q, x))
+        if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * (n // 8) < 2.0**52:
+            out[at] = np.einsum("ij,ij->i", a, b)
+        else:
+            out[at] = [min(max(sum(int(c) * int(d) for c, d in zip(v, w, strict=True)), LIMITS[0]), LIMITS[1]) for v, w in zip(a, b, strict=True)]
     return out
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK, bits: int = BITS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK, cells: int = CELLS) -> DataFrame:
     """vectors as from scaled(). query_id, rank, vec_id, score: the k best of each row for which the column is_query holds."""
     rows = stored(vectors, "vectors").withColumn("row", F.monotonically_increasing_id())  # of stored rows: the same on a retry
-    count = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    n_v, n_q = max(1, -(-count["n"] // vector_block)), max(1, -(-count["q"] // query_block))
-    cell = lambda own, n_other, mine, other: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_other - 1)), lambda o: F.struct(own.alias(mine), o.alias(other)))).alias("c")
-    pack = lambda pdf: pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "rows": [pdf["row"].to_numpy(np.int64).tobytes()], "data": [b"".join(pdf["x"])]})
-    kind = "dim int, block int, ids binary, rows binary, data binary"
+    least = F.row_number().over(Window.partitionBy("dim", "x").orderBy("vec_id", "row"))
+    exact = stored(rows.withColumn("nth", least).where(F.col("nth") <= k + 1).drop("nth"), "exact")
+    queries = rows.where(is_query)
+    n_v, n_q = max(1, -(-exact.count() // vector_block)), max(1, -(-queries.count() // query_block))
+    ids = lambda pdf: {"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "rows": [pdf["row"].to_numpy(np.int64).tobytes()]}
+    matrix = lambda pdf: np.frombuffer(b"".join(pdf["x"])).reshape(len(pdf), -1)
+    kind = "dim int, block int, ids binary, rows binary, low binary, width binary, data binary"
+
+    def approximated(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, width, at = approximation(matrix(pdf), cells)
+        return pd.DataFrame(ids(pdf) | {"low": [low.tobytes()], "width": [width.tobytes()], "data": [at.tobytes()]})
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(ids(pdf) | {"low": [b""], "width": [b""], "data": [b"".join(pdf["x"])]})
+
     # Blocks are numbered over all lengths, so a length with few rows has small blocks.
-    v_blocks = rows.withColumn("block", F.pmod("row", F.lit(n_v)).cast("int")).groupBy("dim", "block").applyInPandas(pack, kind)
-    q_rows = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_q)).cast("int"))
-    q_blocks = q_rows.groupBy("dim", "block").applyInPandas(pack, kind)
-    sent = v_blocks.select("dim", "ids", "rows", "data", F.lit(1).alias("kind"), cell(F.col("block"), n_q, "v", "q")).unionByName(
-        q_blocks.select("dim", "ids", "rows", "data", F.lit(0).alias("kind"), cell(F.col("block"), n_v, "q", "v"))
-    )
-    meet = sent.select("dim", "c.q", "c.v", "kind", "ids", "rows", "data").repartition("dim", "q", "v").sortWithinPartitions("dim", "q", "v", "kind")
-
-    def run(pdfs):
-        cell_, q, q_ids, q_rows_ = None, None, None, None
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block")
+    files = stored(exact.select("*", block(n_v)).groupBy("dim", "block").applyInPandas(approximated, kind), "approximation")
+    asked = queries.select("*", block(n_q)).groupBy("dim", "block").applyInPandas(packed, kind)
+    cell = lambda own, n_other, mine, other: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_other - 1)), lambda o: F.struct(own.alias(mine), o.alias(other)))).alias("c")
+    held = ("dim", "ids", "rows", "low", "width", "data")
+    sent = files.select(*held, F.lit(1).alias("kind"), cell(F.col("block"), n_q, "v", "q")).unionByName(asked.select(*held, F.lit(0).alias("kind"), cell(F.col("block"), n_v, "q", "v")))
+    meet = sent.select("dim", "c.q", "c.v", "kind", *held[1:]).repartition("dim", "q", "v").sortWithinPartitions("dim", "q", "v", "kind")
+
+    def scan(pdfs):
+        at, q, q_ids, q_rows = None, None, None, None
         for pdf in pdfs:
-            for dim, qb, vb, side, ids, row, data in pdf.itertuples(index=False):
-                ids, row = np.frombuffer(ids, np.int64), np.frombuffer(row, np.int64)
-                x = np.frombuffer(data).reshape(len(ids), dim)
+            for dim, qb, vb, side, own, row, low, width, data in pdf.itertuples(index=False):
+                own, row = np.frombuffer(own, np.int64), np.frombuffer(row, np.int64)
                 if side == 0:
-                    cell_, q, q_ids, q_rows_ = (dim, qb, vb), x, ids, row
-                elif cell_ == (dim, qb, vb):
-                    best = top_of_block(q, q_ids, x, ids, k, bits)
-                    sizes = [len(at) for at, _ in best]
-                    if sum(sizes):
-                        at, score = (np.concatenate(z) for z in zip(*best, strict=True))
-                        yield pd.DataFrame({"query_id": np.repeat(q_ids, sizes), "row": np.repeat(q_rows_, sizes), "vec_id": ids[at], "score": score})
-
-    found = meet.mapInPandas(run, "query_id long, row long, vec_id long, score long")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    at, q, q_ids, q_rows = (dim, qb, vb), np.frombuffer(data).reshape(len(own), dim), own, row
+                elif at == (dim, qb, vb):
+                    for i, j, lower, upper in candidates(q, q_ids, np.frombuffer(low), np.frombuffer(width), np.frombuffer(data, np.uint8).reshape(len(own), dim), own, k):
+                        yield pd.DataFrame({"query_id": q_ids[i], "asked": q_rows[i], "row": row[j], "lower": lower, "upper": upper})
+
+    found = meet.mapInPandas(scan, "query_id long, asked long, row long, lower double, upper double")
+    whole = Window.partitionBy("asked").orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = found.withColumn("sure", F.nth_value("lower", k).over(whole)).where("sure IS NULL OR upper >= sure")
+    near = stored(near.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("upper"), "row"))).drop("sure", "lower"), "candidates")
+
+    @F.pandas_udf("long")
+    def dot(q: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series(exact_scores(q, x))
+
+    def read(pairs: DataFrame) -> DataFrame:
+        asked = queries.select(F.col("row").alias("asked"), F.col("x").alias("q"))
+        return pairs.join(exact.select("row", "vec_id", "x"), "row").join(asked, "asked").select("query_id", "asked", "vec_id", dot("q", "x").alias("score"))
+
+    first = stored(read(near.where(F.col("place") <= k)), "first-read")
+    kth = first.groupBy("asked").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
+    more = read(near.where(F.col("place") > k).join(kth, "asked").where(F.col("upper") >= F.col("kth").cast("double")))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    return first.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
