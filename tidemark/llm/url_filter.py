@@ -65,10 +65,11 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Of each distinct (host, path) that a rule fits: host, path, rule, rule_verdict of the longest, ties to the smaller rule."""
-    if rules.count() <= BROADCAST_RULES:
+    told = rules.agg(F.count("*").alias("n"), F.max(F.size(F.split("rule_host", "\\."))).alias("labels")).first()
+    if told["n"] <= BROADCAST_RULES:
         rules = F.broadcast(rules)
-    labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    # No rule fits more labels than the longest has, however many a host has.
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -k) for k in range(1, (told["labels"] or 1) + 1)]))
     found = urls.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes)).join(rules, "rule_host").where(F.expr("startswith(path, rule_path)"))
     best = F.min(F.struct(-F.length("rule"), "rule", "rule_verdict")).alias("b")
     return found.groupBy("host", "path").agg(best).select("host", "path", "b.rule", "b.rule_verdict")
