@@ -39,12 +39,12 @@ def op3(lib, text):
 
 def op5(texts, threshold=200):
     data = [(t or "").encode() for t in texts]
-    count = Counter(b[i : i + threshold] for b in data for i in range(len(b) - threshold + 1))
+    count = Counter(hashlib.blake2b(b[i : i + threshold], digest_size=16).digest() for b in data for i in range(len(b) - threshold + 1))
     out = []
     for b in data:
         gone = np.zeros(len(b) + 1, bool)
         for i in range(len(b) - threshold + 1):
-            if count[b[i : i + threshold]] > 1:
+            if count[hashlib.blake2b(b[i : i + threshold], digest_size=16).digest()] > 1:
                 gone[i : i + threshold] = True
         kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
         out.append((len(b), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))

@@ -61,14 +61,29 @@ def test_forest_is_depth_first(spark):
         at += r["n_tokens"]
         path = path[: r["depth"]]
         assert len(path) == r["depth"] and (not path or path[-1] == bytes(r["parent"]))  # a child follows within its parent's subtree
-        assert [(x["start"], x["end"]) for x in r["ancestors"]] == [(named[p]["start"], named[p]["start"] + named[p]["n_tokens"]) for p in path]
-        assert r["depth_start"] == sum(named[p]["n_tokens"] for p in path)
+        above = {t for p in path for t in range(named[p]["start"], named[p]["start"] + named[p]["n_tokens"])}
+        attended = [t for x in r["ancestors"] for t in range(x["start"], x["end"])]
+        assert len(attended) == len(set(attended)) and set(attended) == above
+        assert r["depth_start"] == len(above)
         assert r["tree"] == (named[path[0]]["start"] if path else r["start"])
         path.append(bytes(r["node"]))
     shared = [r for r in rows if "Be <" in r["text"]]
     assert len(shared) == 1 and members.count() == df.select("conv_id").distinct().count()
 
 
+def test_a_long_conversation_with_branches_takes_linear_space(spark):
+    n = 3000
+    rows = [(0, k, "user", f"t{k}") for k in range(n)]
+    rows += [(c, k, "user", f"t{k}") for c in range(1, 40) for k in range(c)] + [(c, c, "assistant", f"end {c}") for c in range(1, 40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    nodes, members = chat_format.formatted(df)
+    r = nodes.agg(F.count("*").alias("n"), F.sum(F.size("ancestors")).alias("held"), F.max(F.size("ancestors")).alias("most")).first()
+    assert r["n"] == n + 39 and r["held"] <= 6 * n and r["most"] <= 20
+    got = {r["conv_id"]: (r["n_turns"], r["formatted_chars"]) for r in chat_format.read_back(nodes, members).collect()}
+    size = lambda c, k: len(chat_format.format_turn("user", f"t{k}"))
+    assert got[0] == (n, sum(size(0, k) for k in range(n))) and got[7][0] == 8 and len(got) == 40
+
+
 def brute_top(rows, k=20):
     ok = [(i, np.floor(64 * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
     out = []
@@ -101,19 +116,27 @@ def test_small_blocks_and_coarse_cells(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (300, 8)))]
     df = vector_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = vector_search.top_k(df, F.col("vec_id") % 20 == 0, 20, query_block=4, vector_block=37, bits=2)
+    got = vector_search.top_k(df, F.col("vec_id") % 20 == 0, 20, query_block=4, vector_block=37, cells=4)
     assert sorted(map(tuple, got.collect())) == brute_top(rows)
 
 
 def test_cells_spare_reads():
     rng = np.random.default_rng(1)
-    x = np.floor(rng.normal(0, 8, (2000, 16)))
-    best = vector_search.top_of_block(x[:5], np.arange(5), x, np.arange(2000), 10)
-    for k, (at, score) in enumerate(best):
-        full = x @ x[k]
-        full[k] = -np.inf
-        order = np.lexsort((np.arange(2000), -full))[:10]
-        assert at.tolist() == order.tolist() and score.tolist() == full[order].tolist()
+    x = np.floor(rng.normal(0, 64, (4000, 16)))
+    low, width, cells = vector_search.approximation(x)
+    assert cells.nbytes * 8 == x.nbytes
+    lower, upper = vector_search.bounds(x[:50], low, width, cells)
+    full = x[:50] @ x.T
+    assert (lower <= full).all() and (full <= upper).all()
+    kept = sum(len(i) for i, *_ in vector_search.candidates(x[:50], np.arange(50), low, width, cells, np.arange(4000), 10))
+    assert 500 <= kept < 1500
+
+
+def test_a_vector_that_is_most_rows(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(400)] + [(400 + i, [0.5 + i / 64, 1.0]) for i in range(100)]
+    df = vector_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = vector_search.top_k(df, F.col("vec_id") % 20 == 0, 20, query_block=7, vector_block=50)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
 
 
 def pages(spark, which):
@@ -146,7 +169,22 @@ def test_archives_are_deterministic(spark):
         uri = shared_path(spark, "warc")
         rows = warc.write(df.repartition(n), uri, shard_bytes=60_000, file_bytes=6_000).collect()
         seen.append(sorted((r["path"], r["sha256"], r["n_records"]) for r in rows))
-    assert seen[0] == seen[1] and len(seen[0]) > 5 and max(p for p, *_ in seen[0]) > "part-00001-00001"
+    assert seen[0] == seen[1] and len(seen[0]) > 5 and max(p for p, *_ in seen[0]) > "part-000001-00001"
+
+
+def test_archives_with_extreme_and_hot_ids(spark):
+    rows = [(-(1 << 63), "a", "x" * 400), ((1 << 63) - 1, "b", "y"), (0, "c", "x" * 400)] + [(None, f"n{k % 3}", "z" * 700) for k in range(3000)] + [(7, f"h{k}", f"{k % 50}" * 300) for k in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    uri = shared_path(spark, "warc")
+    shards = {r["shard"] for r in warc.write(df, uri, shard_bytes=100_000, file_bytes=4_000).collect()}
+    assert len(shards) > 20
+    got = warc.read(spark, uri).collect()
+    most = {}
+    for i, _, b in rows:
+        if i is not None:
+            most[b] = max(most.get(b, i), i)
+    want = [(i, len(b), "revisit" if b in most and most[b] != i else "response", most[b] if b in most and most[b] != i else None) for i, _, b in rows]
+    assert sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_reader_rejects_damage(spark, tmp_path):
@@ -183,6 +221,48 @@ def test_op10(spark, monkeypatch, which):
     assert got == sorted(want, key=str)
 
 
+def brute_verdicts(hosts, labelled, how):
+    """Of each host, whether its posterior's lower bound is over the limit: beta-binomial priors from suffix to domain to host."""
+
+    def names(host):
+        host = host.rsplit(":", 1)[0] if ":" in host else host
+        labels = host.split(".")
+        n = 2 if ".".join(labels[-2:]) in url_filter.SUFFIXES else 1
+        return ".".join(labels[-n - 1 :]), ".".join(labels[-n:])
+
+    count = [{}, {}, {}]
+    for host, bad in labelled:
+        for level, name in enumerate((host, *names(host))):
+            n, b = count[level].get(name, (0, 0))
+            count[level][name] = n + 1, b + bad
+    total, bad = len(labelled), sum(b for _, b in labelled)
+    mean = (bad + 0.5) / (total + 1)
+    strength = []
+    for level in count:
+        spread = sum(n * (b / n) ** 2 for n, b in level.values()) / total - (bad / total) ** 2 - mean * (1 - mean) * len(level) / total
+        strength.append(min(how.most, max(how.least, mean * (1 - mean) / spread - 1)) if spread > 0 else how.most)
+    suffix = {name: (b + mean * strength[2]) / (n + strength[2]) for name, (n, b) in count[2].items()}
+    domain = {name: (b + suffix[name if name in suffix else names(name)[1]] * strength[1]) / (n + strength[1]) for name, (n, b) in count[1].items()}
+    out = {}
+    for host in hosts:
+        d, s = names(host)
+        prior, (n, b) = domain.get(d, suffix.get(s, mean)), count[0].get(host, (0, 0))
+        p, q = b + prior * strength[0], n - b + (1 - prior) * strength[0]
+        out[host] = p / (p + q) - how.z * math.sqrt(p * q / (p + q) ** 2 / (p + q + 1)) > how.limit
+    return out
+
+
+def test_verdicts_against_a_plain_model(spark):
+    rng = random.Random(9)
+    names = [f"{a}.{b}.{c}" for a in "wxyz" for b in ("one", "two", "bad", "worse") for c in ("com", "org", "co.uk", "net:80")] + ["solo", "a.b"]
+    rows = [(h, int(rng.random() < (0.95 if "bad" in h else 0.8 if "worse" in h else 0.1))) for h in names for _ in range(rng.choice([0, 1, 3, 40]))]
+    hosts = sorted({*names, "new.bad.com", "q.worse.org", "fresh.com", "x.unknown"})
+    want = brute_verdicts(hosts, rows, url_filter.Reputation())
+    pages = spark.createDataFrame([(k, f"http://{h}/") for k, h in enumerate(hosts)], "page_id long, url string")
+    got = url_filter.judged(pages, url_filter.rule_table(spark, [("allow", "rule.invalid/")]), spark.createDataFrame(rows, "host string, bad int")).collect()
+    assert {r["host"]: r["verdict"] == "block" for r in got} == want and 3 < sum(want.values()) < len(want) - 3
+
+
 def test_reputation_blocks_bad_hosts_and_shrinks(spark):
     rows = [("bad.spam.com", 1)] * 40 + [("new.spam.com", 1)] + [("ok.fine.com", 0)] * 60 + [("one.fine.com", 1)] + [("x.other.org", 0)] * 30
     got = {r["host"]: r for r in url_filter.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
@@ -202,6 +282,14 @@ def test_hosts_without_outcomes_are_judged_like_their_siblings(spark):
     assert {r["host"] for r in got if r["verdict"] == "block"} == {"new.spam.com", "new.spam.com:81", "new.bad.co.uk", "h1.spam.com"}
 
 
+def test_hosts_of_very_many_labels(spark):
+    host = "a." * 200_000 + "example.net"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, f"http://{host}/de"), (3, "http://" + "b" * 500_000)], "page_id long, url string")
+    labelled = spark.createDataFrame([("x.com", 0)], "host string, bad int")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judged(pages, url_filter.rule_table(spark, queries.URL_RULES), labelled).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, "allow")}
+
+
 def test_empty_tables(spark, monkeypatch):
     for name, df, q in (("conversations", turns(spark, "edge"), queries.op4_chat_formatting), ("embeddings", spark.read.parquet(f"{SF}/embeddings.parquet"), queries.op6_vector_search), ("pages", pages(spark, "edge"), queries.op8_warc), ("pages", pages(spark, "edge"), queries.op10_url_filter)):
         got = run(spark, monkeypatch, name, df.limit(0), q).collect()
