@@ -35,9 +35,13 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return suffix_dedup.without_repeats(docs)
 
 
+#: A training sequence holds 4096 tokens of 64 documents at most.
+SEQUENCE = packing.Capacity(tokens=4096, documents=64, attention=4096 * 4096, weights=(1.0, 0.5, 0.5))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens, placed in sequences of at most 4096."""
-    return packing.packed(packing.pieces(docs, queries.tokenizer_path("word_bpe_49k.json")))
+    """Every document's tokens, placed in sequences of at most 4096 tokens and 64 documents."""
+    return packing.packed(packing.pieces(docs, queries.tokenizer_path("word_bpe_49k.json"), SEQUENCE), SEQUENCE)
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("simhash_near_dedup", near_dedup), ("suffix_array_dedup", passage_dedup), ("best_fit_packing", packed)]
