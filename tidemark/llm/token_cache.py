@@ -26,8 +26,6 @@ GROUP_BYTES = 2 << 20
 LONGEST = 128
 #: White space other than ASCII's, and separators on which regex engines disagree: texts with these go to the library whole.
 ODD_SPACE = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]"
-#: Texts with these may hold a special token, which no cut but white space leaves whole.
-MARKS = "<\\||\\|>"
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LETTER, PUNCTUATION = 1, 2
@@ -75,6 +73,9 @@ class ChunkCache:
         self.lower = "</w>" == getattr(self.lib.model, "end_of_word_suffix", None)  # this vocabulary has lower case alone, and no white space
         self.letters = byte_letters()
         self.mark, self.mark_id = next((t.content, i) for i, t in self.lib.get_added_tokens_decoder().items() if t.content == "<|endoftext|>")
+        # Texts with the string of a special token, in any case as some vocabularies lower it: no cut but white space leaves those whole.
+        self.special = "(?i)" + "|".join(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values())
+        self.is_special = re.compile(self.special).search
         self.index: dict[str, int] = {}
         self.start, self.length, self.uses = (np.zeros(1024, np.int64) for _ in range(3))
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -136,7 +137,7 @@ class ChunkCache:
                 continue
             if sizes:
                 yield plain()
-            if "<|" in c or "|>" in c:
+            if self.is_special(c):
                 if part:
                     yield batch()
                 ids = np.array(self.lib.encode(c, add_special_tokens=False).ids, np.uint32)
@@ -173,7 +174,7 @@ class ChunkCache:
         white = WHITE[data]
         begins, finer = np.empty(total, bool), breaks(data)
         begins[0], begins[1:] = True, white[1:] & ~white[:-1]
-        marked = np.flatnonzero(pc.match_substring_regex(column, MARKS).to_numpy(zero_copy_only=False))
+        marked = np.flatnonzero(pc.match_substring_regex(column, self.special).to_numpy(zero_copy_only=False))
         for k in marked:
             finer[bounds[k] : bounds[k + 1]] = False
         begins |= finer
