@@ -14,6 +14,25 @@ ARTIFACT_KIND = {1: "audio", 2: "report", 3: "video", 5: "mind_map", 7: "infogra
 QUIZ_FAMILY = {1: "flashcards", 2: "quiz", 4: "mind_map"}
 RESEARCH = {1: "in_progress", 2: "completed", 3: "no_results", 4: "cancelled", 6: "completed"}
 RESULT_TYPE = {"web": 1, "drive": 2, "report": 5}
+TIER = {1: ("Standard", 100, 50), 2: ("Pro", 500, 300), 3: ("Ultra 20 TB", 500, 500), 4: ("Plus", 200, 100), 6: ("Ultra 30 TB", 500, 600)}
+CATEGORIES = (
+    "not_found", "auth", "rate_limited", "validation", "config", "dependency", "network", "notebook_limit",
+    "artifact_timeout", "timeout", "server", "rpc", "source_mutation", "source_add", "library", "unexpected",
+)
+RETRIABLE = ("rate_limited", "server", "timeout", "artifact_timeout", "network")
+LANGUAGE = {
+    "en": "English", "zh_Hans": "中文（简体）", "zh_Hant": "中文（繁體）", "es": "Español", "es_419": "Español (Latinoamérica)", "es_MX": "Español (México)",
+    "hi": "हिन्दी", "ar_001": "العربية", "ar_eg": "العربية (مصر)", "pt_BR": "Português (Brasil)", "pt_PT": "Português (Portugal)", "bn": "বাংলা", "ru": "Русский",
+    "ja": "日本語", "pa": "ਪੰਜਾਬੀ", "de": "Deutsch", "jv": "Basa Jawa", "ko": "한국어", "fr": "Français", "fr_CA": "Français (Canada)", "te": "తెలుగు",
+    "vi": "Tiếng Việt", "mr": "मराठी", "ta": "தமிழ்", "tr": "Türkçe", "ur": "اردو", "it": "Italiano", "th": "ไทย", "gu": "ગુજરાતી", "fa": "فارسی",
+    "pl": "Polski", "uk": "Українська", "ml": "മലയാളം", "kn": "ಕನ್ನಡ", "or": "ଓଡ଼ିଆ", "my": "မြန်မာဘာသာ", "sw": "Kiswahili", "nl_NL": "Nederlands",
+    "ro": "Română", "hu": "Magyar", "el": "Ελληνικά", "cs": "Čeština", "sv": "Svenska", "be": "Беларуская", "bg": "Български", "hr": "Hrvatski",
+    "sk": "Slovenčina", "da": "Dansk", "fi": "Suomi", "nb_NO": "Norsk Bokmål", "nn_NO": "Norsk Nynorsk", "he": "עברית", "iw": "עברית", "id": "Bahasa Indonesia",
+    "ms": "Bahasa Melayu", "fil": "Filipino", "ceb": "Cebuano", "sr": "Српски", "sl": "Slovenščina", "sq": "Shqip", "mk": "Македонски", "lt": "Lietuvių",
+    "lv": "Latviešu", "et": "Eesti", "hy": "Հայերեն", "ka": "ქართული", "az": "Azərbaycanca", "af": "Afrikaans", "am": "አማርኛ", "eu": "Euskara",
+    "ca": "Català", "gl": "Galego", "is": "Íslenska", "la": "Latina", "ne": "नेपाली", "ps": "پښتو", "sd": "سنڌي", "si": "සිංහල",
+    "ht": "Kreyòl Ayisyen", "kok": "कोंकणी", "mai": "मैथिली",
+}
 
 
 def _col(c: Column | str) -> Column:
@@ -65,3 +84,36 @@ def span(start: Column | str, end: Column | str) -> Column:
     """start and end, or null where either is missing, negative or the wrong way round."""
     a, b = _col(start), _col(end)
     return F.when((a >= 0) & (b >= a), F.struct(a.alias("start"), b.alias("end")))
+
+
+def language(code: Column | str) -> Column:
+    """A language code's own name; null where the code is not one (codes are told apart by case)."""
+    table = F.create_map(*map(F.lit, itertools.chain(*LANGUAGE.items())))
+    return F.try_element_at(table, _col(code))
+
+
+def termination(code: Column | str, n_sources: Column | str) -> Column:
+    """Why a research run ended; ``no_results`` isn't said of a run that has sources. Null without a code."""
+    reason = named(code, RESEARCH)
+    return F.when(_col(code).isNotNull(), F.when((reason == "no_results") & (_col(n_sources) > 0), "unknown").otherwise(reason))
+
+
+def error_category(names: Column | str) -> Column:
+    """Of the categories that fit a failure (an array), the first in the fixed order; ``unexpected`` where none does."""
+    order = F.array(*map(F.lit, CATEGORIES))
+    return F.coalesce(F.try_element_at(F.filter(order, lambda c: F.array_contains(_col(names), c)), F.lit(1)), F.lit(CATEGORIES[-1]))
+
+
+def retriable(category: Column | str) -> Column:
+    return _col(category).isin(*RETRIABLE)
+
+
+def rate_limited(status: Column | str, code: Column | str, error: Column | str) -> Column:
+    """A failed or removed task that was turned away: by its code, else by what its text says."""
+    low = F.lower(_col(error))
+    said = low.contains("rate limit") | low.contains("quota") | low.contains("limit exceeded")
+    return _col(status).isin("failed", "removed") & (F.coalesce(_col(code) == "USER_DISPLAYABLE_ERROR", F.lit(False)) | F.coalesce(said, F.lit(False)))
+
+
+def hyphenated(kind: Column | str) -> Column:
+    return F.replace(_col(kind), F.lit("_"), F.lit("-"))

@@ -16,13 +16,21 @@ BOT_WALL = ("just a moment", "enable javascript and cookies", "checking your bro
 GATEWAY = r"(?i)^\s*(access denied|403|404|forbidden|not found|502|just a moment|attention required|security check|captcha)"
 SECRETS = (
     (r"(\bat=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
+    (r"(\b(?:SNlM0e|FdrFJe))([\"']?\s*:\s*)\"(?:[^\"'\\]|\\.)*\"", "$1$2\"***\""),
+    (r"(\b(?:SNlM0e|FdrFJe))([\"']?\s*:\s*)'(?:[^\"'\\]|\\.)*'", "$1$2'***'"),
+    (r"(\b(?:SNlM0e|FdrFJe))((?:&quot;)?\s*:\s*)&quot;.*?&quot;", "$1$2&quot;***&quot;"),
+    (r"(\b(?:SNlM0e|FdrFJe))(\s*(?:value\s+is|[:=])\s*)[^\s\"'<>&;,.?!)\]}]+", "$1$2***"),
     (r"(?i)(\bcsrf=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
+    (r"(AF1_QpN-)[A-Za-z0-9_-]+", "$1***"),
+    (r"(\bf\.sid=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
     (r"(?i)(\bupload_id=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
     (r"(?i)(\b(?:refresh_token|access_token|id_token|code)=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
+    (r"(__(?:Secure|Host)-[A-Za-z0-9_]+=)(\"?)[^;\s\"'<>]+(\"?)", "$1$2***$3"),
+    (r"(g\.a000-|sidts-|ya29\.|AIza)[A-Za-z0-9_.-]{8,}", "$1***"),
     (r"(?i)(Authorization:\s*Bearer\s+)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
     (r"(?i)(Cookie:\s*)[^\r\n]+", "$1***"),
 )
-SECRET_HINT = "(?i)at=|csrf=|upload_id=|token=|code=|bearer|cookie:"
+SECRET_HINT = r"(?i)at=|csrf=|upload_id=|token=|code=|bearer|cookie:|snlm0e|fdrfje|af1_qpn-|f\.sid=|__secure-|__host-|g\.a000-|sidts-|ya29\.|aiza"
 PATHS = (
     (r"(/files/(?:dl|ul)/)[A-Za-z0-9._-]+", "$1***"),
     (r"(/(?:home|Users)/)(?:\w+(?:[.-]+\w+)* \w+(?:[.-]+\w+)*(?=/)|\w+(?:[.-]+\w+)*)", "$1***"),
@@ -109,3 +117,16 @@ def pair(question: Column | str, answer: Column | str) -> Column:
     """One exchange as markdown; an empty half is left out."""
     half = lambda c, name: F.when(F.coalesce(_col(c), F.lit("")) != "", F.concat(F.lit(f"**{name}:** "), _col(c)))
     return F.concat_ws("\n\n", half(question, "Q"), half(answer, "A"))
+
+
+# Fixed value.
+UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+
+
+def is_uuid(c: Column | str) -> Column:
+    return F.coalesce(_col(c).rlike(f"^{UUID}$"), F.lit(False))
+
+
+def first_uuid(c: Column | str) -> Column:
+    """The first whole string in JSON text that is a UUID, at any depth."""
+    return F.nullif(F.regexp_extract(_col(c), f'"({UUID})"', 1), F.lit(""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 RFC3986 = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -87,3 +88,80 @@ def input_kind(text: Column | str) -> Column:
     """``youtube`` or ``url`` where there is a scheme, else ``text``."""
     t = _col(text)
     return F.when(t.contains("://"), F.when(on_host(t, "youtube.com") | on_host(t, "youtu.be", False), "youtube").otherwise("url")).otherwise("text")
+
+
+# Fixed values.
+TITLE_CHARS = 200
+URL_IN_TEXT = r"https?://[^\s\"'<>]+"
+
+
+def pdf_title(url: Column | str) -> Column:
+    """A title from a link that points at a ``.pdf``: its last path segment, decoded; null where that gives no clean one."""
+    u = _col(url)
+    leaf = F.regexp_extract(F.regexp_replace(part(u, 3), "/+$", ""), "([^/]*)$", 1)
+    name = F.coalesce(F.try_url_decode(F.replace(leaf, F.lit("+"), F.lit("%2B"))), leaf)
+    stem = F.btrim(F.regexp_replace(F.regexp_replace(name, "(?i)\\.pdf$", ""), "[\\x00-\\x1f\\x7f-\\x9f]", ""))
+    clean = F.lower(part(u, 1)).isin("http", "https") & name.rlike("(?i)\\.pdf$") & ~stem.isin("", ".", "..") & ~stem.rlike(r"[/\\]")
+    return F.when(clean, F.left(stem, F.lit(TITLE_CHARS)))
+
+
+def shown_title(title: Column | str, url: Column | str, kind: Column | str) -> Column:
+    """pdf_title() where the title is only the URL again and the source is a PDF, else the title."""
+    return F.when((_col(title) == _col(url)) & (_col(kind) == "pdf"), F.coalesce(pdf_title(url), _col(title))).otherwise(_col(title))
+
+
+def bare_host(url: Column | str) -> Column:
+    """Lower-case host without user and port."""
+    return F.lower(F.regexp_replace(F.regexp_replace(part(url, 2), "^.*@", ""), ":[0-9]*$", ""))
+
+
+def under_host(url: Column | str, host: str) -> Column:
+    h = bare_host(url)
+    return (h == host) | h.endswith("." + host)
+
+
+def names_host(text: Column | str, host: str) -> Column:
+    """Whether any URL in a text is on a host or below it."""
+    return F.exists(F.regexp_extract_all(_col(text), F.lit(URL_IN_TEXT), 0), lambda u: under_host(u, host))
+
+
+def first_hop(hops: Column | str, host: str, path: str) -> Column:
+    """The first URL of a redirect chain that is on a host and has a path, in any case and without slashes around it; else null."""
+    fits = lambda u: under_host(u, host) & (F.lower(F.regexp_replace(part(u, 3), "^/+|/+$", "")) == path)
+    return F.try_element_at(F.filter(_col(hops), fits), F.lit(1))
+
+
+def share_url(base: str, key: Column | str) -> Column:
+    """A path segment holds the whole key: everything but letters, digits and ``-._~`` is percent-encoded."""
+    coded = F.url_encode(_col(key))
+    for a, b in (("+", "%20"), ("%7E", "~"), ("*", "%2A")):
+        coded = F.replace(coded, F.lit(a), F.lit(b))
+    return F.concat(F.lit(base), coded)
+
+
+@F.pandas_udf(T.StringType())
+def host_class(hosts):
+    """public, internal (loopback, private, link-local, unspecified and the like) or null where a host is no address.
+
+    For what octet arithmetic can't read: IPv6 in brackets, IPv4 inside IPv6, and numbers in fewer parts, octal or hexadecimal.
+    """
+    import ipaddress
+    import socket
+
+    def one(host):
+        if host is None:
+            return None
+        h = host.strip("[]").split("%")[0]
+        try:
+            ip = ipaddress.ip_address(h)
+        except ValueError:
+            try:
+                ip = ipaddress.ip_address(socket.inet_aton(h)) if h and h[0].isdigit() else None
+            except OSError:
+                ip = None
+        if ip is None:
+            return None
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return "public" if ip.is_global else "internal"
+
+    return hosts.map(one)

@@ -14,14 +14,21 @@ UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 SHOWN = 5
 
 
-def by_id(tokens: DataFrame, items: DataFrame, block: int = 2) -> DataFrame:
-    """token, verdict, id: a UUID passes as it is; else an equal id, else the only one the token begins; case doesn't matter.
+def begun(tokens: DataFrame, items: DataFrame, token: str, name: str) -> DataFrame:
+    """Pairs of a token and an item whose name it begins: an equality join on the name's beginning of the token's length.
 
-    Tokens and ids meet on their first ``block`` characters; shorter tokens meet on what they have.
+    Only lengths that tokens have are made of each name; the lengths (no more than the longest name has characters) reach the driver.
     """
+    most = items.agg(F.max(F.length(name))).first()[0] or 0
+    lengths = [r[0] for r in tokens.select(F.length(token)).distinct().where(F.length(token).between(1, most)).collect()]
+    parts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(name)), lambda n: F.substring(F.col(name), F.lit(1), n))
+    return tokens.join(items.withColumn("_k", F.explode(parts)), F.col(token) == F.col("_k")).drop("_k")
+
+
+def by_id(tokens: DataFrame, items: DataFrame) -> DataFrame:
+    """token, verdict, id: a UUID passes as it is; else an equal id, else the only one the token begins; case doesn't matter."""
     t = tokens.select("token", F.lower(text.strip("token")).alias("_t")).distinct()
-    i = items.select("id", F.lower("id").alias("_i")).withColumn("_k", F.explode(F.transform(F.sequence(F.lit(1), F.lit(block)), lambda k: F.substring(F.lower("id"), F.lit(1), k)))).distinct()
-    hits = t.where("_t <> ''").withColumn("_k", F.substring("_t", 1, block)).join(i, "_k").where(F.startswith("_i", F.col("_t")))
+    hits = begun(t.where("_t <> ''"), items.select("id", F.lower("id").alias("_i")), "_t", "_i")
     found = hits.groupBy("token").agg(F.min(F.when(F.col("_t") == F.col("_i"), F.col("id"))).alias("_exact"), F.count("*").alias("_n"), F.min("id").alias("_one"))
     out = t.join(found, "token", "left")
     uuid = F.col("_t").rlike(UUID)
@@ -35,6 +42,31 @@ def by_title(tokens: DataFrame, items: DataFrame) -> DataFrame:
     return tokens.select("token").distinct().join(found, "token", "left").select("token", F.when(F.col("_n") == 1, "found").when(F.col("_n") > 1, "ambiguous").otherwise("none").alias("verdict"), F.when(F.col("_n") == 1, F.col("id")).alias("id"))
 
 
+def by_label(tokens: DataFrame, items: DataFrame) -> DataFrame:
+    """token, verdict, id of labels or collections: an equal id, else the only id the token begins, else the only item of exactly that name.
+
+    Ids don't mind case, names do; several ids that a token begins are ambiguous before names are looked at.
+    """
+    t = tokens.select("token", F.lower(text.strip("token")).alias("_t")).distinct()
+    hits = begun(t.where("_t <> ''"), items.select("id", F.lower("id").alias("_i")), "_t", "_i")
+    ids = hits.groupBy("token").agg(F.min(F.when(F.col("_t") == F.col("_i"), F.col("id"))).alias("_exact"), F.count("*").alias("_n"), F.min("id").alias("_one"))
+    names = items.groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("_m"), F.min("id").alias("_named"))
+    out = t.join(ids, "token", "left").join(names, text.strip("token") == F.col("_name"), "left")
+    cases = [(F.col("_exact").isNotNull(), "id", "_exact"), (F.col("_n") == 1, "prefix", "_one"), (F.col("_n") > 1, "ambiguous_id", None), (F.col("_m") == 1, "name", "_named"), (F.col("_m") > 1, "ambiguous_name", None)]
+    verdict, found = F.lit("none"), F.lit(None).cast("string")
+    for when, name, col in reversed(cases):
+        verdict, found = F.when(when, name).otherwise(verdict), F.when(when, F.col(col) if col else F.lit(None)).otherwise(found)
+    return out.select("token", verdict.alias("verdict"), found.alias("id"))
+
+
+def candidates(tokens: DataFrame, items: DataFrame, limit: int = SHOWN) -> DataFrame:
+    """token, rank, id: of an ambiguous token, the first ids that it begins."""
+    t = tokens.select("token", F.lower(text.strip("token")).alias("_t")).where("_t <> ''").distinct()
+    hits = begun(t, items.select("id", F.lower("id").alias("_i")), "_t", "_i")
+    w = Window.partitionBy("token")
+    return hits.withColumn("_n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("id"))).where((F.col("_n") > 1) & (F.col("rank") <= limit)).select("token", "rank", "id")
+
+
 def near_misses(tokens: DataFrame, items: DataFrame, limit: int = 3, cutoff: float = 0.6) -> DataFrame:
     """token, rank, id, title of up to ``limit`` items: titles the token begins in input order, then similar ones, best first.
 

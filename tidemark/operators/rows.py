@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in the given order. Rows without a key go: a null one, or an empty text."""
@@ -42,6 +44,28 @@ def page(df: DataFrame, order: Sequence[Column | str], limit: int | None, offset
     return rows.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
+def placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """df with ``place``, from 1, in a total order: counted within stored range partitions, after the rows of all earlier ones."""
+    parts = stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))  # a row per partition
+    return parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(before), "_p").withColumn("place", F.col("_before") + F.col("_n")).drop("_p", "_n", "_before")
+
+
+def envelope(df: DataFrame, limit: Column, offset: Column, keys: Sequence[str], order: Sequence[Column | str], most: int = 1000) -> DataFrame:
+    """Pages of groups, each with a limit and an offset of its own: keys, total, returned, has_more, problem.
+
+    No limit gives everything and no has_more; an offset without a limit, or a limit out of range, is a problem and gives nothing.
+    """
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    told = df.withColumn("_n", n).withColumn("_l", limit).withColumn("_o", F.coalesce(offset, F.lit(0)))
+    on = F.col("_l").isNull() | ((F.col("_n") > F.col("_o")) & (F.col("_n") <= F.col("_o") + F.col("_l")))
+    rows = told.groupBy(*keys).agg(F.count("*").alias("total"), F.count(F.when(on, 1)).alias("returned"), F.first("_l").alias("_l"), F.first("_o").alias("_o"))
+    problem = F.when(F.col("_l").isNull() & (F.col("_o") != 0), "offset requires limit").when(~F.col("_l").between(1, most), "limit out of range").when(F.col("_o") < 0, "negative offset")
+    bad = problem.isNotNull()
+    return rows.select(*keys, "total", F.when(bad, 0).otherwise(F.col("returned")).cast("long").alias("returned"), F.when(~bad & F.col("_l").isNotNull(), F.col("total") > F.col("_o") + F.col("_l")).alias("has_more"), problem.alias("problem"))
+
+
 def union_first(key: Sequence[str], order: Sequence[Column | str], *dfs: DataFrame) -> DataFrame:
     """Rows of all tables, the earlier table's first on equal keys."""
     out = dfs[0].withColumn("_prio", F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, urls
@@ -116,7 +118,7 @@ def c9_resolve_ids(s, d):
 @query()
 def c11_near_misses(s, d):
     p = V.table(s, d, "part")
-    return resolve.near_misses(p.where("p_partkey % 10 = 0").select(F.expr("substring(p_name, 1, length(p_name) - 2)").alias("token")), p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("pos")))
+    return resolve.near_misses(p.select(F.expr("substring(p_name, 1, length(p_name) - 2)").alias("token")), p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("pos")))
 
 
 @query(f"""WITH {V.ANSWERS}, mk AS (SELECT conv_id, turn, m.k AS marker, m.n FROM (SELECT conv_id, turn, unnest([{{'k': 0, 'n': 1}}, {{'k': 1, 'n': 2}}, {{'k': 2, 'n': 3}}]) AS m FROM answers)),
@@ -128,13 +130,13 @@ def c13_anchored_markers(s, d):
     return citations.anchored(V.answers(s, d)).drop("at")
 
 
-@query(f"""WITH {V.FULLTEXT}, r AS (SELECT source_id, CASE doc_id % 3 WHEN 0 THEN substr(content, 51, 60) WHEN 1 THEN 'qqq' || doc_id END AS cited_text FROM fulltext WHERE doc_id % 2 = 0),
+@query(f"""WITH {V.FULLTEXT}, r AS (SELECT source_id, CASE doc_id % 3 WHEN 0 THEN substr(content, 51, 60) WHEN 1 THEN 'qqq' || doc_id END AS cited_text FROM fulltext),
 j AS (SELECT *, substr(cited_text, 1, 40) AS probe, strpos(content, substr(cited_text, 1, 40)) AS place FROM r JOIN fulltext USING (source_id))
 SELECT source_id, CASE WHEN coalesce(cited_text, '') = '' THEN 'no_cited_text' WHEN place = 0 THEN 'not_found' ELSE 'found' END AS status, CASE WHEN coalesce(cited_text, '') <> '' AND place > 0 THEN place - 1 END AS start,
   CASE WHEN coalesce(cited_text, '') <> '' AND place > 0 THEN substr(content, greatest(place - 201, 0) + 1, place - 1 + length(probe) + 200 - greatest(place - 201, 0)) END AS context FROM j""")
 def c14_citation_context(s, d):
     f, k = V.fulltext(s, d), F.col("doc_id")
-    refs = f.where("doc_id % 2 = 0").select("source_id", F.when(k % 3 == 0, F.substring("content", 51, 60)).when(k % 3 == 1, F.concat(F.lit("qqq"), k)).alias("cited_text"))
+    refs = f.select("source_id", F.when(k % 3 == 0, F.substring("content", 51, 60)).when(k % 3 == 1, F.concat(F.lit("qqq"), k)).alias("cited_text"))
     return citations.first_context(refs, f).drop("cited_text")
 
 
@@ -179,17 +181,17 @@ def c20_label_list(s, d):
     return m.select("label_id", "n_members", F.array_join("ids", ",").alias("ids"), F.size(F.filter("titles", lambda t: t.isNotNull())).cast("long").alias("n_titled"))
 
 
-@query("""WITH t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS token FROM part WHERE p_partkey % 7 = 0), f AS (SELECT p_name AS token, count(*) AS c, min(p_partkey) AS id FROM part GROUP BY p_name)
+@query("""WITH t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS token FROM part), f AS (SELECT p_name AS token, count(*) AS c, min(p_partkey) AS id FROM part GROUP BY p_name)
 SELECT token, CASE WHEN c = 1 THEN 'found' WHEN c > 1 THEN 'ambiguous' ELSE 'none' END AS verdict, CASE WHEN c = 1 THEN id END AS id FROM t LEFT JOIN f USING (token)""")
 def c21_exact_title(s, d):
     p = V.table(s, d, "part")
-    t = p.where("p_partkey % 7 = 0").select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("token"))
+    t = p.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("token"))
     return resolve.by_title(t, p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))
 
 
-@query("""WITH t AS (SELECT user_id FROM (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY t DESC, user_id DESC LIMIT 50)) SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM t)""")
+@query("""WITH t AS (SELECT user_id FROM (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY t DESC, user_id DESC LIMIT 1024)) SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM t)""")
 def c22_exclude_deleted(s, d):
-    dead = V.table(s, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.max("ts").alias("t")).orderBy(F.desc("t"), F.desc("user_id")).limit(50)
+    dead = V.table(s, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.max("ts").alias("t")).orderBy(F.desc("t"), F.desc("user_id")).limit(1024)
     c = V.table(s, d, "customer")
     return c.join(dead, c["c_custkey"] == dead["user_id"], "left_anti").select("c_custkey")
 
@@ -224,15 +226,15 @@ def d7_sources_per_group(s, d):
     return V.sources(s, d).groupBy("nb").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey % 50 AS nb, bool_and(CASE WHEN o_orderkey % 3 = 0 THEN true ELSE o_orderstatus = 'O' END) AND count(DISTINCT CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END) <= 1 AS ok FROM orders WHERE o_orderkey % 11 = 0 GROUP BY 1")
+@query("SELECT o_custkey % 50 AS nb, bool_and(CASE WHEN o_orderkey % 3 = 0 THEN true ELSE o_orderstatus = 'O' END) AND count(DISTINCT CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END) <= 1 AS ok FROM orders GROUP BY 1")
 def d8_provenance(s, d):
-    o = V.table(s, d, "orders").where("o_orderkey % 11 = 0").select((F.col("o_custkey") % 50).alias("nb"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("task_id"), F.lit("O").alias("target"))
+    o = V.table(s, d, "orders").select((F.col("o_custkey") % 50).alias("nb"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("task_id"), F.lit("O").alias("target"))
     return incremental.provenance(o, "target")
 
 
-@query(f"WITH {V.ARTIFACTS} SELECT nb, CASE WHEN bool_or(status = 3) THEN 'added' ELSE 'error' END AS outcome, count(*) FILTER (status = 3) AS n_added, bool_or(status = 4) AS fatal FROM artifacts WHERE id % 9 = 0 GROUP BY nb")
+@query(f"WITH {V.ARTIFACTS} SELECT nb, CASE WHEN bool_or(status = 3) THEN 'added' ELSE 'error' END AS outcome, count(*) FILTER (status = 3) AS n_added, bool_or(status = 4) AS fatal FROM artifacts GROUP BY nb")
 def d10_batch_outcome(s, d):
-    return V.artifacts(s, d).where("id % 9 = 0").groupBy("nb").agg(F.when(F.bool_or(F.col("status") == 3), "added").otherwise("error").alias("outcome"), F.count(F.when(F.col("status") == 3, 1)).alias("n_added"), F.bool_or(F.col("status") == 4).alias("fatal"))
+    return V.artifacts(s, d).groupBy("nb").agg(F.when(F.bool_or(F.col("status") == 3), "added").otherwise("error").alias("outcome"), F.count(F.when(F.col("status") == 3, 1)).alias("n_added"), F.bool_or(F.col("status") == 4).alias("fatal"))
 
 
 @query("SELECT l_orderkey AS id, string_agg(CAST(s AS VARCHAR), ',' ORDER BY f, s) AS suppliers FROM (SELECT l_orderkey, l_suppkey AS s, min(l_linenumber) AS f FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
@@ -342,13 +344,22 @@ def h12_safe_names(s, d):
     return V.artifacts(s, d).select("id", text.safe_name(F.concat(F.lit(". "), "title", F.lit(" .."))).alias("name"))
 
 
-@query("SELECT doc_id, 'x access_token=***&y ' || substr(text, 1, 20) || ' Authorization: Bearer *** z' AS clean FROM documents WHERE text NOT LIKE '%=%' AND text NOT LIKE '%ookie:%'")
+def scrubbed_sql(raw: str) -> str:
+    """text.scrubbed() in SQL: the same patterns in the same order."""
+    for pattern, to in text.SECRETS:
+        raw = "regexp_replace(" + raw + ", '" + pattern.replace("'", "''") + "', '" + re.sub(r"\$(\d)", r"\\\1", to).replace("'", "''") + "', 'g')"
+    return raw
+
+
+@query("SELECT doc_id, " + scrubbed_sql("'SNlM0e\": \"ab' || doc_id || '\" f.sid=-' || doc_id || ' __Secure-X=a; ' || text || ' g.a000-abcdefgh' || doc_id || ' at=\"q\" Set-Cookie: ' || doc_id") + " AS clean FROM documents")
 def h14_scrubbed(s, d):
-    raw = F.concat(F.lit("x access_token="), F.md5(F.col("doc_id").cast("string")), F.lit("&y "), F.substring("text", 1, 20), F.lit(" Authorization: Bearer "), F.col("doc_id").cast("string"), F.lit(" z"))
-    return V.table(s, d, "documents").where("text NOT LIKE '%=%' AND text NOT LIKE '%ookie:%'").select("doc_id", text.scrubbed(raw).alias("clean"))
+    """Every document's whole text, between planted secrets of other kinds than the next query's."""
+    k = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit('SNlM0e": "ab'), k, F.lit('" f.sid=-'), k, F.lit(" __Secure-X=a; "), "text", F.lit(" g.a000-abcdefgh"), k, F.lit(' at="q" Set-Cookie: '), k)
+    return V.table(s, d, "documents").select("doc_id", text.scrubbed(raw).alias("clean"))
 
 
-@query()
+@query("SELECT doc_id, " + scrubbed_sql("'x access_token=' || md5(CAST(doc_id AS VARCHAR)) || '&y ' || text || ' Authorization: Bearer ' || doc_id || ' z'") + " AS clean FROM documents")
 def h14_scrubbed_whole(s, d):
     """Every document's whole text, between two planted secrets."""
     k = F.col("doc_id").cast("string")

@@ -213,12 +213,9 @@ def f4_preview(s, d):
     return V.fulltext(s, d).select("source_id", text.preview("content").alias("preview"))
 
 
-@query(f"WITH {V.SOURCES} SELECT source_id, row_number() OVER (ORDER BY created_at NULLS LAST, pos) AS place FROM sources QUALIFY place <= 100")
+@query(f"WITH {V.SOURCES} SELECT source_id, row_number() OVER (ORDER BY created_at NULLS LAST, pos) AS place FROM sources")
 def f7_oldest_first(s, d):
-    top = V.sources(s, d).select("source_id", "created_at", "pos").orderBy(F.col("created_at").asc_nulls_last(), "pos").limit(100)
-    from pyspark.sql import Window
-
-    return top.select("source_id", F.row_number().over(Window.orderBy(F.col("created_at").asc_nulls_last(), "pos")).cast("long").alias("place"))
+    return rows.placed(V.sources(s, d).select("source_id", "created_at", "pos"), [F.col("created_at").asc_nulls_last(), "pos"]).select("source_id", "place")
 
 
 @query(f"WITH {V.SOURCES} SELECT nb, row_number() OVER (PARTITION BY nb ORDER BY pos) AS index, source_id FROM sources QUALIFY index <= 5")

@@ -54,13 +54,15 @@ def key_sql(url: str, kind: str) -> str:
 
 def fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, did = table(spark, sf_dir, "documents"), F.col("doc_id")
-    text = F.when(did % 7 == 0, F.substring(F.concat(F.lit("Page Not Found "), "text"), 1, 1500)).when(did % 9 == 0, F.substring(F.concat(F.lit("Just a moment "), "text"), 1, 4000)).otherwise(F.col("text"))
-    return d.select("doc_id", F.concat(F.lit("d"), did).alias("source_id"), text.alias("content"))
+    """Every whole document, and of some an error page that begins with a phrase and is short enough to be taken for one."""
+    text = F.when(did % 7 == 0, F.substring(F.concat(F.lit("Page Not Found "), "text"), 1, 1500)).otherwise(F.substring(F.concat(F.lit("Just a moment "), "text"), 1, 4000))
+    pages = d.where((did % 7 == 0) | (did % 9 == 0)).select("doc_id", F.concat(F.lit("e"), did).alias("source_id"), text.alias("content"))
+    return d.select("doc_id", F.concat(F.lit("d"), did).alias("source_id"), F.col("text").alias("content")).unionByName(pages)
 
 
 FULLTEXT = """
-fulltext AS (SELECT doc_id, 'd' || doc_id AS source_id, CASE WHEN doc_id % 7 = 0 THEN substr('Page Not Found ' || text, 1, 1500)
-  WHEN doc_id % 9 = 0 THEN substr('Just a moment ' || text, 1, 4000) ELSE text END AS content FROM documents)"""
+fulltext AS (SELECT doc_id, 'd' || doc_id AS source_id, text AS content FROM documents UNION ALL
+  SELECT doc_id, 'e' || doc_id, CASE WHEN doc_id % 7 = 0 THEN substr('Page Not Found ' || text, 1, 1500) ELSE substr('Just a moment ' || text, 1, 4000) END FROM documents WHERE doc_id % 7 = 0 OR doc_id % 9 = 0)"""
 
 
 def label_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +142,10 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key: Column = F.col("conv_id") * 1000 + F.col("turn")
     ref = lambda k, n: F.struct(F.concat(F.lit("d"), (key + k) % 100).alias("source_id"), n.cast("long").alias("citation_number"), F.when((key + k) % 4 != 0, F.concat(F.lit("c"), key + k)).alias("chunk_id"))
     refs = F.array(ref(0, F.lit(1)), ref(1, F.when(key % 5 != 0, 2)), ref(2, F.when(key % 3 == 0, 2)))
-    return c.select("conv_id", "turn", F.concat(F.substring("text", 1, 30), F.lit(" [1]"), F.substring("text", 31, 40), F.lit(" [2][3]")).alias("answer"), refs.alias("refs"))
+    return c.select("conv_id", "turn", F.concat(F.substring("text", 1, 30), F.lit(" [1]"), F.expr("substring(text, 31)"), F.lit(" [2][3]")).alias("answer"), refs.alias("refs"))
 
 
 ANSWERS = """
-answers AS (SELECT conv_id, turn, substr(text, 1, 30) || ' [1]' || substr(text, 31, 40) || ' [2][3]' AS answer, conv_id * 1000 + turn AS k FROM conversations WHERE role = 'assistant'),
+answers AS (SELECT conv_id, turn, substr(text, 1, 30) || ' [1]' || substr(text, 31) || ' [2][3]' AS answer, conv_id * 1000 + turn AS k FROM conversations WHERE role = 'assistant'),
 refs AS (SELECT conv_id, turn, i + 1 AS ord, 'd' || ((k + i) % 100) AS source_id, CASE i WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN k % 5 <> 0 THEN 2 END ELSE CASE WHEN k % 3 = 0 THEN 2 END END AS citation_number,
   CASE WHEN (k + i) % 4 <> 0 THEN 'c' || (k + i) END AS chunk_id FROM answers, (SELECT unnest(range(3)) AS i))"""
