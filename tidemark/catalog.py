@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analysis, coerced, listing, lookups, payloads, scalars
+from .plans import analysis, coerced, listing, lookups, payloads, scalars, streams
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "coerced", "listing", "lookups", "payloads", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "coerced", "listing", "lookups", "payloads", "scalars", "streams"]
