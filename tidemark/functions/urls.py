@@ -90,6 +90,13 @@ def input_kind(text: Column | str) -> Column:
     return F.when(t.contains("://"), F.when(on_host(t, "youtube.com") | on_host(t, "youtu.be", False), "youtube").otherwise("url")).otherwise("text")
 
 
+def path_warning(text: Column | str) -> Column:
+    """A warning on text that looks like a path on a disk, else null."""
+    t = _col(text)
+    shaped = ~t.contains("://") & ~t.rlike(r"\s") & t.rlike(r"^(?:[~.]{0,2}[/\\\\]|[A-Za-z]:[/\\\\])")
+    return F.when(shaped, "path-shaped text")
+
+
 # Fixed values.
 TITLE_CHARS = 200
 URL_IN_TEXT = r"https?://[^\s\"'<>]+"

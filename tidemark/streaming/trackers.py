@@ -1,6 +1,6 @@
 """State per key over streams of snapshots: readiness, registration, generation, first sight.
 
-A micro-batch's rows of a key come in no order. What is only a minimum over rows (the first terminal snapshot, the first
+Files arrive in the order of their snapshots; a micro-batch's rows of a key come in no order. What is only a minimum over rows (the first terminal snapshot, the first
 sight) is folded chunk by chunk, so a hot key holds no rows; the generation tracker goes through a key's rows in order and
 holds those of one micro-batch, which the source's ``maxFilesPerTrigger`` bounds.
 """
