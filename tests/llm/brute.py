@@ -37,15 +37,35 @@ def op3(lib, text):
     return [(p, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for p, a in enumerate(range(0, len(ids), 4096))]
 
 
-def op5(texts, threshold=200):
-    data = [(t or "").encode() for t in texts]
-    count = Counter(hashlib.blake2b(b[i : i + threshold], digest_size=16).digest() for b in data for i in range(len(b) - threshold + 1))
+def whole_characters(texts, threshold=200):
+    """Texts without the characters of which any byte is in a repeated string."""
     out = []
+    for t, gone in zip(texts, repeated(texts, threshold), strict=True):
+        at, kept = 0, []
+        for c in t or "":
+            n = len(c.encode())
+            kept += [] if gone[at : at + n].any() else [c]
+            at += n
+        out.append(None if t is None else "".join(kept))
+    return out
+
+
+def repeated(texts, threshold=200):
+    """Of each text a mask over its bytes, and one more that is never set."""
+    data = [(t or "").encode() for t in texts]
+    name = lambda b, i: hashlib.blake2b(b[i : i + threshold], digest_size=16).digest()
+    count = Counter(name(b, i) for b in data for i in range(len(b) - threshold + 1))
     for b in data:
         gone = np.zeros(len(b) + 1, bool)
         for i in range(len(b) - threshold + 1):
-            if count[hashlib.blake2b(b[i : i + threshold], digest_size=16).digest()] > 1:
+            if count[name(b, i)] > 1:
                 gone[i : i + threshold] = True
+        yield gone
+
+
+def op5(texts, threshold=200):
+    data, out = [(t or "").encode() for t in texts], []
+    for b, gone in zip(data, repeated(texts, threshold), strict=True):
         kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
         out.append((len(b), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
     return out

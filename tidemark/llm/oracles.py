@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .quality_rules import BITS, POLICY
+from .queries import URL_RULES
+from .url_filter import SUFFIXES, Reputation
 
-#: Words and 8-word windows of every document, by list functions; the rules' conditions are the operator's own SQL.
-OP1 = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+
+
+def stats(source: str) -> str:
+    """Common table expressions up to f: doc_id, the words and 8-word windows of every text t of a query, counted by list functions, and the operator's own conditions."""
+    return rf"""d AS (SELECT row_number() OVER () AS r, doc_id, t FROM ({source})),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, regexp_replace(t, '[\x20\x09-\x0D]', '', 'g') AS solid FROM d),
 g AS (SELECT r, i, array_to_string(ws[i : i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 9)),
 again AS (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1),
@@ -18,10 +22,16 @@ m AS (
     length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters,
     length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaim
   FROM w LEFT JOIN cover USING (r)),
-f AS (SELECT *, {BITS} AS failures FROM m)
+f AS (SELECT *, {BITS} AS failures FROM m)"""
+
+
+REJECTED = f"((failures & {POLICY.hard}) <> 0 OR bit_count(failures & {POLICY.soft}) > {POLICY.allowed})"
+
+OP1 = rf"""
+WITH {stats("SELECT doc_id, coalesce(text, '') AS t FROM documents")}
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  (failures & {POLICY.hard}) = 0 AND bit_count(failures & {POLICY.soft}) <= {POLICY.allowed} AS kept, CAST(failures AS BIGINT) AS failures
+  NOT {REJECTED} AS kept, CAST(failures AS BIGINT) AS failures
 FROM f
 """
 
@@ -34,4 +44,43 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op6_vector_search": OP6}
+#: Base 32 of a digest: five hexadecimal digits at a time are four characters.
+BASE32 = "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, i * 5 + 1, 5) AS BIGINT) >> b) & 31 AS INTEGER) + 1, 1)), '')), '')"
+
+OP8 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS most FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN coalesce(page_id < most, most IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN coalesce(page_id < most, most IS NOT NULL) THEN most END AS refers_to FROM m
+"""
+
+
+def op10(rules: list[tuple[str, str]], how: Reputation) -> str:
+    """Rules by longest fit; else the posterior's lower bound, level by level: suffix, registered domain, host."""
+    shown = r"regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<!--.*?-->', ' ', 'g'), '<[^>]*>|&[a-z]+;', ' ', 'g')"
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    listed = ", ".join(f"('{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}', '{v}')" for v, r in rules)
+    two = ", ".join(f"'{x}'" for x in sorted(SUFFIXES))
+    level = lambda name: f"(SELECT sum(n) AS m, sum(bad) AS b, count(*) AS k, sum(n * (bad / n) * (bad / n)) AS q FROM {name})"
+    strength = lambda name: f"(SELECT CASE WHEN s > 0 THEN least({how.most}, greatest({how.least}, mean * (1 - mean) / s - 1)) ELSE {how.most} END FROM (SELECT (b + 0.5) / (m + 1.0) AS mean, q / m - (b / m) * (b / m) - ((b + 0.5) / (m + 1.0)) * (1 - (b + 0.5) / (m + 1.0)) * k / m AS s FROM {level(name)}))"
+    label = lambda x, n: f"array_to_string(list_slice(string_split({x}, '.'), -{n}, -1), '.')"
+    return rf"""
+WITH {stats(f"SELECT {rest} AS doc_id, {shown} AS t FROM pages WHERE html IS NOT NULL")},
+u AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce({rest}, '') AS rest FROM pages)),
+b AS (SELECT lower(regexp_extract(doc_id, '^[^/?#]*')) AS host, count(*) AS n, CAST(count(*) FILTER ({REJECTED}) AS DOUBLE) AS bad FROM f GROUP BY 1),
+names AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name FROM (SELECT host FROM u UNION SELECT host FROM b)),
+lv AS (SELECT host, CASE WHEN {label('name', 2)} IN ({two}) THEN {label('name', 3)} ELSE {label('name', 2)} END AS domain, CASE WHEN {label('name', 2)} IN ({two}) THEN {label('name', 2)} ELSE {label('name', 1)} END AS suffix FROM names),
+hosts AS (SELECT * FROM b JOIN lv USING (host)),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+k AS (SELECT {strength('suffixes')} AS ss, {strength('domains')} AS sd, {strength('hosts')} AS sh, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM suffixes) AS mean),
+sr AS (SELECT suffix, (bad + mean * ss) / (n + ss) AS rate FROM suffixes, k),
+dr AS (SELECT domain, (bad + rate * sd) / (n + sd) AS rate FROM domains JOIN sr USING (suffix), k),
+post AS (SELECT lv.host, coalesce(b.bad, 0) + coalesce(dr.rate, sr.rate, mean) * sh AS pa, coalesce(b.n, 0) - coalesce(b.bad, 0) + (1 - coalesce(dr.rate, sr.rate, mean)) * sh AS pb FROM lv LEFT JOIN b USING (host) LEFT JOIN dr USING (domain) LEFT JOIN sr USING (suffix), k),
+bound AS (SELECT host, pa / (pa + pb) - {how.z} * sqrt((pa / (pa + pb)) * (1 - pa / (pa + pb)) / (pa + pb + 1)) AS bound FROM post),
+rules(rule_host, rule_path, rule, verdict) AS (VALUES {listed}),
+hit AS (SELECT page_id, min_by(rule, -length(rule)) AS rule, min_by(rules.verdict, -length(rule)) AS verdict FROM u JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host <> '' AND bound > {how.limit} THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN hit USING (page_id) LEFT JOIN bound USING (host)
+"""
+
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op6_vector_search": OP6, "op8_warc": OP8, "op10_url_filter": op10(URL_RULES, Reputation())}
