@@ -133,7 +133,7 @@ def a9_embedded_json(s, d):
 @query("""WITH m AS (SELECT p_partkey AS map_id, p_size % 9 AS deep FROM part), l AS (SELECT map_id, deep, unnest(range(deep + 1)) AS k FROM m WHERE map_id % 6 <> 5),
 p AS (SELECT *, array_to_string(list_transform(range(k + 1), lambda i: 'n' || i), '/') AS path FROM l)
 SELECT map_id, path, CAST(k AS INTEGER) AS depth, CASE WHEN k > 0 THEN array_to_string(list_transform(range(k), lambda i: 'n' || i), '/') END AS parent_path, 'n' || k AS name, CAST(CASE WHEN k < deep THEN 2 ELSE 0 END AS BIGINT) AS child_count FROM p
-UNION ALL SELECT map_id, path || '/leaf', k + 1, path, 'leaf', 0 FROM p WHERE k < deep UNION ALL SELECT map_id, NULL, NULL, NULL, NULL, NULL FROM m WHERE map_id % 6 = 5""")
+UNION ALL SELECT map_id, path || '/leaf', CAST(k + 1 AS INTEGER), path, 'leaf', 0 FROM p WHERE k < deep UNION ALL SELECT map_id, NULL, NULL, NULL, NULL, NULL FROM m WHERE map_id % 6 = 5""")
 def k1_flattened_trees(s, d):
     """Trees of any depth; a map that is no JSON object is one row of nulls."""
     deep = (F.col("p_size") % 9).cast("int")
