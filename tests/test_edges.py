@@ -185,7 +185,7 @@ def split_events(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["i1_readiness", "i2_registration", "i4_telemetry_in_all", "i9_added_ids", "i3_generations"])
+@pytest.mark.parametrize("name", ["i1_readiness", "i2_registration", "i4_telemetry_in_all", "i9_added_ids", "i3_generations", "i6_research"])
 def test_batches_of_a_stream_make_no_difference(spark, monkeypatch, split_events, name):
     whole = sorted(map(str, catalog.QUERIES[name](spark, SF).collect()))
     plain = sinks.opened
@@ -225,6 +225,38 @@ def test_generation_rules():
     assert go((0, True, "in_progress", False), (late, True, "pending", False)) == ["in_progress", "timed_out_running"]
 
 
+def polls(spark, *rows):
+    return spark.createDataFrame(list(rows), "nb long, at long, pos long, tasks array<struct<task:string,status:string>>")
+
+
+def test_research_rules(spark):
+    second, step = 1_000_000, trackers.researched(10)
+    start = spark.createDataFrame([(6, None, "named", None, None)], trackers.RESEARCH)
+    going, done, bad = "in_progress", "completed", "failed"
+    first = polls(
+        spark,
+        (1, 0, 0, None), (1, second, 1, [("a", done)]),
+        (2, 0, 0, [("a", going), ("b", going)]),
+        (3, second, 1, [("b", done)]), (3, 0, 0, [("a", going)]), (3, 2 * second, 2, []), (3, 3 * second, 3, [("b", done), ("a", bad)]),
+        (4, 0, 0, [("a", going)]), (4, 10 * second, 1, [("a", going)]),
+        (5, 0, 0, [("a", done)]),
+        (6, 0, 0, [("x", done), ("y", done)]),
+    )
+    once = step(start, first)
+    got = {r["nb"]: (r["pin"], r["at"], r["outcome"]) for r in once.collect()}
+    assert got == {1: (None, 0, "no_research"), 2: (None, 0, "ambiguous"), 3: ("a", 3 * second, bad), 4: ("a", None, None), 5: ("a", 0, done), 6: ("named", None, None)}
+    later = polls(spark, (1, 4 * second, 9, [("a", done)]), (4, 11 * second, 9, []), (6, 5 * second, 9, [("named", done)]), (3, 4 * second, 9, [("a", done)]))
+    got = {r["nb"]: (r["pin"], r["at"], r["outcome"]) for r in step(once, later).collect()}
+    assert got == {1: (None, 0, "no_research"), 2: (None, 0, "ambiguous"), 3: ("a", 3 * second, bad), 4: ("a", 11 * second, "timed_out"), 5: ("a", 0, done), 6: ("named", 5 * second, done)}
+
+
+def test_best_rows_over_batches(spark):
+    start = spark.createDataFrame([(1, "aaa", 0)], "k int, text string, pos int")
+    step = sinks.best_kept(["k"], F.struct((-F.length("text")).alias("l"), "pos"))
+    batch = spark.createDataFrame([(1, "bbb", 1), (1, "c", 2), (2, "d", 3), (2, "e", 2)], "k int, text string, pos int")
+    assert sorted(map(tuple, step(start, batch).collect())) == [(1, "aaa", 0), (2, "e", 2)]
+
+
 def test_delivered_again_changes_nothing(spark, tmp_path):
     for k in range(2):
         spark.createDataFrame([(1, "a", 5), (1, "a", 3), (1, "b", 9), (2, "a", 1)], "nb int, key string, pos int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t.parquet")

@@ -70,6 +70,36 @@ def i4_telemetry_in_all(s, d):
     return sinks.merged(rows, start, step, "counters")
 
 
+@query("""SELECT conv_id, text AS answer, role = 'assistant' AS marked, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY marked DESC, length(text) DESC NULLS LAST, turn) = 1""")
+def i5_answers_as_they_grow(s, d):
+    """Of each stream of chunks, the longest marked one up to now, else the longest; the first of equally long ones."""
+    chunks = sinks.opened(s, d, "conversations").select("conv_id", F.col("text").alias("answer"), (F.col("role") == "assistant").alias("marked"), "turn")
+    order = F.struct((~F.col("marked")).alias("u"), (-F.coalesce(F.length("answer"), F.lit(-1))).alias("l"), "turn")
+    return sinks.merged(chunks, s.createDataFrame([], chunks.schema), sinks.best_kept(["conv_id"], order), "answers")
+
+
+#: Seconds that a notebook's research is waited for.
+RESEARCH_SECONDS = 5 * 24 * 3600
+
+
+@query(f"""WITH p AS (SELECT user_id AS nb, ts, event_id AS pos, event_id % 6 <> 0 AS own, event_id % 7 = 0 AS other, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'in_progress' END AS status FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY nb ORDER BY ts, pos) AS n FROM p),
+b AS (SELECT nb, ts AS start, CASE WHEN own AND NOT other THEN 't' || nb WHEN other AND NOT own THEN 's' || nb END AS pin, CASE WHEN NOT own AND NOT other THEN 'no_research' WHEN own AND other THEN 'ambiguous' END AS ended FROM f WHERE n = 1),
+w AS (SELECT b.nb, p.ts, p.pos, CASE WHEN own AND pin = 't' || b.nb AND status <> 'in_progress' THEN status WHEN p.ts > start + INTERVAL {RESEARCH_SECONDS} SECOND THEN 'timed_out' END AS told FROM b JOIN p USING (nb) WHERE ended IS NULL),
+e AS (SELECT nb, ts, told FROM w WHERE told IS NOT NULL QUALIFY row_number() OVER (PARTITION BY nb ORDER BY ts, pos) = 1)
+SELECT b.nb, b.pin, CASE WHEN ended IS NULL THEN e.ts ELSE start END AS ended_at, coalesce(ended, told, 'waiting') AS outcome FROM b LEFT JOIN e USING (nb)""")
+def i6_research(s, d):
+    """Every event is a poll of its user's notebook: its own task, one that never ends, both or none."""
+    e = sinks.opened(s, d, "events")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("in_progress")
+    nb, pos = F.col("user_id").cast("string"), F.col("event_id")
+    own = F.when(pos % 6 != 0, F.struct(F.concat(F.lit("t"), nb).alias("task"), status.alias("status")))
+    other = F.when(pos % 7 == 0, F.struct(F.concat(F.lit("s"), nb).alias("task"), F.lit("in_progress").alias("status")))
+    polls = e.select(F.col("user_id").alias("nb"), F.unix_micros("ts").alias("at"), pos.alias("pos"), F.array_compact(F.array(own, other)).alias("tasks"))
+    rows = sinks.merged(polls, s.createDataFrame([], trackers.RESEARCH), trackers.researched(RESEARCH_SECONDS), "research")
+    return rows.select("nb", "pin", F.timestamp_micros("at").cast("timestamp_ntz").alias("ended_at"), F.coalesce("outcome", F.lit("waiting")).alias("outcome"))
+
+
 @query(f"""WITH {V.REQUESTED}, e AS (SELECT nb, {V.key_sql('url', 'import')} AS key, min(pos) AS pos FROM existing GROUP BY ALL),
 r AS (SELECT nb, {V.key_sql('url', 'import')} AS key, min(pos) AS pos FROM (SELECT page_id % 20 AS nb, page_id AS pos, url FROM pages) GROUP BY ALL)
 SELECT * FROM e UNION ALL SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.nb = r.nb AND e.key = r.key)""")

@@ -70,3 +70,14 @@ def newest_kept(keys: list[str], order: list, count: int):
         return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= count).drop("_n")
 
     return step
+
+
+def best_kept(keys: list[str], order):
+    """A step: of each key, the row of table and batch that comes first by ``order``; partial minima are taken before rows are shuffled."""
+
+    def step(table: DataFrame, batch: DataFrame) -> DataFrame:
+        both = table.unionByName(batch.select(*table.columns))
+        kept = F.struct(*[c for c in table.columns if c not in keys])
+        return both.groupBy(*keys).agg(F.min_by(kept, order).alias("_b")).select(*keys, "_b.*")
+
+    return step

@@ -1,4 +1,4 @@
-"""State per key over streams of snapshots: readiness, registration, generation, first sight.
+"""State per key over streams of snapshots: readiness, registration, generation, research tasks, first sight.
 
 Files arrive in the order of their snapshots; a micro-batch's rows of a key come in no order. What is only a minimum over rows (the first terminal snapshot, the first
 sight) is folded chunk by chunk, so a hot key holds no rows; the generation tracker goes through a key's rows in order and
@@ -123,3 +123,37 @@ def generations(snapshots: DataFrame, deadline: int = DEADLINE) -> DataFrame:
             yield pd.DataFrame(out, columns=["entity_id", "at", "pos", "outcome"])
 
     return dated(rows.groupBy("entity_id").applyInPandasWithState(run, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout))
+
+
+#: What is known of a notebook's research: the task waited for, since when, and how and when it ended.
+RESEARCH = "nb long, start long, pin string, at long, outcome string"
+
+
+def researched(deadline: int = DEADLINE):
+    """A step from RESEARCH rows to RESEARCH rows over polls: nb, at (microseconds), pos, tasks (array of task, status).
+
+    The first poll of a notebook without a task to wait for pins the only one there is; none ends it as ``no_research``,
+    several as ``ambiguous``. A pinned task that a poll lacks is waited for; it ends ``completed`` or ``failed``, or
+    ``timed_out`` at the first poll after the deadline. Null tasks count as none. A notebook in the table may have a pin
+    and no start yet: its task was named by the caller.
+    """
+
+    def step(table: DataFrame, batch: DataFrame) -> DataFrame:
+        polls = batch.select("nb", "at", "pos", F.coalesce("tasks", F.array()).alias("tasks"))
+        opening = polls.groupBy("nb").agg(F.min_by(F.struct("at", "tasks"), F.struct("at", "pos")).alias("p"))
+        known = table.join(opening, "nb", "full_outer")
+        free, n = F.col("start").isNull() & F.col("pin").isNull(), F.size("p.tasks")
+        begun = known.select(
+            "nb",
+            F.coalesce("start", "p.at").alias("start"),
+            F.when(free & (n == 1), F.col("p.tasks")[0]["task"]).otherwise(F.col("pin")).alias("pin"),
+            F.when(free & (n != 1), F.col("p.at")).otherwise(F.col("at")).alias("at"),
+            F.when(free & (n == 0), "no_research").when(free & (n > 1), "ambiguous").otherwise(F.col("outcome")).alias("outcome"),
+        )
+        waited = polls.join(begun.where("outcome IS NULL").select("nb", "start", "pin"), "nb")
+        status = F.get(F.filter("tasks", lambda t: t["task"] == F.col("pin")), F.lit(0))["status"]
+        told = F.when(status.isin("completed", "failed"), status).when(F.col("at") > F.col("start") + deadline * MICRO, "timed_out")
+        ends = waited.withColumn("told", told).where("told IS NOT NULL").groupBy("nb").agg(F.min_by(F.struct("at", "told"), F.struct("at", "pos")).alias("e"))
+        return begun.join(ends, "nb", "left").select("nb", "start", "pin", F.coalesce("at", "e.at").alias("at"), F.coalesce("outcome", "e.told").alias("outcome"))
+
+    return step
