@@ -185,7 +185,7 @@ def split_events(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["i1_readiness", "i2_registration", "i4_telemetry_in_all", "i9_added_ids", "i3_generations", "i6_research"])
+@pytest.mark.parametrize("name", ["i1_readiness", "i2_registration", "i4_telemetry_in_all", "i9_added_ids", "i3_generations", "i6_research", "j4_told_of_counters", "j5_told_of_changes"])
 def test_batches_of_a_stream_make_no_difference(spark, monkeypatch, split_events, name):
     whole = sorted(map(str, catalog.QUERIES[name](spark, SF).collect()))
     plain = sinks.opened
@@ -264,3 +264,24 @@ def test_delivered_again_changes_nothing(spark, tmp_path):
     start = spark.createDataFrame([(2, "a", 0)], "nb int, key string, pos int")
     got = sinks.merged(sinks.opened(spark, str(tmp_path), "t", 1), start, sinks.first_wins(["nb", "key"], ["pos"]), "again", lambda df, n: told.append(df.count()) or 1 / 0)
     assert sorted(map(tuple, got.collect())) == [(1, "a", 3), (1, "b", 9), (2, "a", 0)] and told == [3, 3]
+
+
+def test_numbers_within_few_keys(spark):
+    pairs = [(k % 3 or None, (k * 7919) % 1000) for k in range(1000)]
+    got = rows.numbered(spark.createDataFrame(pairs, "k long, v long"), ["k"], ["v"], "n").collect()
+    want = {(k, v): n for key in {k for k, _ in pairs} for n, (k, v) in enumerate(sorted(p for p in pairs if p[0] == key), 1)}
+    assert {(r["k"], r["v"]): r["n"] for r in got} == want and len(got) == len(pairs)
+    none = rows.numbered(spark.createDataFrame([], "k long, v long"), ["k"], ["v"], "n")
+    assert none.count() == 0
+    first = rows.selected(spark.createDataFrame([(None, 2), (None, 1), (1, 5)], "k long, v long"), ["k"], [F.col("v")])
+    assert sorted(map(tuple, first.select(F.coalesce("k", F.lit(0)), "v", "n_matches", "reason").collect())) == [(0, 1, 2, "first of 2"), (1, 5, 1, "only one")]
+
+
+def test_a_callback_that_fails_does_not_stop_its_stream(spark):
+    def fails(version, number):
+        raise RuntimeError("no")
+
+    rows_ = sinks.opened(spark, SF, "events").select("event_id")
+    step = lambda table, batch: table.unionByName(batch)
+    got = sinks.merged(rows_, spark.createDataFrame([], rows_.schema), step, "failing", after=fails)
+    assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count()

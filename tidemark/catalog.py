@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analysis, coerced, completed, listing, lookups, payloads, scalars, streams
+from .plans import analysis, coerced, completed, hooks, listing, lookups, payloads, scalars, streams
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "coerced", "completed", "listing", "lookups", "payloads", "scalars", "streams"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "coerced", "completed", "hooks", "listing", "lookups", "payloads", "scalars", "streams"]

@@ -64,12 +64,14 @@ def video_id(url: Column | str) -> Column:
     return F.when(h.isin(*VIDEO_HOSTS) & found.rlike("^[a-zA-Z0-9_-]+$"), found)
 
 
-def report_urls(text: Column | str) -> Column:
-    """Distinct citation keys of all URLs in a text except its images', http(s) only, sorted."""
-    every = F.regexp_extract_all(_col(text), F.lit("(" + BARE_URL + ")"), 1)
-    images = F.regexp_extract_all(_col(text), F.lit(IMAGE_LINK), 1)
-    urls = F.array_except(F.transform(every, citation_key), F.transform(images, citation_key))
-    return F.array_sort(F.filter(F.array_distinct(urls), lambda u: u.startswith("http://") | u.startswith("https://")))
+def bare_urls(text: Column | str) -> Column:
+    """All URLs in a text, as they stand there."""
+    return F.regexp_extract_all(_col(text), F.lit("(" + BARE_URL + ")"), 1)
+
+
+def image_urls(text: Column | str) -> Column:
+    """URLs of a text's images."""
+    return F.regexp_extract_all(_col(text), F.lit(IMAGE_LINK), 1)
 
 
 def internal_reason(url: Column | str) -> Column:

@@ -10,9 +10,15 @@ from ..functions import text, urls
 PROBE, AROUND = 40, 200
 
 
+def report_keys(reports: DataFrame) -> DataFrame:
+    """nb, key: distinct citation keys of all URLs in a group's reports except those of images; a report may be one row, or a row for each line."""
+    every, images = (reports.select("nb", F.explode(found).alias("url")).select("nb", urls.citation_key("url").alias("key")) for found in (urls.bare_urls("report"), urls.image_urls("report")))
+    return every.where("key LIKE 'http://%' OR key LIKE 'https://%'").distinct().join(images, ["nb", "key"], "left_anti")
+
+
 def cited(sources: DataFrame, reports: DataFrame) -> DataFrame:
     """Sources a group's report cites, reports first; all of them (used_fallback) where none is cited."""
-    keys = reports.select("nb", F.explode(urls.report_urls("report")).alias("_key"))
+    keys = report_keys(reports).withColumnRenamed("key", "_key")
     rows = sources.withColumn("_key", F.when(F.col("kind") != "report", urls.citation_key("url"))).join(keys.withColumn("_hit", F.lit(True)), ["nb", "_key"], "left")
     hits = rows.groupBy("nb").agg(F.count("_hit").alias("n_matched"))
     rows = rows.join(hits, "nb")

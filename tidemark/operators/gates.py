@@ -23,6 +23,11 @@ def cleaned(sources: DataFrame, classify: Callable[[DataFrame], DataFrame]) -> D
     return sources.transform(classify).where("reason IS NULL").select(*sources.columns)
 
 
+def rendered(rows: DataFrame, line: Callable[[Callable[[str], Column]], Column], name: str = "doc") -> DataFrame:
+    """rows with a text of each, made by the caller's formatter: a function from a getter of columns to a column."""
+    return rows.withColumn(name, line(F.col))
+
+
 def watched(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
     """df with measures taken while it runs; the observation holds them once it has."""
     seen = Observation(name)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import numbered
+
 
 def members(bridge: DataFrame, items: DataFrame) -> DataFrame:
     """Memberships of items that are there; the others are dropped silently."""
@@ -25,8 +27,8 @@ def unlabelled(items: DataFrame, bridge: DataFrame) -> DataFrame:
 def added(bridge: DataFrame, more: DataFrame) -> DataFrame:
     """more: label_id, source_id, pos. Members there already keep their places; new ones follow in order."""
     rows = bridge.withColumn("_new", F.lit(0)).unionByName(more.withColumn("_new", F.lit(1)))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("label_id", "source_id").orderBy("_new", "pos"))).where("_n = 1")
-    return first.select("label_id", F.row_number().over(Window.partitionBy("label_id").orderBy("_new", "pos")).cast("long").alias("pos"), "source_id")
+    first = rows.groupBy("label_id", "source_id").agg(F.min(F.struct("_new", "pos")).alias("at")).select("label_id", "source_id", F.col("at._new").alias("_new"), F.col("at.pos").alias("_at"))
+    return numbered(first, ["label_id"], ["_new", "_at", "source_id"], "pos").select("label_id", "pos", "source_id")
 
 
 def removed(bridge: DataFrame, less: DataFrame) -> DataFrame:

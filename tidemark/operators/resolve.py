@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -36,9 +36,10 @@ def by_id(tokens: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("token", verdict.alias("verdict"), F.when(uuid, F.col("_t")).when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.col("_n") == 1, F.col("_one")).alias("id"))
 
 
-def by_title(tokens: DataFrame, items: DataFrame) -> DataFrame:
-    """token, verdict, id by exact, case-sensitive title."""
-    found = items.groupBy(F.col("title").alias("token")).agg(F.count("*").alias("_n"), F.min("id").alias("id"))
+def by_title(tokens: DataFrame, items: DataFrame, id_of: Column | str = "id", title_of: Column | str = "title") -> DataFrame:
+    """token, verdict, id by exact, case-sensitive title. Columns or names of columns say what an item's id and title are."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    found = items.select(col(id_of).alias("id"), col(title_of).alias("token")).groupBy("token").agg(F.count("*").alias("_n"), F.min("id").alias("id"))
     return tokens.select("token").distinct().join(found, "token", "left").select("token", F.when(F.col("_n") == 1, "found").when(F.col("_n") > 1, "ambiguous").otherwise("none").alias("verdict"), F.when(F.col("_n") == 1, F.col("id")).alias("id"))
 
 
@@ -71,11 +72,11 @@ def near_misses(tokens: DataFrame, items: DataFrame, limit: int = 3, cutoff: flo
     """token, rank, id, title of up to ``limit`` items: titles the token begins in input order, then similar ones, best first.
 
     Titles are compared folded. A ratio of at least ``cutoff`` bounds how far lengths can differ, so tokens meet titles
-    of such lengths only; distinct folded titles are scored once, and the prefix pass is a join on first characters.
+    of such lengths only; distinct folded titles are scored once, and the prefix pass is a join on equal beginnings.
     """
     t = tokens.select("token").distinct().withColumn("_t", text.folded("token")).where("_t <> ''")
     i = items.where(F.coalesce("title", F.lit("")) != "").select("id", "title", "pos", text.folded("title").alias("_f"))
-    prefix = t.join(i, (F.substring("_f", 1, 1) == F.substring("_t", 1, 1)) & F.startswith("_f", F.col("_t"))).select("token", "id", "title", F.lit(0).alias("_pass"), F.lit(0.0).alias("_s"), F.lit("").alias("_f"), "pos")
+    prefix = begun(t, i, "_t", "_f").select("token", "id", "title", F.lit(0).alias("_pass"), F.lit(0.0).alias("_s"), F.lit("").alias("_f"), "pos")
     names = i.select("_f").distinct().withColumn("_len", F.length("_f"))
     n = F.length("_t")
     lengths = F.sequence(F.ceil(n * F.lit(cutoff / (2 - cutoff))).cast("int"), F.floor(n * F.lit((2 - cutoff) / cutoff)).cast("int"))

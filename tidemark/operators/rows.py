@@ -25,9 +25,10 @@ def newest(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) -
 
 def selected(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key, with how many there were and why it was taken."""
-    w = Window.partitionBy(*key)
-    n = F.count("*").over(w)
-    out = df.withColumn("n_matches", n).withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n = 1").drop("_n")
+    counts = df.groupBy(*[F.col(k).alias("_" + k) for k in key]).agg(F.count("*").alias("n_matches"))
+    first = newest(df, key, order, 1)  # of a key, each task passes on one row only
+    same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in key]
+    out = first.join(counts, same).drop(*["_" + k for k in key])
     return out.withColumn("reason", F.when(F.col("n_matches") == 1, "only one").otherwise(F.concat(F.lit("first of "), F.col("n_matches"))))
 
 
@@ -52,6 +53,13 @@ def placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(before), "_p").withColumn("place", F.col("_before") + F.col("_n")).drop("_p", "_n", "_before")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """df with ``name``: 1, 2, 3 within each key, in an order that is total within it. No key meets in one task, however few keys there are."""
+    rows = stored(placed(df, [*keys, *order]), "numbered")
+    first = rows.groupBy(*[F.col(k).alias("_" + k) for k in keys]).agg(F.min("place").alias("_first"))
+    return rows.join(first, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]).withColumn(name, F.col("place") - F.col("_first") + 1).drop("place", "_first", *["_" + k for k in keys])
+
+
 def envelope(df: DataFrame, limit: Column, offset: Column, keys: Sequence[str], order: Sequence[Column | str], most: int = 1000) -> DataFrame:
     """Pages of groups, each with a limit and an offset of its own: keys, total, returned, has_more, problem.
 

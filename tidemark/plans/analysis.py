@@ -98,10 +98,11 @@ def c7_cited_only(s, d):
     return citations.cited(src, V.reports(s, d).where("nb <> 4")).select("nb", "page_id", "used_fallback")
 
 
-@query(f"WITH {V.SOURCES}, n AS (SELECT nb, source_id FROM sources WHERE page_id >= 200 AND source_id NOT IN (SELECT source_id FROM sources WHERE page_id < 210)) SELECT nb, count(*) AS n_new, count(*) = 1 AS exactly_one FROM n GROUP BY nb")
+@query(f"WITH {V.SOURCES}, n AS (SELECT nb, source_id FROM sources WHERE status <> 1 AND source_id NOT IN (SELECT source_id FROM sources WHERE status <> 3)) SELECT nb, count(*) AS n_new, count(*) = 1 AS exactly_one FROM n GROUP BY nb")
 def c8_id_diff(s, d):
+    """Before, sources in error weren't listed; after, those being processed aren't."""
     src = V.sources(s, d)
-    new = src.where("page_id >= 200").join(src.where("page_id < 210").select("source_id"), "source_id", "left_anti")
+    new = src.where("status <> 1").join(src.where("status <> 3").select("source_id"), "source_id", "left_anti")
     return new.groupBy("nb").agg(F.count("*").alias("n_new"), (F.count("*") == 1).alias("exactly_one"))
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, urls
-from ..operators import gates, hygiene, status
+from ..operators import gates, hygiene, rows, status
 from ..sources import views as V
 from .analysis import JUNK, WAITED
 from .registry import query
@@ -93,7 +92,7 @@ def d1_wait_lists(s, d):
     """Who is in each bucket, in order: a row for each rather than a list in one."""
     w = status.waited(V.table(s, d, "customer").select(F.col("c_custkey").alias("entity_id")), status.terminal(V.snapshots(s, d)))
     w = w.withColumn("nb", F.col("entity_id") % 25)
-    return w.select("nb", "outcome", F.row_number().over(Window.partitionBy("nb", "outcome").orderBy("entity_id")).cast("long").alias("place"), "entity_id")
+    return rows.numbered(w, ["nb", "outcome"], ["entity_id"], "n").select("nb", "outcome", F.col("n").alias("place"), "entity_id")
 
 
 DELETED = f"WITH {JUNK}, t AS (SELECT nb, reason IS NOT NULL AS junk, page_id % 4 = 0 AS refused FROM junk)"
@@ -129,7 +128,7 @@ def d10_item_results(s, d):
     a = V.artifacts(s, d)
     fatal = a.where("status = 4 AND id % 3 = 0").groupBy("nb").agg(F.min("id").alias("fatal"))
     result = F.when(F.col("id") > F.col("fatal"), "not_tried").when(F.col("status") == 3, "added").otherwise("error")
-    return a.join(fatal, "nb", "left").select("nb", F.row_number().over(Window.partitionBy("nb").orderBy("id")).cast("long").alias("place"), "id", result.alias("result"))
+    return rows.numbered(a, ["nb"], ["id"], "n").join(fatal, "nb", "left").select("nb", F.col("n").alias("place"), "id", result.alias("result"))
 
 
 @query(f"WITH {V.ARTIFACTS} SELECT nb, count(*) FILTER (type_code = 5) AS n_artifacts, CASE WHEN nb % 4 = 0 THEN NULL ELSE count(*) FILTER (type_code = 4 AND variant = 4) END AS n_notes, nb % 4 = 0 AS notes_failed FROM artifacts GROUP BY nb")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, urls
-from ..operators import rows
+from ..operators import citations, rows
 from ..sources import views as V
 from .registry import query
 
@@ -246,16 +246,15 @@ SELECT nb, url FROM every WHERE url LIKE 'http%' EXCEPT SELECT nb, url FROM img"
 
 @query(G4)
 def g4_report_urls(s, d):
-    return V.reports(s, d).select("nb", F.explode(urls.report_urls("report")).alias("url"))
+    return citations.report_keys(V.reports(s, d)).select("nb", F.col("key").alias("url"))
 
 
 @query(f"""WITH {V.REQUESTED}, r AS (SELECT nb, {V.key_sql('url', 'import')} AS k FROM requested WHERE url IS NOT NULL), e AS (SELECT nb, {V.key_sql('url', 'import')} AS k FROM existing)
 SELECT nb, count(DISTINCT k) FILTER (hit) AS n_both, bool_and(hit) AS is_subset FROM (SELECT r.nb, r.k, e.k IS NOT NULL AS hit FROM r LEFT JOIN (SELECT DISTINCT * FROM e) e USING (nb, k)) GROUP BY nb""")
 def g5_url_sets(s, d):
-    r = V.requested(s, d).where("url IS NOT NULL").groupBy("nb").agg(F.collect_set(urls.import_key("url")).alias("r"))
-    e = V.existing(s, d).groupBy("nb").agg(F.collect_set(urls.import_key("url")).alias("e"))
-    both = r.join(e, "nb", "left").withColumn("e", F.coalesce("e", F.array().cast("array<string>")))
-    return both.select("nb", F.size(F.array_intersect("r", "e")).cast("long").alias("n_both"), (F.size(F.array_except("r", "e")) == 0).alias("is_subset"))
+    r = V.requested(s, d).where("url IS NOT NULL").select("nb", urls.import_key("url").alias("k")).distinct()
+    e = V.existing(s, d).select("nb", urls.import_key("url").alias("k")).distinct().withColumn("hit", F.lit(True))
+    return r.join(e, ["nb", "k"], "left").groupBy("nb").agg(F.count("hit").alias("n_both"), (F.count("hit") == F.count("*")).alias("is_subset"))
 
 
 @query(f"WITH {V.SOURCES} SELECT nb, source_id FROM sources WHERE source_id NOT IN (SELECT source_id FROM sources WHERE page_id % 4 = 0)")

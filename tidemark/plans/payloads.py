@@ -71,11 +71,14 @@ def a5_data_tables(s, d):
     return cells(V.table(s, d, "orders").select(F.col("o_orderkey").alias("table_id"), F.expr(TABLE).alias("payload")))
 
 
-def cells(tables):
-    """table_id, payload to table_id, row, col, header, text: rows of fewer than three slots go, the first of the rest is the header."""
+def cells(tables, row_of=lambda row: F.try_variant_get(row, "$[2]", "array<variant>"), text_of=None):
+    """table_id, payload to table_id, row, col, header, text: rows of fewer than three slots go, the first of the rest is the header.
+
+    ``row_of`` takes the cells from a row's variant, ``text_of`` the text from a column with a cell's JSON.
+    """
     rows = F.filter(F.try_variant_get(variants.parsed("payload"), "$", "array<variant>"), lambda r: F.size(F.try_variant_get(r, "$", "array<variant>")) >= 3)
-    long = tables.select("table_id", F.transform(rows, lambda r: F.transform(F.try_variant_get(r, "$[2]", "array<variant>"), lambda c: F.to_json(c))).alias("rows")).where(F.size("rows") > 0)
-    text = nested_text("")
+    long = tables.select("table_id", F.transform(rows, lambda r: F.transform(row_of(r), lambda c: F.to_json(c))).alias("rows")).where(F.size("rows") > 0)
+    text = text_of or nested_text("")
     body = long.select("table_id", F.col("rows")[0].alias("head"), F.posexplode("rows").alias("row", "cells")).where("row > 0")
     cell = body.select("table_id", "row", "head", F.posexplode("cells").alias("col", "cell"))
     return cell.select("table_id", "row", "col", text(F.try_element_at("head", F.col("col") + 1)).alias("header"), text("cell").alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, urls
+from ..operators import resolve
 from ..sources import views as V
 from .registry import query
 
@@ -24,9 +25,7 @@ def c10_resolve_titles(s, d):
     tokens = o.select(F.lower(F.substring(prio, 1, 3)).alias("token")).union(n.select(F.lower("n_name"))).distinct()
     items = n.select(F.col("n_nationkey").cast("int").alias("id"), F.lower("n_name").alias("title")).union(o.select(F.substring(prio, 1, 1).cast("int") + 100, F.lower(prio)).distinct())
     exact = items.groupBy(F.col("title").alias("token")).agg(F.count("*").alias("n"), F.min("id").alias("one"))
-    # Tokens and titles meet on their first character; whole prefixes decide.
-    met = tokens.join(items, (F.substring("token", 1, 1) == F.substring("title", 1, 1)) & F.startswith("title", F.col("token")))
-    prefix = met.groupBy("token").agg(F.count("*").alias("m"), F.min("id").alias("first"))
+    prefix = resolve.begun(tokens, items, "token", "title").groupBy("token").agg(F.count("*").alias("m"), F.min("id").alias("first"))
     verdict = F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "ambiguous").when(F.col("m") == 1, "prefix").when(F.col("m") > 1, "ambiguous").otherwise("none")
     return tokens.join(exact, "token", "left").join(prefix, "token", "left").select("token", verdict.alias("verdict"), F.when(F.col("n") == 1, F.col("one")).when(F.col("n").isNull() & (F.col("m") == 1), F.col("first")).alias("id"))
 

@@ -72,6 +72,20 @@ def newest_kept(keys: list[str], order: list, count: int):
     return step
 
 
+def changes_kept(key: str, value: str, order: list[str]):
+    """A step: rows of the batch whose value differs from the one before (``changed``), and each key's last row (``last``), which the next batch starts from."""
+
+    def step(table: DataFrame, batch: DataFrame) -> DataFrame:
+        kept = batch.columns
+        both = table.where("last").select(*kept, F.lit(False).alias("_new")).unionByName(batch.withColumn("_new", F.lit(True)))
+        w = Window.partitionBy(key).orderBy(*order)
+        before = F.lag(value).over(w)
+        told = both.withColumn("changed", F.col("_new") & (before.isNull() | (before != F.col(value)))).withColumn("last", F.lead(F.lit(1)).over(w).isNull())
+        return told.where("changed OR last").drop("_new")
+
+    return step
+
+
 def best_kept(keys: list[str], order):
     """A step: of each key, the row of table and batch that comes first by ``order``; partial minima are taken before rows are shuffled."""
 
