@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .importance import GAP, HOW
 from .quality_rules import BITS, POLICY
 from .queries import URL_RULES
 from .url_filter import SUFFIXES, Reputation
@@ -83,4 +84,23 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host <> '' AND bou
 """
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op6_vector_search": OP6, "op8_warc": OP8, "op10_url_filter": op10(URL_RULES, Reputation())}
+#: CRC-32 of distinct words byte by byte, with the table of its polynomial.
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{GAP}]+') AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{GAP}]+')) AS w FROM benchmark),
+dw AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, CAST([1, 2, 3, 4, 5, 6, 7, 8] AS BIGINT[])), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))) AS c FROM range(256) AS g(i))),
+hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM b)),
+crc AS (SELECT w, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)]))) % {HOW.buckets} AS bucket FROM hexed, tab),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN crc USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN crc USING (w) GROUP BY bucket),
+big AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS ss, (SELECT coalesce(sum(t), 0) FROM t) AS tt),
+gain AS (SELECT bucket, floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(ss + {HOW.buckets} AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(tt + {HOW.buckets} AS DOUBLE)))) AS gain FROM s LEFT JOIN t USING (bucket), big),
+weights AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{HOW.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {HOW.least_words} ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {HOW.least_words} AND place <= (SELECT count(*) FROM scored WHERE n_features >= {HOW.least_words}) * {HOW.percent} // 100 THEN place END AS rank FROM ranked
+"""
+
+
+ORACLES: dict[str, str] = {"op12_importance_resampling": OP12, "op1_quality_rules": OP1, "op6_vector_search": OP6, "op8_warc": OP8, "op10_url_filter": op10(URL_RULES, Reputation())}

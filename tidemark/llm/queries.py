@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, packing, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter, vector_search, warc
+from . import bpe, chat_format, fingerprints, importance, packing, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter, vector_search, warc, whitening
 from .common import shared_path, table
 
 
@@ -77,10 +77,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_bpe, op3_best_fit_packing, op4_chat_formatting, op5_suffix_dedup,
         op6_vector_search, op7_quality_classifier, op8_warc, op9_simhash, op10_url_filter,
+        op11_embedding_whitening, op12_importance_resampling, op13_fingerprints,
     )
 }
