@@ -13,7 +13,6 @@ from tidemark import catalog
 from tidemark.functions import codes, markdown, text, urls, variants
 from tidemark.operators import gates, names, resolve, rows
 from tidemark.plans import payloads
-from tidemark.streaming import sinks, trackers
 
 SF = "/root/testdata/sf0.001"
 
@@ -176,96 +175,6 @@ def test_csv_lines(spark):
     assert got == [(1, 0, '"a""b","c"'), (1, 1, '"x","y,z"')]
 
 
-@pytest.fixture
-def split_events(spark, tmp_path):
-    """The events in files that arrive one after another, so that a stream takes many micro-batches."""
-    events = spark.read.parquet(f"{SF}/events.parquet")
-    for k in range(6):
-        events.withColumn("part", F.ntile(6).over(Window.orderBy("ts", "event_id"))).where(F.col("part") == k + 1).drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
-    return str(tmp_path)
-
-
-@pytest.mark.parametrize("name", ["i1_readiness", "i2_registration", "i4_telemetry_in_all", "i9_added_ids", "i3_generations", "i6_research", "j4_told_of_counters", "j5_told_of_changes"])
-def test_batches_of_a_stream_make_no_difference(spark, monkeypatch, split_events, name):
-    whole = sorted(map(str, catalog.QUERIES[name](spark, SF).collect()))
-    plain = sinks.opened
-    monkeypatch.setattr(sinks, "opened", lambda s, d, n, files=None: plain(s, d, n, 1))
-    assert sorted(map(str, catalog.QUERIES[name](spark, split_events).collect())) == whole
-
-
-def test_generations_step_by_step(spark):
-    got = sorted(map(tuple, catalog.QUERIES["i3_generations"](spark, SF).select("entity_id", "pos", "outcome").collect()))
-    want = []
-    for user in sorted({r["user_id"] for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").collect()}):
-        state = (None, None, 0, None, False, False)
-        rows_ = spark.read.parquet(f"{SF}/events.parquet").where(F.col("user_id") == user).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type").orderBy("at", "event_id").collect() if user % 10 == 0 else []
-        for r in rows_:
-            kind = {"purchase": "completed", "signup": "pending"}.get(r["event_type"], "failed" if r["event_type"] == "error" and r["event_id"] % 5 == 0 else "in_progress")
-            state, told = trackers.generation(state, r["at"], user % 4 != 0, kind, r["event_id"] % 7 == 0)
-            want += [(user, r["event_id"], told)] if told else []
-    assert [g for g in got if g[0] % 10 == 0] == sorted(want) and want
-
-
-def test_generation_rules():
-    second, s0 = 1_000_000, (None, None, 0, None, False, False)
-
-    def go(*steps):
-        state, out = s0, []
-        for k, (at, present, status, media) in enumerate(steps):
-            state, told = trackers.generation(state, at * second, present, status, media)
-            out.append(told)
-        return out
-
-    assert go((0, True, "completed", False), (1, True, "completed", True), (2, True, "failed", True)) == ["in_progress", "completed", None]
-    assert go(*[(k, False, None, False) for k in range(10)]) == [None] * 9 + ["removed"]
-    assert go(*[(3 * k, False, None, False) for k in range(5)]) == [None] * 4 + ["removed"]
-    assert go(*[(k, False, None, False) for k in range(4)], (4, True, "pending", False), *[(5 + k, False, None, False) for k in range(4)]) == [None] * 4 + ["pending"] + [None] * 4
-    late = trackers.DEADLINE + 1
-    assert go((0, True, "pending", False), (late, True, "pending", False)) == ["pending", "timed_out_waiting"]
-    assert go((0, True, "in_progress", False), (late, True, "pending", False)) == ["in_progress", "timed_out_running"]
-
-
-def polls(spark, *rows):
-    return spark.createDataFrame(list(rows), "nb long, at long, pos long, tasks array<struct<task:string,status:string>>")
-
-
-def test_research_rules(spark):
-    second, step = 1_000_000, trackers.researched(10)
-    start = spark.createDataFrame([(6, None, "named", None, None)], trackers.RESEARCH)
-    going, done, bad = "in_progress", "completed", "failed"
-    first = polls(
-        spark,
-        (1, 0, 0, None), (1, second, 1, [("a", done)]),
-        (2, 0, 0, [("a", going), ("b", going)]),
-        (3, second, 1, [("b", done)]), (3, 0, 0, [("a", going)]), (3, 2 * second, 2, []), (3, 3 * second, 3, [("b", done), ("a", bad)]),
-        (4, 0, 0, [("a", going)]), (4, 10 * second, 1, [("a", going)]),
-        (5, 0, 0, [("a", done)]),
-        (6, 0, 0, [("x", done), ("y", done)]),
-    )
-    once = step(start, first)
-    got = {r["nb"]: (r["pin"], r["at"], r["outcome"]) for r in once.collect()}
-    assert got == {1: (None, 0, "no_research"), 2: (None, 0, "ambiguous"), 3: ("a", 3 * second, bad), 4: ("a", None, None), 5: ("a", 0, done), 6: ("named", None, None)}
-    later = polls(spark, (1, 4 * second, 9, [("a", done)]), (4, 11 * second, 9, []), (6, 5 * second, 9, [("named", done)]), (3, 4 * second, 9, [("a", done)]))
-    got = {r["nb"]: (r["pin"], r["at"], r["outcome"]) for r in step(once, later).collect()}
-    assert got == {1: (None, 0, "no_research"), 2: (None, 0, "ambiguous"), 3: ("a", 3 * second, bad), 4: ("a", 11 * second, "timed_out"), 5: ("a", 0, done), 6: ("named", 5 * second, done)}
-
-
-def test_best_rows_over_batches(spark):
-    start = spark.createDataFrame([(1, "aaa", 0)], "k int, text string, pos int")
-    step = sinks.best_kept(["k"], F.struct((-F.length("text")).alias("l"), "pos"))
-    batch = spark.createDataFrame([(1, "bbb", 1), (1, "c", 2), (2, "d", 3), (2, "e", 2)], "k int, text string, pos int")
-    assert sorted(map(tuple, step(start, batch).collect())) == [(1, "aaa", 0), (2, "e", 2)]
-
-
-def test_delivered_again_changes_nothing(spark, tmp_path):
-    for k in range(2):
-        spark.createDataFrame([(1, "a", 5), (1, "a", 3), (1, "b", 9), (2, "a", 1)], "nb int, key string, pos int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t.parquet")
-    told = []
-    start = spark.createDataFrame([(2, "a", 0)], "nb int, key string, pos int")
-    got = sinks.merged(sinks.opened(spark, str(tmp_path), "t", 1), start, sinks.first_wins(["nb", "key"], ["pos"]), "again", lambda df, n: told.append(df.count()) or 1 / 0)
-    assert sorted(map(tuple, got.collect())) == [(1, "a", 3), (1, "b", 9), (2, "a", 0)] and told == [3, 3]
-
-
 def test_numbers_within_few_keys(spark):
     pairs = [(k % 3 or None, (k * 7919) % 1000) for k in range(1000)]
     got = rows.numbered(spark.createDataFrame(pairs, "k long, v long"), ["k"], ["v"], "n").collect()
@@ -275,13 +184,3 @@ def test_numbers_within_few_keys(spark):
     assert none.count() == 0
     first = rows.selected(spark.createDataFrame([(None, 2), (None, 1), (1, 5)], "k long, v long"), ["k"], [F.col("v")])
     assert sorted(map(tuple, first.select(F.coalesce("k", F.lit(0)), "v", "n_matches", "reason").collect())) == [(0, 1, 2, "first of 2"), (1, 5, 1, "only one")]
-
-
-def test_a_callback_that_fails_does_not_stop_its_stream(spark):
-    def fails(version, number):
-        raise RuntimeError("no")
-
-    rows_ = sinks.opened(spark, SF, "events").select("event_id")
-    step = lambda table, batch: table.unionByName(batch)
-    got = sinks.merged(rows_, spark.createDataFrame([], rows_.schema), step, "failing", after=fails)
-    assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count()

@@ -41,17 +41,16 @@ def j3_own_extractors(s, d):
 
 @query("SELECT event_type AS method, count(*) AS started, max(value) AS latency_max FROM events GROUP BY event_type")
 def j4_told_of_counters(s, d):
-    """A callback is told of the counters after every batch; what it kept of the last one."""
+    """A callback is told of the counters that changed after every batch, and writes them under its number; the last it heard of each."""
     told = folder(s, "told")
     rows = sinks.opened(s, d, "events").select(F.col("event_type").alias("method"), "value")
 
-    def step(table, batch):
-        counts = batch.groupBy("method").agg(F.count("*").alias("started"), F.max("value").alias("latency_max"))
-        return table.unionByName(counts).groupBy("method").agg(F.sum("started").alias("started"), F.max("latency_max").alias("latency_max"))
+    def tell(changed, number):
+        changed.write.mode("overwrite").parquet(f"{told}/batch={number}")
 
-    start = s.createDataFrame([], "method string, started long, latency_max double")
-    sinks.merged(rows, start, step, "counters", after=lambda version, number: version.write.mode("overwrite").parquet(told))
-    return s.read.schema(start.schema).parquet(told)
+    sinks.folded(rows, ["method"], after=tell, started=F.count("*"), latency_max=F.max("value"))
+    heard = s.read.schema("method string, started long, latency_max double, batch int").parquet(told)
+    return heard.groupBy("method").agg(F.max_by("started", "batch").alias("started"), F.max_by("latency_max", "batch").alias("latency_max"))
 
 
 @query(f"WITH {V.SNAPSHOTS} SELECT entity_id, snapshot_ts, pos, status FROM (SELECT *, lag(status) OVER (PARTITION BY entity_id ORDER BY snapshot_ts, pos) AS b FROM snapshots) WHERE b IS NULL OR b <> status")
@@ -60,15 +59,14 @@ def j5_told_of_changes(s, d):
     told = folder(s, "changes")
     e = sinks.opened(s, d, "events")
     status = F.when(F.col("event_type") == "signup", 5).when(F.col("event_type").isin("view", "click"), 1).when(F.col("event_type") == "purchase", 2).otherwise(3)
-    rows = e.select(F.col("user_id").alias("entity_id"), F.col("ts").alias("snapshot_ts"), F.col("event_id").alias("pos"), status.alias("status"))
-    start = s.createDataFrame([], rows.schema.add("changed", "boolean").add("last", "boolean"))
-    step = sinks.changes_kept("entity_id", "status", ["snapshot_ts", "pos"])
+    rows = e.select(F.col("user_id").alias("entity_id"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("pos"), status.alias("status"))
 
-    def tell(version, number):
-        version.where("changed").drop("changed", "last").write.mode("overwrite").parquet(f"{told}/batch={number}")
+    def tell(changes, number):
+        changes.write.mode("overwrite").parquet(f"{told}/batch={number}")
 
-    sinks.merged(rows, start, step, "statuses", after=tell)
-    return s.read.schema(rows.schema).parquet(told).select("entity_id", F.col("snapshot_ts").cast("timestamp_ntz").alias("snapshot_ts"), "pos", "status")
+    schema = "entity_id long, at long, pos long, status int"
+    sinks.kept_by(rows, ["entity_id"], sinks.Changes(), schema, after=tell)
+    return s.read.schema(schema).parquet(told).select("entity_id", F.timestamp_micros("at").cast("timestamp_ntz").alias("snapshot_ts"), "pos", "status")
 
 
 @query("""WITH t AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE c_name END AS token FROM customer), f AS (SELECT s_name AS token, count(*) AS n, min(s_suppkey) AS id FROM supplier GROUP BY s_name)

@@ -1,20 +1,31 @@
 """State per key over streams of snapshots: readiness, registration, generation, research tasks, first sight.
 
-Files arrive in the order of their snapshots; a micro-batch's rows of a key come in no order. What is only a minimum over rows (the first terminal snapshot, the first
-sight) is folded chunk by chunk, so a hot key holds no rows; the generation tracker goes through a key's rows in order and
-holds those of one micro-batch, which the source's ``maxFilesPerTrigger`` bounds.
+Files arrive in the order of their snapshots; a micro-batch's rows of a key come in no order. The deadline of an entity is
+a time of its own, told by an event-time timer: an entity that falls silent is given up once the watermark has passed
+its deadline, without another snapshot. What a snapshot after the deadline says is not asked any more, so that it makes no
+difference whether it or the timer comes first.
+
+What is only a minimum over rows (the first terminal snapshot, the first sight) is folded chunk by chunk. The last status
+before a deadline is not while the key's first batch may still hold an earlier start, so of that batch the rows that can yet
+be it are held, 24 bytes each; the generation tracker goes through a key's rows in order and holds those of one
+micro-batch, which the source's ``maxFilesPerTrigger`` bounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-#: Seconds after a key's first snapshot until it is given up.
-DEADLINE = 3600 * 24
-OUTCOME = "entity_id long, at long, pos long, outcome string"
+from .sinks import ROCKS, STORE, kept_by
+
+#: Seconds after a key's first snapshot until it is given up, and by which snapshots may be late.
+DEADLINE, LATE = 3600 * 24, 600
+OUTCOME = "entity_id long, at long, pos long, outcome string, last_status int"
 MICRO = 1_000_000
 
 
@@ -24,8 +35,8 @@ def terminal_outcome(status, type_code, present):
 
 
 def registered_outcome(status, type_code, present):
-    """The first snapshot that is there and not fatally failed registers a source; a fatal one fails it."""
-    return F.when(present, F.when((status == 3) & ~type_code.isin(0, 10), "failed").otherwise("registered"))
+    """The first snapshot that is there and no failure registers a source; a fatal failure fails it, a passing one is waited out."""
+    return F.when(present, F.when(status != 3, "registered").when(~type_code.isin(0, 10), "failed"))
 
 
 def dated(rows: DataFrame) -> DataFrame:
@@ -33,34 +44,101 @@ def dated(rows: DataFrame) -> DataFrame:
     return rows.select("entity_id", F.timestamp_micros("at").cast("timestamp_ntz").alias("snapshot_ts"), *[c for c in rows.columns if c not in ("entity_id", "at")])
 
 
-def outcomes(snapshots: DataFrame, outcome, deadline: int = DEADLINE) -> DataFrame:
-    """OUTCOME rows, one per entity: its first snapshot with an outcome, or ``timed_out`` at its first one after the deadline without."""
-    rows = snapshots.select("entity_id", F.unix_micros("snapshot_ts").alias("at"), "pos", outcome(F.col("status"), F.col("type_code"), F.col("present")).alias("outcome"))
+class Timed(StatefulProcessor):
+    """State of one value, and one event-time timer a key at its deadline (microseconds)."""
 
-    def run(key, pdfs, state):
-        first, done = state.get if state.exists else (None, False)
-        ended = late = None
-        for pdf in pdfs:
-            if done or not len(pdf):
+    fields = ""
+
+    def __init__(self, deadline: int):
+        self.wait = deadline * MICRO
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", self.fields)
+
+    @staticmethod
+    def due(at: int) -> int:
+        """The first millisecond after which nothing up to this time can come."""
+        return -(-at // 1000)
+
+    def moved(self, before: int | None, first: int | None) -> None:
+        """The timer goes from one start's deadline to another's; None: to none."""
+        if before == first:
+            return
+        if before is not None:
+            self.handle.deleteTimer(self.due(before + self.wait))
+        if first is not None:
+            self.handle.registerTimer(self.due(first + self.wait))
+
+    def close(self) -> None:
+        pass
+
+
+def told(key, rows: list[tuple]) -> pd.DataFrame:
+    """OUTCOME rows of a key from (at, pos, outcome, last status)."""
+    frame = pd.DataFrame([(key[0], *r) for r in rows], columns=["entity_id", "at", "pos", "outcome", "last_status"])
+    return frame.astype({"pos": "Int64", "last_status": "Int32"})
+
+
+class Waiting(Timed):
+    """The first outcome up to the deadline, or being given up with the last status seen up to it."""
+
+    fields = "first long, at long, pos long, status int, done boolean"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before, at, pos, status, done = self.state.get() if self.state.exists() else (None, None, None, None, False)
+        if done:
+            for _ in rows:
+                pass
+            return
+        first, ended, last = before, None, before
+        seen = [(at, pos, status)] if at is not None else []
+        for pdf in rows:
+            if not len(pdf):
                 continue
-            low = int(pdf["at"].min())
-            first = low if first is None else min(first, low)
+            first, last = (x if y is None else f(x, y) for x, y, f in ((int(pdf["at"].min()), first, min), (int(pdf["at"].max()), last, max)))
             some = pdf[pdf["outcome"].notna()]
             if len(some):
                 r = some.sort_values(["at", "pos"]).iloc[0]
                 ended = min(filter(None, [ended, (int(r["at"]), int(r["pos"]), r["outcome"])]))
-            after = pdf[pdf["at"] > first + deadline * MICRO]
-            if len(after):
-                r = after.sort_values(["at", "pos"]).iloc[0]
-                late = min(filter(None, [late, (int(r["at"]), int(r["pos"]), "timed_out")]))
-        if late and late[0] <= first + deadline * MICRO:
-            late = None
-        found = None if done else min(filter(None, [ended, late]), default=None)
-        state.update((first, done or found is not None))
-        if found:
-            yield pd.DataFrame({"entity_id": [key[0]], "at": [found[0]], "pos": [found[1]], "outcome": [found[2]]})
-
-    return dated(rows.groupBy("entity_id").applyInPandasWithState(run, OUTCOME, "first long, done boolean", "append", GroupStateTimeout.NoTimeout))
+            end = first + self.wait if ended is None else min(first + self.wait, ended[0])
+            own = pdf[pdf["status"].notna() & (pdf["at"] <= end)]
+            seen = [r for r in seen if r[0] <= end]
+            if len(own):
+                if before is not None:  # the deadline stands, so the last one is enough
+                    own = own.sort_values(["at", "pos"]).iloc[-1:]
+                seen.extend(zip(own["at"].tolist(), own["pos"].tolist(), own["status"].astype(int).tolist(), strict=True))
+                seen = [max(seen, key=lambda r: r[:2])] if before is not None else seen
+        latest = max((r for r in seen if r[0] <= first + self.wait), default=(None, None, None), key=lambda r: r[:2])
+        if ended and ended[0] <= first + self.wait:
+            yield told(key, [(*ended, None)])
+        elif last > first + self.wait:
+            yield told(key, [(first + self.wait, None, "timed_out", latest[2])])
+        else:
+            self.moved(before, first)
+            self.state.update((first, *latest, False))
+            return
+        self.moved(before, None)
+        self.state.update((first, None, None, None, True))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first, _, _, status, done = self.state.get()
+        if not done:
+            self.state.update((first, None, None, None, True))
+            yield told(key, [(first + self.wait, None, "timed_out", status)])
+
+
+def tracked(rows: DataFrame, processor: StatefulProcessor, late: int) -> DataFrame:
+    """rows: entity_id, at (a timestamp) and what the processor asks for. Its OUTCOME rows, dated."""
+    rows.sparkSession.conf.set(STORE, ROCKS)  # the one state store that has timers
+    marked = rows.withWatermark("at", f"{late} seconds").withColumn("at_", F.unix_micros("at")).select("entity_id", F.col("at").alias("event_time"), F.col("at_").alias("at"), *[c for c in rows.columns if c not in ("entity_id", "at")])
+    return dated(marked.groupBy("entity_id").transformWithStateInPandas(processor, OUTCOME, "Append", "EventTime"))
+
+
+def outcomes(snapshots: DataFrame, outcome: Callable, deadline: int = DEADLINE, late: int = LATE) -> DataFrame:
+    """OUTCOME rows, one per entity: its first snapshot with an outcome, or ``timed_out`` at its deadline with the last status of it (null: none was seen)."""
+    status = F.when(F.col("present"), F.col("status")).cast("int")
+    rows = snapshots.select("entity_id", F.col("snapshot_ts").alias("at"), "pos", status.alias("status"), outcome(F.col("status"), F.col("type_code"), F.col("present")).alias("outcome"))
+    return tracked(rows, Waiting(deadline), late)
 
 
 def first_seen(snapshots: DataFrame) -> DataFrame:
@@ -82,78 +160,137 @@ def first_seen(snapshots: DataFrame) -> DataFrame:
 
 #: A run of so many absent snapshots is a removal, or of so many fewer if it lasts so many seconds.
 ABSENT, ABSENT_SHORT, ABSENT_SECONDS = 10, 5, 10
-STATE = "first long, last string, run int, run_start long, seen_progress boolean, done boolean"
+#: Statuses of a generation, by the number that they are told by.
+STATUSES = ("pending", "in_progress", "completed", "failed", "not_found")
 
 
 def generation(state: tuple, at: int, present: bool, status: str, has_media: bool, deadline: int = DEADLINE) -> tuple[tuple, str | None]:
-    """One step: the new state and, where something is to be told, the status gone over to or the final outcome."""
+    """One step: the new state (start, last status, run of absent snapshots and its start, whether it ever was in progress, whether it has ended) and, where something is to be told, the status gone over to or the final outcome."""
     first, last, run, start, seen, done = state
     first = at if first is None else first
     if done:
         return state, None
+    if at > first + deadline * MICRO:
+        return given_up(state)
     if not present:
         run, start = run + 1, at if run == 0 else start
         if run >= ABSENT or (run >= ABSENT_SHORT and at - start >= ABSENT_SECONDS * MICRO):
-            return (first, last, run, start, seen, True), "removed"
-        now = last
-    else:
-        run, start = 0, None
-        now = "in_progress" if status == "completed" and not has_media else status
-        seen = seen or now == "in_progress"
-    if now in ("completed", "failed"):
-        return (first, now, run, start, seen, True), now
-    if at > first + deadline * MICRO:
-        return (first, now, run, start, seen, True), "timed_out_running" if seen else "timed_out_waiting"
-    return (first, now, run, start, seen, False), now if now != last and present else None
+            return (first, "not_found", run, start, seen, True), "removed"
+        return (first, "not_found", run, start, seen, False), "not_found" if last != "not_found" else None
+    now = "in_progress" if status == "completed" and not has_media else status
+    ended = now in ("completed", "failed")
+    return (first, now, 0, None, seen or now == "in_progress", ended), now if ended or now != last else None
 
 
-def generations(snapshots: DataFrame, deadline: int = DEADLINE) -> DataFrame:
-    """snapshots: entity_id, snapshot_ts, pos, status (text), present, has_media. entity_id, snapshot_ts, pos, outcome: every change of status and the end."""
-    rows = snapshots.select("entity_id", F.unix_micros("snapshot_ts").alias("at"), "pos", "status", "present", "has_media")
+def given_up(state: tuple) -> tuple[tuple, str]:
+    first, last, run, start, seen, _ = state
+    return (first, last, run, start, seen, True), "timed_out_running" if seen else "timed_out_waiting"
 
-    def run(key, pdfs, state):
-        now = tuple(state.get) if state.exists else (None, None, 0, None, False, False)
+
+class Generating(Timed):
+    """generation() over a key's rows in order, and being given up by the timer."""
+
+    fields = "first long, last string, run int, run_start long, seen_progress boolean, done boolean"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = before = tuple(self.state.get()) if self.state.exists() else (None, None, 0, None, False, False)
         out = []
-        for r in pd.concat(list(pdfs)).sort_values(["at", "pos"]).itertuples(index=False):
-            now, told = generation(now, int(r.at), bool(r.present), r.status, bool(r.has_media), deadline)
-            if told:
-                out.append((key[0], int(r.at), int(r.pos), told))
-        state.update(now)
+        held = [pdf for pdf in rows if not before[-1]]
+        for r in pd.concat(held).sort_values(["at", "pos"]).itertuples(index=False) if held else ():
+            last = now[1]
+            now, outcome = generation(now, int(r.at), bool(r.present), r.status, bool(r.has_media), self.wait // MICRO)
+            if outcome and outcome.startswith("timed_out"):
+                out.append((now[0] + self.wait, None, outcome, STATUSES.index(last)))
+            elif outcome:
+                out.append((int(r.at), int(r.pos), outcome, None))
+        if not before[-1]:
+            self.moved(before[0], None if now[-1] else now[0])
+            self.state.update(now)
         if out:
-            yield pd.DataFrame(out, columns=["entity_id", "at", "pos", "outcome"])
+            yield told(key, out)
 
-    return dated(rows.groupBy("entity_id").applyInPandasWithState(run, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = tuple(self.state.get())
+        if not now[-1]:
+            after, outcome = given_up(now)
+            self.state.update(after)
+            yield told(key, [(now[0] + self.wait, None, outcome, STATUSES.index(now[1]))])
 
 
-#: What is known of a notebook's research: the task waited for, since when, and how and when it ended.
-RESEARCH = "nb long, start long, pin string, at long, outcome string"
+def generations(snapshots: DataFrame, deadline: int = DEADLINE, late: int = LATE) -> DataFrame:
+    """snapshots: entity_id, snapshot_ts, pos, status (text), present, has_media. entity_id, snapshot_ts, pos, outcome, last_status: every change of status and the end.
+
+    Being absent is a status as well. Who is given up is told at the deadline, with the last status as its place in STATUSES.
+    """
+    rows = snapshots.select("entity_id", F.col("snapshot_ts").alias("at"), "pos", "status", "present", "has_media")
+    return tracked(rows, Generating(deadline), late)
+
+
+#: What is known of a notebook's research: since when it is waited for and for which task, and how and when that ended (microseconds).
+RESEARCH = "start long, pin string, ended long, outcome string"
 
 
-def researched(deadline: int = DEADLINE):
-    """A step from RESEARCH rows to RESEARCH rows over polls: nb, at (microseconds), pos, tasks (array of task, status).
+class Researching(Timed):
+    """The research of a notebook over polls: at (microseconds), pos, task, status; a poll has a row for each of its tasks, or one without a task.
 
     The first poll of a notebook without a task to wait for pins the only one there is; none ends it as ``no_research``,
     several as ``ambiguous``. A pinned task that a poll lacks is waited for; it ends ``completed`` or ``failed``, or
-    ``timed_out`` at the first poll after the deadline. Null tasks count as none. A notebook in the table may have a pin
-    and no start yet: its task was named by the caller.
+    ``timed_out`` at its deadline. A notebook may start with a pin and no start yet: its task was named by the caller.
     """
 
-    def step(table: DataFrame, batch: DataFrame) -> DataFrame:
-        polls = batch.select("nb", "at", "pos", F.coalesce("tasks", F.array()).alias("tasks"))
-        opening = polls.groupBy("nb").agg(F.min_by(F.struct("at", "tasks"), F.struct("at", "pos")).alias("p"))
-        known = table.join(opening, "nb", "full_outer")
-        free, n = F.col("start").isNull() & F.col("pin").isNull(), F.size("p.tasks")
-        begun = known.select(
-            "nb",
-            F.coalesce("start", "p.at").alias("start"),
-            F.when(free & (n == 1), F.col("p.tasks")[0]["task"]).otherwise(F.col("pin")).alias("pin"),
-            F.when(free & (n != 1), F.col("p.at")).otherwise(F.col("at")).alias("at"),
-            F.when(free & (n == 0), "no_research").when(free & (n > 1), "ambiguous").otherwise(F.col("outcome")).alias("outcome"),
-        )
-        waited = polls.join(begun.where("outcome IS NULL").select("nb", "start", "pin"), "nb")
-        status = F.get(F.filter("tasks", lambda t: t["task"] == F.col("pin")), F.lit(0))["status"]
-        told = F.when(status.isin("completed", "failed"), status).when(F.col("at") > F.col("start") + deadline * MICRO, "timed_out")
-        ends = waited.withColumn("told", told).where("told IS NOT NULL").groupBy("nb").agg(F.min_by(F.struct("at", "told"), F.struct("at", "pos")).alias("e"))
-        return begun.join(ends, "nb", "left").select("nb", "start", "pin", F.coalesce("at", "e.at").alias("at"), F.coalesce("outcome", "e.told").alias("outcome"))
-
-    return step
+    fields = RESEARCH
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        start, pin, ended, outcome = self.state.get() if self.state.exists() else (None, None, None, None)
+        opening, tasks, ends, last = None, [], {}, None
+        for pdf in rows:
+            if outcome or not len(pdf):
+                continue
+            last = max(filter(lambda x: x is not None, [last, int(pdf["at"].max())]))
+            first = min(zip(pdf["at"].tolist(), pdf["pos"].tolist(), strict=True))
+            if opening is None or first < opening:
+                opening, tasks = first, []
+            if start is None:  # the opening poll's tasks; every other poll's are looked up by name alone
+                same = pdf[(pdf["at"] == opening[0]) & (pdf["pos"] == opening[1])]
+                tasks.extend(same["task"].dropna().tolist())
+            done = pdf[pdf["status"].isin(["completed", "failed"])]
+            done = done[done["task"] == pin] if pin is not None else done
+            for r in done.sort_values(["at", "pos"]).drop_duplicates("task").itertuples(index=False):
+                told = (int(r.at), int(r.pos), r.status)
+                ends[r.task] = min(ends.get(r.task, told), told)
+        if outcome or opening is None:
+            return
+        before = start
+        if start is None:
+            start = opening[0]
+            if pin is None and len(tasks) != 1:
+                ended, outcome = start, "ambiguous" if tasks else "no_research"
+            elif pin is None:
+                pin = tasks[0]
+        due = start + self.wait
+        if not outcome and pin in ends and ends[pin][0] <= due:
+            ended, outcome = ends[pin][0], ends[pin][2]
+        elif not outcome and last > due:
+            ended, outcome = due, "timed_out"
+        self.moved(before, None if outcome else start)
+        self.state.update((start, pin, ended, outcome))
+        if outcome:
+            yield pd.DataFrame([(key[0], ended, outcome)], columns=["nb", "ended", "outcome"])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.state.update((None, initialState["pin"].iloc[0], None, None))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start, pin, ended, outcome = self.state.get()
+        if not outcome:
+            self.state.update((start, pin, start + self.wait, "timed_out"))
+            yield pd.DataFrame([(key[0], start + self.wait, "timed_out")], columns=["nb", "ended", "outcome"])
+
+
+def researched(polls: DataFrame, deadline: int = DEADLINE, late: int = LATE, start: DataFrame | None = None, at: str | None = None) -> DataFrame:
+    """polls: nb, polled_at, pos, tasks (array of task, status; null: none). nb, start, pin, ended, outcome of every notebook: a table that is the tracker's state.
+
+    ``start`` names tasks to wait for: nb, pin.
+    """
+    rows = polls.withWatermark("polled_at", f"{late} seconds").select("nb", "polled_at", F.unix_micros("polled_at").alias("at"), "pos", F.explode_outer("tasks").alias("t"))
+    return kept_by(rows.select("nb", "polled_at", "at", "pos", "t.task", "t.status"), ["nb"], Researching(deadline), "nb long, ended long, outcome string", at, start, timed=True)
