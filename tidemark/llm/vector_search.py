@@ -6,8 +6,10 @@ of cells in a task of its own, where the cells bound every score from both sides
 reaches the k-th best lower bound remain. Then exact vectors, which lie in a table of their own, are read in order
 of upper bounds: the first k of each query, and after them only those whose bound still reaches the k-th exact score.
 
-Of equal vectors, the k + 1 with the smallest ids alone can be among a query's k best, so a vector that makes up a large
-part of all rows is cut down before it is dealt out. Every other vector meets every query once, as cells, block by block.
+Of equal vectors, k rows of each id, and of those the 2k with the smallest ids, hold the k best for any query, whose own
+id takes up k of them at most; so a vector that makes up a large part of all rows is cut down before it is dealt out. Every
+other vector meets every query once, as cells, block by block; queries travel to them in as few bytes a component as hold
+their whole numbers.
 
 Edge cases: vectors that are null or hold a null or a value that isn't finite take no part, nor do rows without an id; scores are
 between vectors of one length; rows with the query's id are its own row; repeated query rows are answered one by one;
@@ -57,9 +59,9 @@ def approximation(x: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.nda
 
 
 def bounds(q: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the clipped scores of each query with each vector, from the vectors' cells alone."""
+    """Lower and upper bounds of the clipped scores of each query with each vector, from the vectors' cells alone (bytes, or the same as doubles)."""
     with np.errstate(over="ignore", invalid="ignore"):
-        base = (q * width) @ cells.T.astype(np.float64) + (q @ low)[:, None]
+        base = (q * width) @ cells.T.astype(np.float64, copy=False) + (q @ low)[:, None]
         size = (np.abs(q) @ (np.abs(low) + CELLS * width))[:, None]
         slack = np.where(size < 2.0**52, 0.0, size * 2.0**-40)  # sums of whole numbers are exact below
         lower = base + (np.minimum(q, 0) @ (width - 1))[:, None] - slack
@@ -70,8 +72,9 @@ def bounds(q: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray)
 
 def candidates(q: np.ndarray, q_ids: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray, ids: np.ndarray, k: int):
     """(query's place, vector's place, lower, upper) of the pairs whose upper bound reaches the query's k-th lower bound."""
+    wide = cells.astype(np.float64)
     for a in range(0, len(q), STEP):
-        lower, upper = bounds(q[a : a + STEP], low, width, cells)
+        lower, upper = bounds(q[a : a + STEP], low, width, wide)
         other = ids[None, :] != q_ids[a : a + STEP, None]
         if lower.shape[1] > k:
             lower[~other] = -np.inf
@@ -98,8 +101,10 @@ def exact_scores(q: pd.Series, x: pd.Series) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK, cells: int = CELLS) -> DataFrame:
     """vectors as from scaled(). query_id, rank, vec_id, score: the k best of each row for which the column is_query holds."""
     rows = stored(vectors, "vectors").withColumn("row", F.monotonically_increasing_id())  # of stored rows: the same on a retry
-    least = F.row_number().over(Window.partitionBy("dim", "x").orderBy("vec_id", "row"))
-    exact = stored(rows.withColumn("nth", least).where(F.col("nth") <= k + 1).drop("nth"), "exact")
+    of_id = F.row_number().over(Window.partitionBy("dim", "x", "vec_id").orderBy("row"))
+    of_all = F.row_number().over(Window.partitionBy("dim", "x").orderBy("vec_id", "row"))
+    few = rows.withColumn("nth", of_id).where(F.col("nth") <= k)  # each limit is applied before rows are shuffled as well
+    exact = stored(few.withColumn("nth", of_all).where(F.col("nth") <= 2 * k).drop("nth"), "exact")
     queries = rows.where(is_query)
     n_v, n_q = max(1, -(-exact.count() // vector_block)), max(1, -(-queries.count() // query_block))
     ids = lambda pdf: {"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "rows": [pdf["row"].to_numpy(np.int64).tobytes()]}
@@ -111,7 +116,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = QUERY_BL
         return pd.DataFrame(ids(pdf) | {"low": [low.tobytes()], "width": [width.tobytes()], "data": [at.tobytes()]})
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(ids(pdf) | {"low": [b""], "width": [b""], "data": [b"".join(pdf["x"])]})
+        x = matrix(pdf)
+        size = np.abs(x).max(initial=0)
+        kind = "<i2" if size < 1 << 15 else "<i4" if size < 1 << 31 else "<f8"
+        return pd.DataFrame(ids(pdf) | {"low": [b""], "width": [kind.encode()], "data": [x.astype(kind).tobytes()]})
 
     # Blocks are numbered over all lengths, so a length with few rows has small blocks.
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block")
@@ -128,7 +136,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = QUERY_BL
             for dim, qb, vb, side, own, row, low, width, data in pdf.itertuples(index=False):
                 own, row = np.frombuffer(own, np.int64), np.frombuffer(row, np.int64)
                 if side == 0:
-                    at, q, q_ids, q_rows = (dim, qb, vb), np.frombuffer(data).reshape(len(own), dim), own, row
+                    at, q, q_ids, q_rows = (dim, qb, vb), np.frombuffer(data, width.decode()).reshape(len(own), dim).astype(np.float64), own, row
                 elif at == (dim, qb, vb):
                     for i, j, lower, upper in candidates(q, q_ids, np.frombuffer(low), np.frombuffer(width), np.frombuffer(data, np.uint8).reshape(len(own), dim), own, k):
                         yield pd.DataFrame({"query_id": q_ids[i], "asked": q_rows[i], "row": row[j], "lower": lower, "upper": upper})
