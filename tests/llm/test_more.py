@@ -139,6 +139,15 @@ def test_a_vector_that_is_most_rows(spark):
     assert sorted(map(tuple, got.collect())) == brute_top(rows)
 
 
+def test_ids_and_vectors_that_repeat(spark):
+    rows = [(0, [64.0, 0.0])] * 25 + [(i, [64.0, 0.0]) for i in range(1, 21)] + [(20 + i, [6.0, i / 64]) for i in range(30)]
+    rows += [(40, [64.0, 0.0])] * 70 + [(i, [64.0, 0.0]) for i in (60, 80, 80, 90)]
+    df = vector_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5))
+    for k in (1, 3, 20):
+        got = vector_search.top_k(df, F.col("vec_id") % 20 == 0, k, query_block=30, vector_block=40)
+        assert sorted(map(tuple, got.collect())) == [r for r in brute_top(rows) if r[1] <= k]
+
+
 def pages(spark, which):
     if which == "sf":
         return spark.read.parquet(f"{SF}/pages.parquet")
@@ -172,6 +181,18 @@ def test_archives_are_deterministic(spark):
     assert seen[0] == seen[1] and len(seen[0]) > 5 and max(p for p, *_ in seen[0]) > "part-000001-00001"
 
 
+def test_hot_records_make_the_same_files(spark):
+    rows = [(7, f"u{k % 3}", "same" * 100) for k in range(3000)] + [(7, f"v{k}", "other" * 90) for k in range(2000)] + [(k, "w", f"{k % 9}" * 300) for k in range(200)]
+    seen = []
+    for n in (2, 5):
+        uri = shared_path(spark, "warc")
+        files = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n), uri, shard_bytes=100_000, file_bytes=4_000).collect()
+        seen.append(sorted((r["path"], r["sha256"], r["n_records"]) for r in files))
+        assert sum(r["n_records"] for r in files) == len(rows) and len({r["shard"] for r in files if r["n_records"] > 5}) > 10
+        assert sorted((r["page_id"], r["url"]) for r in warc.read(spark, uri).collect()) == sorted((i, u) for i, u, _ in rows)
+    assert seen[0] == seen[1]
+
+
 def test_archives_with_extreme_and_hot_ids(spark):
     rows = [(-(1 << 63), "a", "x" * 400), ((1 << 63) - 1, "b", "y"), (0, "c", "x" * 400)] + [(None, f"n{k % 3}", "z" * 700) for k in range(3000)] + [(7, f"h{k}", f"{k % 50}" * 300) for k in range(3000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -6,8 +6,9 @@ writes a run of ``.warc.gz`` files, each record a gzip member of its own, rolled
 ``file_bytes``. Files are written under temporary names with the task attempt in them and renamed when complete; the
 manifest names the files that count, and only those are read.
 
-An id with more bytes than a shard has several shards; its records are dealt over them by digest, and those of a single
-(id, digest) with over a thousandth of all rows by row number (equal records, so only their number per file may vary).
+An id with more bytes than a shard has several shards; its records are dealt over them by digest. Those of a single
+(id, digest) with over a thousandth of all rows are counted by url first, as such records are equal: a row with their
+number, not the rows themselves, goes to each of the shards that share them, beginning at a hash of the url.
 
 Headers and digests are made anew. Of records with equal payloads (of at least ``least_bytes``) the one with the
 largest page id is a response, and the others are revisits of it.
@@ -109,7 +110,8 @@ def write(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes
     span = span_of(bounds)
     # Equal records of an id with over a thousandth of all rows: a thousand such at most.
     least = max(1000, narrow.count() // 1000)
-    hot = F.broadcast(narrow.groupBy("id", "sha1").agg(F.count("*").alias("n")).where(F.col("n") > least).select("id", "sha1", F.lit(True).alias("hot")))
+    found = stored(narrow.groupBy("id", "sha1").agg(F.count("*").alias("n")).where(F.col("n") > least).select("id", "sha1", F.lit(True).alias("hot")), "hot-records")
+    hot = F.broadcast(found)
     # Of equal payloads, the page with the largest id; then a row for each page that revisits it.
     most = narrow.where(F.col("size") >= least_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("m")).where("n > 1 AND m IS NOT NULL")
     pages_of = narrow.where(F.col("size") >= least_bytes).groupBy("sha1", "page_id", "id").agg(F.count("*").alias("rows"))
@@ -119,9 +121,16 @@ def write(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes
     own = F.pmod(F.xxhash64("sha1"), F.col("s.n")).cast("int")
     told = told.withColumn("i", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.col("s.n") - 1)).otherwise(F.array(own))))
     held = rows.select("id", "page_id", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "payload", "size")
-    held = held.join(hot, ["id", "sha1"], "left").withColumn("tie", F.monotonically_increasing_id()).withColumn("s", span("id"))
-    held = held.withColumn("i", F.when(F.col("hot"), F.pmod("tie", F.col("s.n")).cast("int")).otherwise(own)).drop("tie")
-    both = told.unionByName(held).select((F.col("s.lo") + F.col("i")).alias("shard"), "page_id", "sha1", "kind", "refers_to", "url", "payload", "size")
+    held = held.join(hot, ["id", "sha1"], "left")
+    cold = held.where("hot IS NULL").withColumn("s", span("id")).withColumn("i", own).withColumn("copies", F.lit(1).cast("long"))
+    if not found.isEmpty():
+        equal = held.where("hot").groupBy("id", "page_id", "sha1", "kind", "refers_to", "url", "size").agg(F.count("*").alias("m"), F.any_value("payload").alias("payload")).withColumn("s", span("id"))
+        n, j = F.col("s.n"), F.col("j")
+        equal = equal.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("m"), n.cast("long")) - 1)))
+        equal = equal.withColumn("i", F.pmod(F.xxhash64("url") + j, n).cast("int")).withColumn("copies", F.floor(F.col("m") / n) + (j < F.col("m") % n).cast("long"))
+        cold = cold.drop("hot").unionByName(equal.select(*[c for c in cold.columns if c != "hot"]))
+    both = told.withColumn("copies", F.lit(1).cast("long")).unionByName(cold, allowMissingColumns=True)
+    both = both.select((F.col("s.lo") + F.col("i")).alias("shard"), "page_id", "sha1", "kind", "refers_to", "url", "payload", "size", "copies")
     ordered = both.repartitionById(max(1, len(bounds)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "kind", "url")
 
     def run(batches):
@@ -157,21 +166,22 @@ def write(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes
 
         told = None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("shard", "page_id", "sha1", "kind", "refers_to", "url", "payload", "size")]
-            for shard, page_id, sha1, kind, refers_to, url, payload, size in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("shard", "page_id", "sha1", "kind", "refers_to", "url", "payload", "size", "copies")]
+            for shard, page_id, sha1, kind, refers_to, url, payload, size, copies in zip(*cols, strict=True):
                 if kind == 0:
                     told = (page_id, sha1, refers_to, url)
                     continue
-                if not state or state["shard"] != shard:
-                    end()
-                    begin(shard, 0)
-                elif state["size"] >= file_bytes:
-                    part = state["part"] + 1
-                    end()
-                    begin(shard, part)
                 again = told is not None and told[:2] == (page_id, sha1)
-                put(record(page_id, url, base32(sha1), size, None if again else payload, told[2] if again else None, told[3] if again else "", date))
-                state["n"] += 1
+                for _ in range(copies):
+                    if not state or state["shard"] != shard:
+                        end()
+                        begin(shard, 0)
+                    elif state["size"] >= file_bytes:
+                        part = state["part"] + 1
+                        end()
+                        begin(shard, part)
+                    put(record(page_id, url, base32(sha1), size, None if again else payload, told[2] if again else None, told[3] if again else "", date))
+                    state["n"] += 1
         end()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["path", "shard", "part", "n_records", "n_bytes", "sha256"]).cast(pa.schema([("path", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())]))
