@@ -89,6 +89,33 @@ def test_near_misses_against_all_pairs(spark):
     assert {(r["token"], r["rank"], r["id"]) for r in got.collect()} == want
 
 
+def folded(t):
+    return " ".join(unicodedata.normalize("NFKC", t).translate(str.maketrans(dict.fromkeys(text.DASHES, "-"))).split()).casefold()
+
+
+def test_similar_titles_of_ten_thousand(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlucmfwypvbgkqjxz") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    titles = list({" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(10_000)})
+    tokens = [t[:-1] + "x" for t in titles[:15]] + [titles[20][::-1], "zq", "e", titles[30] + titles[31]]
+    got = {(r["_t"], r["_f"], round(r["_s"], 9)) for r in resolve.similar(spark.createDataFrame([(t,) for t in tokens], "_t string"), spark.createDataFrame([(t,) for t in titles], "_f string").repartition(4)).collect()}
+    want = set()
+    for t in tokens:
+        s = difflib.SequenceMatcher()
+        s.set_seq2(t)
+        for f in titles:
+            s.set_seq1(f)
+            if s.real_quick_ratio() >= 0.6 and s.quick_ratio() >= 0.6 and s.ratio() >= 0.6:
+                want.add((t, f, round(s.ratio(), 9)))
+    assert got == want and len(want) > 15
+
+
+def test_labels_nothing_fits_get_near_names(spark):
+    labels = spark.createDataFrame([("1a", "Project Alpha"), ("2b", "project beta"), ("3c", "Other"), ("4d", "Project Alpha")], "id string, name string")
+    got = {r["token"]: (r["verdict"], r["near_ids"]) for r in resolve.labelled_or_near(spark.createDataFrame([("projct alpha",), ("1A",), ("OTHER",), ("qqqq",), ("project",)], "token string"), labels).collect()}
+    assert got == {"projct alpha": ("none", ["1a", "4d", "2b"]), "1A": ("id", None), "OTHER": ("none", ["3c"]), "qqqq": ("none", None), "project": ("none", ["1a", "2b", "4d"])}
+
+
 def test_labels_ids_before_names(spark):
     items = spark.createDataFrame([("abc1", "x"), ("abc2", "abc1"), ("ff", "abc"), ("ffe", "Name"), ("q", "Name"), ("r", "one")], "id string, name string")
     tokens = ["ABC1", "abc", "ff", "Name", "name", "one", "r", "zz", ""]
@@ -145,10 +172,47 @@ def test_lists_and_payload_shapes(spark):
 def test_scalars_at_their_edges(spark):
     assert one(spark, codes.language, "fr", "FR", "fr_CA", None) == ["Français", None, "Français (Canada)", None]
     assert one(spark, lambda c: codes.rate_limited(F.lit("removed"), F.lit(None).cast("string"), c), "Quota!", "x", None) == [True, False, False]
-    hosts = ["[::1]", "127.1", "0x7f000001", "8.8.8.8", "example.org", "[::ffff:192.168.0.1]", "", None, "[fe80::1%25eth0]", "1.2.3.4.5"]
+    hosts = ["::1", "127.1", "0x7f000001", "8.8.8.8", "example.org", "::ffff:192.168.0.1", "", None, "fe80::1", "1.2.3.4.5"]
     assert one(spark, urls.host_class, *hosts) == ["internal", "internal", "internal", "public", None, "internal", None, None, "internal", None]
 
 
+def test_addresses_against_the_standard_library(spark):
+    import ipaddress
+    import socket
+
+    rng = random.Random(6)
+    quads = [str(ipaddress.ip_address(rng.choice([rng.getrandbits(32), 0x0A000000 | rng.getrandbits(20), 0xC0000000 | rng.getrandbits(10), 0xAC100000 | rng.getrandbits(21), 0xC6120000 | rng.getrandbits(18)]))) for _ in range(300)]
+    sixes = [rng.choice([0x2001 << 112, 0xFC << 120, 0xFE80 << 112, 0, 0xFFFF << 32, 0x2606 << 112, 0x20010DB8 << 96, 0x20010003 << 96, 0x64FF9B0001 << 88]) | rng.getrandbits(rng.choice([1, 16, 80])) for _ in range(300)]
+    odd = ["0x7f.1", "0177.0.0.1", "256.1.1.1", "1.256", "0", "00", "09", "0x", "4294967295", "4294967296", "1.2.3.4.5", "1..2", ".1", "a.b", "1.16777216", "1.2.65536", "0x100000000", "99999999999999999999999", "0000000000000000000000000012", "::", ":::", "1::2::3", "::1.2.3.4", "::ffff:01.2.3.4", "::ffff:1.2.3", "12345::", "g::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", ":1", "fe80", "2001:1::1", "192.0.0.9", "192.0.0.10", "192.0.0.11", "100.64.0.1"]
+    hosts = quads + [str(ipaddress.IPv6Address(x)) for x in sixes] + [ipaddress.IPv6Address(x).exploded for x in sixes[:50]] + odd
+
+    def one(h):
+        try:
+            ip = ipaddress.ip_address(h)
+        except ValueError:
+            try:
+                ip = ipaddress.ip_address(socket.inet_aton(h)) if h != "0x" else None
+            except OSError:
+                ip = None
+        if ip is None:
+            return None
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return "internal" if ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_unspecified else "public"
+
+    assert list(zip(hosts, one_by_one(spark, urls.host_class, hosts), strict=True)) == [(h, one(h)) for h in hosts]
+
+
+def one_by_one(spark, column, values):
+    return one(spark, column, *values)
+
+
+def test_urls_that_lead_inside(spark):
+    given = ["http://127.1/", "http://2130706433/", "http://[::1]:80/x", "http://[::ffff:10.1.2.3]", "https://a.LocalHost.", "http://localhost.localdomain:1/", "http://me:pw@[fe80::1%25eth0]/", "HTTP://8.8.8.8", "file:///etc/passwd", "http:///x", "http://[2606:4700::1]/", "http://xlocalhost/", "http://./", None]
+    want = ["private", "private", "private", "private", "localhost", "localhost", "private", None, "scheme", "host", None, None, "host", None]
+    assert one(spark, urls.internal_reason, *given) == want
+    assert one(spark, lambda u: urls.internal_reason(u, allow_internal=True), *given) == [w if w in ("scheme", "host") else None for w in want]
+
+
 @pytest.mark.parametrize(
     "html, want",
     [

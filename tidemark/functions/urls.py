@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values.
 RFC3986 = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -18,6 +17,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used: as the variable of a function over one element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def part(url: Column | str, k: int) -> Column:
     """1 scheme, 2 authority, 3 path, 4 query, 5 fragment; empty where absent."""
     return F.regexp_extract(_col(url), RFC3986, k)
@@ -74,16 +78,103 @@ def image_urls(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(IMAGE_LINK), 1)
 
 
-def internal_reason(url: Column | str) -> Column:
-    """Why a URL can't be fetched by a collector, else null: ``scheme``, ``host``, ``localhost`` or ``private`` (dotted quads)."""
-    h = host(url)
-    octet = lambda k: F.regexp_extract(h, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int")
-    a, b = octet(1), octet(2)
-    private = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
-    return (
-        F.when(~F.lower(part(url, 1)).isin("http", "https"), "scheme").when(h == "", "host")
-        .when((h == "localhost") | h.endswith(".localhost"), "localhost").when(private, "private")
-    )
+# Address ranges that aren't public, and those within them that are.
+PRIVATE4 = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
+PUBLIC4 = ("192.0.0.9/32", "192.0.0.10/32")
+PRIVATE6 = ("::/127", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10")
+PUBLIC6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+LOCAL_NAMES = ("localhost", "localhost.localdomain")
+
+
+def literal_host(url: Column | str) -> Column:
+    """The host as addresses are read: lower case, without user, port, brackets, zone and dots after it."""
+    h = F.regexp_replace(F.btrim(F.lower(part(_col(url), 2))), "^.*@", "")
+    named = lambda x: F.regexp_replace(F.regexp_replace(x, ":[0-9]*$", ""), r"\.+$", "")
+    return let(h, lambda x: F.when(x.startswith("["), F.regexp_extract(x, r"^\[([^\]%]*)", 1)).otherwise(named(x)))
+
+
+def ipv4_number(host: Column | str) -> Column:
+    """An IPv4 address as a number, in any form that the socket library reads: one to four parts, each decimal, octal or hexadecimal, the last one filling what is left; else null."""
+    one = "(?:0x[0-9a-f]+|0[0-7]*|[1-9][0-9]*)"
+    digits = lambda p, base: F.conv(p, base, 10).try_cast("long")
+    value = lambda p: F.when(p.startswith("0x"), digits(F.substring(p, 3, 64), 16)).when(p.startswith("0"), digits(p, 8)).otherwise(digits(p, 10))
+
+    def number(p: Column) -> Column:
+        return F.when(F.length(F.regexp_replace(p, "^0x?0*", "")) <= 12, value(p))  # beyond, it is too large in any base
+
+    def whole(numbers: Column) -> Column:
+        n = F.size(numbers)
+        room = F.element_at(F.array(*[F.lit(1 << (8 * (4 - k))).cast("long") for k in range(4)]), n)
+        fits = F.forall(F.slice(numbers, 1, n - 1), lambda x: F.coalesce(x < 256, F.lit(False))) & (F.element_at(numbers, -1) < room)
+        high = F.aggregate(F.slice(numbers, 1, n - 1), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+        return F.when(fits, high * room + F.element_at(numbers, -1))
+
+    return let(_col(host), lambda h: F.when(h.rlike(rf"^{one}(?:\.{one}){{0,3}}$"), let(F.transform(F.split(h, r"\."), number), whole)))
+
+
+def ipv6_digits(host: Column | str) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, which order like the numbers; else null."""
+    quad = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    none = F.array().cast("array<string>")
+    pair = lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(0xFFFF)))))
+    groups = lambda c: F.when(c == "", none).otherwise(F.split(c, ":"))
+    wide = lambda c: F.array_join(F.transform(c, lambda g: F.lpad(g, 4, "0")), "")
+
+    def without_quad(h: Column) -> Column:
+        tail = F.regexp_extract(h, rf":({quad}(?:\.{quad}){{3}})$", 1)
+        return let(tail, lambda t: F.when(t == "", h).otherwise(F.concat(F.regexp_replace(h, r"[^:]*$", ""), let(ipv4_number(t), pair))))
+
+    def filled(sides: Column) -> Column:
+        cut = F.size(sides) == 2
+        return let(
+            F.struct(groups(sides[0]).alias("a"), F.when(cut, groups(F.get(sides, F.lit(1)))).otherwise(none).alias("b"), cut.alias("cut"), (F.size(sides) <= 2).alias("ok")),
+            lambda x: let(
+                F.size(x["a"]) + F.size(x["b"]),
+                lambda n: F.when(
+                    x["ok"] & F.when(x["cut"], n <= 7).otherwise(n == 8) & F.forall(F.concat(x["a"], x["b"]), lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+                    F.concat(wide(x["a"]), F.repeat(F.lit("0000"), F.greatest(8 - n, F.lit(0))), wide(x["b"])),
+                ),
+            ),
+        )
+
+    return let(_col(host), lambda h: F.when(h.contains(":"), let(without_quad(h), lambda t: filled(F.split(t, "::")))))
+
+
+def is_internal(v4: Column, v6: Column) -> Column:
+    """Whether an address (number or digits) is private, loopback, link-local or unspecified; an IPv4 address within IPv6 counts as what it is. Null where there is none."""
+    import ipaddress
+
+    def inside(value: Column, networks: tuple[str, ...], edge) -> Column:
+        out = F.lit(False)
+        for n in map(ipaddress.ip_network, networks):
+            out = out | value.between(edge(n.network_address), edge(n.broadcast_address))
+        return out
+
+    number, digits = lambda a: F.lit(int(a)).cast("long"), lambda a: F.lit(f"{int(a):032x}")
+    four = lambda x: F.coalesce(v4, F.when(x.startswith("0" * 20 + "ffff"), F.conv(F.substring(x, 25, 8), 16, 10).cast("long")))
+    of4 = lambda n: inside(n, PRIVATE4, number) & ~inside(n, PUBLIC4, number)
+    of6 = lambda x: inside(x, PRIVATE6, digits) & ~inside(x, PUBLIC6, digits)
+    return let(v6, lambda x: let(four(x), lambda n: F.when(n.isNotNull(), of4(n)).when(x.isNotNull(), of6(x))))
+
+
+def host_class(host: Column | str) -> Column:
+    """internal or public of a host that is an address in any form, as literal_host() gives it; null of any other."""
+    inner = let(_col(host), lambda h: is_internal(ipv4_number(h), ipv6_digits(h)))
+    return F.when(inner, "internal").when(~inner, "public")
+
+
+def internal_reason(url: Column | str, allow_internal: bool = False) -> Column:
+    """Why a URL can't be fetched by a collector, else null: ``scheme``, ``host``, ``localhost`` or ``private`` (an address in any form). No name is looked up."""
+    scheme = ~F.lower(part(url, 1)).isin("http", "https")
+
+    def of(h: Column) -> Column:
+        out = F.when(scheme, "scheme").when(h == "", "host")
+        if allow_internal:
+            return out
+        local = h.isin(*LOCAL_NAMES) | h.endswith(".localhost") | h.endswith(".localhost.localdomain")
+        return out.when(local, "localhost").when(is_internal(ipv4_number(h), ipv6_digits(h)), "private")
+
+    return let(literal_host(url), of)
 
 
 def input_kind(text: Column | str) -> Column:
@@ -146,31 +237,3 @@ def share_url(base: str, key: Column | str) -> Column:
     for a, b in (("+", "%20"), ("%7E", "~"), ("*", "%2A")):
         coded = F.replace(coded, F.lit(a), F.lit(b))
     return F.concat(F.lit(base), coded)
-
-
-@F.pandas_udf(T.StringType())
-def host_class(hosts):
-    """public, internal (loopback, private, link-local, unspecified and the like) or null where a host is no address.
-
-    For what octet arithmetic can't read: IPv6 in brackets, IPv4 inside IPv6, and numbers in fewer parts, octal or hexadecimal.
-    """
-    import ipaddress
-    import socket
-
-    def one(host):
-        if host is None:
-            return None
-        h = host.strip("[]").split("%")[0]
-        try:
-            ip = ipaddress.ip_address(h)
-        except ValueError:
-            try:
-                ip = ipaddress.ip_address(socket.inet_aton(h)) if h and h[0].isdigit() else None
-            except OSError:
-                ip = None
-        if ip is None:
-            return None
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        return "public" if ip.is_global else "internal"
-
-    return hosts.map(one)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,34 +70,101 @@ def candidates(tokens: DataFrame, items: DataFrame, limit: int = SHOWN) -> DataF
     return hits.withColumn("_n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("id"))).where((F.col("_n") > 1) & (F.col("rank") <= limit)).select("token", "rank", "id")
 
 
-def near_misses(tokens: DataFrame, items: DataFrame, limit: int = 3, cutoff: float = 0.6) -> DataFrame:
-    """token, rank, id, title of up to ``limit`` items: titles the token begins in input order, then similar ones, best first.
+#: Of the characters (numbered within a title) that are in most titles, so many are ranked by how many titles have them; the others count as rarer.
+RANKED = 1000
+#: Characters' counts are compared in so many classes of code points first.
+CLASSES = 64
+
+
+def numbered_characters(title: str) -> list[str]:
+    """A title's multiset of characters as a set: the second e is another element than the first."""
+    seen: dict[str, int] = {}
+    out = []
+    for c in title:
+        seen[c] = seen.get(c, 0) + 1
+        out.append(f"{c}{seen[c]}")
+    return out
 
-    Titles are compared folded. A ratio of at least ``cutoff`` bounds how far lengths can differ, so tokens meet titles
-    of such lengths only; distinct folded titles are scored once, and the prefix pass is a join on equal beginnings.
+
+def similar(tokens: DataFrame, names: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """_t, _f, _s: the pairs of a text of tokens and one of names whose ratio (twice the matching characters by both lengths) is at least cutoff; both distinct.
+
+    Matching characters are common ones, so a pair shares at least cutoff / (2 - cutoff) of the characters of either text. Then the
+    two have one in common among those that are left when so many, the most frequent, are taken from each: an equality join over
+    a text's rarer characters. A pair met at several is kept at the first. Only what the counts of characters still admit is scored.
     """
-    t = tokens.select("token").distinct().withColumn("_t", text.folded("token")).where("_t <> ''")
-    i = items.where(F.coalesce("title", F.lit("")) != "").select("id", "title", "pos", text.folded("title").alias("_f"))
-    prefix = begun(t, i, "_t", "_f").select("token", "id", "title", F.lit(0).alias("_pass"), F.lit(0.0).alias("_s"), F.lit("").alias("_f"), "pos")
-    names = i.select("_f").distinct().withColumn("_len", F.length("_f"))
-    n = F.length("_t")
-    lengths = F.sequence(F.ceil(n * F.lit(cutoff / (2 - cutoff))).cast("int"), F.floor(n * F.lit((2 - cutoff) / cutoff)).cast("int"))
-    met = t.withColumn("_len", F.explode(lengths)).join(names, "_len")
+    share = cutoff / (2 - cutoff)
+
+    @F.pandas_udf("array<string>")
+    def elements(texts: pd.Series) -> pd.Series:
+        return texts.map(numbered_characters)
+
+    common = names.select(F.explode(elements("_f")).alias("c")).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(RANKED)
+    rank = {r["c"]: k for k, r in enumerate(reversed(common.collect()), 1)}
+
+    @F.pandas_udf("array<string>")
+    def rare(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> list[str]:
+            most = sorted(numbered_characters(t), key=lambda c: (rank.get(c, 0), c))
+            return most[: len(t) - math.ceil(len(t) * share - 1e-9) + 1]
+
+        return texts.map(one)
+
+    t = tokens.select("_t", rare("_t").alias("_p"))
+    n = names.select("_f", rare("_f").alias("_q"))
+    fits = F.length("_f").between(F.ceil(F.length("_t") * share - 1e-9), F.floor(F.length("_t") / share + 1e-9))
+    met = t.withColumn("_c", F.explode("_p")).join(n.withColumn("_c", F.explode("_q")), "_c").where(fits)
+    met = met.where(F.array_intersect("_p", "_q")[0] == F.col("_c")).select("_t", "_f")
+
+    def counts(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct text how often each class of characters occurs, and which of them each row is."""
+        at, distinct = pd.factorize(texts)
+        table = np.zeros((len(distinct), CLASSES), np.int32)
+        for k, text_ in enumerate(distinct):
+            np.add.at(table[k], [ord(c) % CLASSES for c in text_], 1)
+        return table, at
 
     @F.pandas_udf("double")
     def ratio(tokens: pd.Series, titles: pd.Series) -> pd.Series:
-        s, out, last = difflib.SequenceMatcher(), [], None
-        for a, b in zip(tokens, titles, strict=True):
-            if a != last:
-                s.set_seq2(a)
-                last = a
-            s.set_seq1(b)
-            out.append(s.ratio() if s.real_quick_ratio() >= cutoff and s.quick_ratio() >= cutoff else 0.0)
+        (a, i), (b, j) = counts(tokens), counts(titles)
+        both = np.minimum(a[i], b[j]).sum(1)
+        size = a.sum(1)[i] + b.sum(1)[j]
+        out = np.zeros(len(tokens))
+        s, last = difflib.SequenceMatcher(), None
+        for k in np.flatnonzero(2.0 * both >= cutoff * size):
+            if tokens.iloc[k] != last:
+                last = tokens.iloc[k]
+                s.set_seq2(last)
+            s.set_seq1(titles.iloc[k])
+            out[k] = s.ratio() if s.quick_ratio() >= cutoff else 0.0
         return pd.Series(out)
 
-    best = met.withColumn("_s", ratio("_t", "_f")).where(F.col("_s") >= cutoff)
-    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("_s"), F.desc("_f")))).where(F.col("_n") <= limit)
-    fuzzy = best.join(i, "_f").select("token", "id", "title", F.lit(1).alias("_pass"), "_s", "_f", "pos")
+    return met.withColumn("_s", ratio("_t", "_f")).where(F.col("_s") >= cutoff)
+
+
+def near_misses(tokens: DataFrame, items: DataFrame, limit: int = 3, cutoff: float = 0.6) -> DataFrame:
+    """token, rank, id, title of up to ``limit`` items: titles the token begins in input order, then similar ones, best first.
+
+    Titles are compared folded; distinct ones are scored once, and the prefix pass is a join on equal beginnings.
+    """
+    t = tokens.select("token").distinct().withColumn("_t", text.folded("token")).where("_t <> ''")
+    i = items.where(F.coalesce("title", F.lit("")) != "").select("id", "title", "pos", text.folded("title").alias("_f"))
+    prefix = begun(t, i, "_t", "_f").select("token", "id", "title", F.lit(0).alias("_pass"), F.lit(0.0).alias("_s"), F.lit("").alias("_f"), "pos")
+    best = similar(t.select("_t").distinct(), i.select("_f").distinct(), cutoff)
+    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("_s"), F.desc("_f")))).where(F.col("_n") <= limit)
+    # Of each title no more than the first ids can be shown, once those of the prefix pass are put aside.
+    first = i.groupBy("_f", "id").agg(F.min_by(F.struct("title", "pos"), "pos").alias("_i")).select("_f", "id", "_i.*")
+    few = first.withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy("pos"))).where(F.col("_n") <= 2 * limit).drop("_n")
+    fuzzy = t.join(best, "_t").drop("_n").join(few, "_f").select("token", "id", "title", F.lit(1).alias("_pass"), "_s", "_f", "pos")
     order = ["_pass", F.desc("_s"), F.desc("_f"), "pos"]
     once = prefix.unionByName(fuzzy).withColumn("_d", F.row_number().over(Window.partitionBy("token", "id").orderBy(*order))).where("_d = 1")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("rank") <= limit).select("token", "rank", "id", "title")
+
+
+def labelled_or_near(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """by_label(), and for tokens that nothing fits the near misses by name: near_ids, best first (at most three; else null)."""
+    found = by_label(tokens, labels)
+    order = labels.select("id", F.col("name").alias("title"), F.col("id").alias("pos"))
+    near = near_misses(found.where("verdict = 'none'").select("token"), order)
+    listed = near.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("near_ids"))
+    return found.join(listed, "token", "left")

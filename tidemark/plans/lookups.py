@@ -51,6 +51,21 @@ def c12_resolve_labels(s, d):
     return resolve.by_label(s.sql(ASKED.format(l="{labels}"), labels=labels), labels)
 
 
+@query(f"""WITH l AS ({LABELS.format(t='VARCHAR')}), n AS (SELECT p_partkey, name, id FROM l),
+asked AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN upper(name) WHEN 1 THEN name || '!' ELSE id END AS token FROM l),
+v AS (SELECT token, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.id = token) THEN 'id' ELSE 'none' END AS verdict FROM asked),
+b AS (SELECT token, id, name, row_number() OVER (PARTITION BY token ORDER BY id) AS k FROM v JOIN l ON verdict = 'none' AND starts_with(lower(name), lower(token)))
+SELECT token, verdict, (SELECT min(id) FROM b WHERE b.token = v.token) AS first_near FROM v WHERE verdict = 'id' OR EXISTS (SELECT 1 FROM b WHERE b.token = v.token)""")
+def c12_near_labels(s, d):
+    """What nothing fits gets near misses by name. Here those that begin like the token (in another case) come first."""
+    labels = s.sql(LABELS.format(t="STRING").replace("FROM part", "FROM {part}"), part=V.table(s, d, "part"))
+    k = F.col("p_partkey")
+    asked = labels.select(F.when(k % 3 == 0, F.upper("name")).when(k % 3 == 1, F.concat("name", F.lit("!"))).otherwise(F.col("id")).alias("token")).distinct()
+    near = resolve.labelled_or_near(asked, labels)
+    begun = (F.col("verdict") == "id") | ~F.col("token").endswith("!")
+    return near.where(begun).select("token", "verdict", F.get("near_ids", F.lit(0)).alias("first_near"))
+
+
 @query("""WITH i AS (SELECT md5(CAST(p_partkey AS VARCHAR)) AS id FROM part), t AS (SELECT l_orderkey AS batch, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN upper(md5(CAST(l_partkey AS VARCHAR))) ELSE substr(md5(CAST(l_partkey AS VARCHAR)), 1, 12) END AS token FROM lineitem),
 r AS (SELECT batch, id, min(pos) AS pos FROM t JOIN i ON substr(id, 1, 12) = lower(substr(token, 1, 12)) GROUP BY ALL)
 SELECT batch, string_agg(id, ',' ORDER BY pos, id) AS ids FROM r GROUP BY batch""")
@@ -106,14 +121,25 @@ def c14_all_contexts(s, d):
     return hits.groupBy("source_id").agg(F.count("*").alias("n_hits"), F.sum("start").alias("sum_starts"))
 
 
-ADDRESSES = ["127.1", "2130706433", "0x7f.1", "[::1]:80", "[::ffff:10.1.2.3]", "[2606:4700::1111]", "8.8.8.8", "0", "[fe80::1%25x]", "017700000001", "[::]", "example.org"]
+#: Of every page a number that stands for an address, in a range that depends on the page, and how it is written.
+NUMBER = """CASE page_id % 8 WHEN 0 THEN 167772160 + page_id % 16777216 WHEN 1 THEN 3232235520 + page_id % 65536 WHEN 2 THEN 2130706432 + page_id % 16777216 WHEN 3 THEN 2886729728 + (page_id * 65539) % 2097152
+  WHEN 4 THEN 1681915904 + page_id % 4194304 WHEN 5 THEN (page_id * 65537) % 16777216 WHEN 6 THEN 3221225984 + page_id % 512 ELSE 1207959552 + (page_id * 7919) % 805306368 END"""
+A, B_, C_, D_ = "n // 16777216", "(n // 65536) % 256", "(n // 256) % 256", "n % 256"
+FORM = """CASE (page_id // 8) % 8 WHEN 0 THEN {dec} WHEN 1 THEN '0x' || {hex} WHEN 2 THEN {a} || '.' || {low} WHEN 3 THEN '0' || {oct} WHEN 4 THEN '[::ffff:' || {a} || '.' || {b} || '.' || {c} || '.' || {d} || ']:80' WHEN 5 THEN {a} || '.' || {b} || '.0x' || {hexlow} || '.'
+  WHEN 6 THEN '[::FFFF:' || {hexhigh} || ':' || {hexlow} || ']' ELSE {a} || '.' || {b} || '.' || {c} || '.' || {d} || ':8080' END"""
+INTERNAL = "n < 16777216 OR n // 16777216 IN (10, 127) OR n // 65536 IN (43518, 49320) OR n // 1048576 = 2753 OR n // 256 IN (12582912, 12582914, 12989284, 13303665) AND n NOT IN (3221225481, 3221225482) OR n // 131072 = 25353 OR n >= 4026531840"
 
 
-@query("SELECT page_id, CASE WHEN page_id % 12 = 11 THEN NULL WHEN page_id % 12 IN (5, 6) THEN 'public' ELSE 'internal' END AS kind FROM pages")
+@query(f"WITH m AS (SELECT page_id, {NUMBER} AS n FROM pages) SELECT page_id, CASE WHEN page_id % 7 = 6 THEN CASE page_id % 5 WHEN 0 THEN 'private' WHEN 1 THEN 'private' WHEN 2 THEN 'private' END WHEN {INTERNAL} THEN 'private' END AS reason FROM m")
 def b16_address_forms(s, d):
-    host = F.element_at(F.array(*map(F.lit, ADDRESSES)), (F.col("page_id") % 12 + 1).cast("int"))
-    url = F.concat(F.lit("http://me@"), host, F.lit("/"), F.col("page_id").cast("string"))
-    return V.table(s, d, "pages").select("page_id", urls.host_class(urls.bare_host(url)).alias("kind"))
+    """Addresses as numbers, in octal, hexadecimal and shorter forms, within IPv6 and as IPv6, of every page another one."""
+    n = V.table(s, d, "pages").select("page_id", F.expr(NUMBER.replace("//", "DIV")).alias("n"))
+    div = lambda x: f"CAST({x.replace('//', 'DIV')} AS STRING)"
+    parts = {"dec": div("n"), "a": div(A), "b": div(B_), "c": div(C_), "d": div(D_), "low": div("n % 16777216"), "hex": "lower(hex(n))", "oct": "conv(n, 10, 8)", "hexlow": "hex(n % 65536)", "hexhigh": "hex(n DIV 65536)"}
+    host = F.expr(FORM.format(**parts).replace("//", "DIV"))
+    other = F.element_at(F.array(*map(F.lit, ("[fe80::1%25x]", "[::1]", "[2001:db8:0:1:2:3:4:5]", "[2606:4700::1111]", "1.2.3.4.5"))), (F.col("page_id") % 5 + 1).cast("int"))
+    url = F.concat(F.lit("http://me@"), F.when(F.col("page_id") % 7 == 6, other).otherwise(host), F.lit("/"), F.col("page_id").cast("string"))
+    return n.select("page_id", urls.internal_reason(url).alias("reason"))
 
 
 APP = "html || CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 7 = 1 THEN '<div data-app-data=\"{&quot;quiz\">' ELSE '<div data-app-data=\"{&quot;quiz&quot;: {&quot;title&quot;: &quot;t' || page_id || ' &lt;b&gt; &#39;x&#39; R&amp;amp;D&quot;}}\">' END"
