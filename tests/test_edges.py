@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import codes, markdown, text, urls, variants
-from tidemark.operators import gates, names, resolve, rows
+from tidemark.operators import citations, gates, membership, names, resolve, rows
 from tidemark.plans import payloads
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +47,99 @@ def test_names_are_those_of_one_by_one(spark):
         assert [got[d[1]] for d in own] == list(taken_one_by_one((safe(d[2]), d[3]) for d in own))
 
 
+def test_names_beside_existing_files(spark):
+    rng = random.Random(2)
+    pool = ["x", "x (2)", "x (3)", "x (2) (2)", "y", "y (02)", "z.v", "w"]
+    data = [(k % 3, k, rng.choice(pool), rng.choice([".md", ".pdf"])) for k in range(240)] + [(9, 1000 + k, "hot", ".md") for k in range(50)]
+    there = [(f, rng.choice(pool[:-1]) + rng.choice([".md", ".pdf", ".txt"])) for f in range(4) for _ in range(9)] + [(0, "x (5).md"), (1, "x.md")]
+    df = spark.createDataFrame(data, "folder int, id int, title string, ext string").repartition(4)
+    existing = spark.createDataFrame(there, "folder int, file string")
+    got = {r["id"]: r["file"] for r in names.unique(df, "folder", "title", "ext", "id", existing).collect()}
+    assert len(got) == len(data)
+    for folder in (0, 1, 2, 9):
+        taken = {name for f, name in there if f == folder}
+        for f, i, title, ext in data:
+            if f == folder:
+                name, n = title + ext, 2
+                while name in taken:
+                    name, n = f"{title} ({n}){ext}", n + 1
+                taken.add(name)
+                assert got[i] == name
+    files = spark.createDataFrame([(0, 1, "x.md"), (0, 2, "x (2).md"), (0, 3, "x (2) (2).md"), (0, 4, "x (3).md"), (0, 5, ".rc"), (0, 6, "plain"), (1, 7, "x.md"), (2, 8, "n.md")], "folder int, id int, name string")
+    existing = spark.createDataFrame([(0, "x.md"), (0, ".rc"), (0, "plain"), (0, "x (4).md"), (1, "x.md")], "folder int, file string")
+    out = {p: {r["id"]: (r["action"], r["target"]) for r in names.resolved(files, "folder", "name", "id", existing, p).collect()} for p in ("rename", "skip", "force")}
+    # 1 becomes x (2), so 2 finds that taken, and 3 what 2 became.
+    assert out["rename"] == {1: ("renamed", "x (2).md"), 2: ("renamed", "x (2) (2).md"), 3: ("renamed", "x (2) (2) (2).md"), 4: ("write", "x (3).md"), 5: ("renamed", ".rc (2)"), 6: ("renamed", "plain (2)"), 7: ("renamed", "x (2).md"), 8: ("write", "n.md")}
+    assert out["skip"][1] == ("skipped", None) and out["force"][1] == ("overwritten", "x.md") and out["skip"][2] == out["force"][2] == ("write", "x (2).md")
+    with pytest.raises(ValueError):
+        names.resolved(files, "folder", "name", "id", existing, "ask")
+
+
+def test_equal_titles_are_counted_in_many_tasks(spark):
+    df = spark.range(40_000).select(F.lit(1).alias("folder"), "id", F.when(F.col("id") % 1000 == 0, "  ").otherwise("same").alias("title"), F.lit(".md").alias("ext"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would be put together again
+    try:
+        got = names.unique(df, "folder", "title", "ext", "id")
+        tasks = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) > 3 and max(r["count"] for r in tasks) < 20_000
+    last = got.where("id in (0, 1, 1000, 39999)").select("id", "file").collect()
+    assert dict(map(tuple, last)) == {0: "untitled.md", 1: "same.md", 1000: "untitled (2).md", 39999: "same (39960).md"}
+
+
+def test_who_is_chosen(spark):
+    items = spark.createDataFrame([(1, "a", "Alpha", None, 0), (1, "b", "alphabet", 5, 1), (1, "c", "Beta", 5, 2), (2, "d", None, 7, 0)], "nb int, id string, title string, created_at long, pos int")
+    asked = [(0, 1, None, None, None), (1, 1, "", "", True), (2, 1, "c", "alpha", None), (3, 1, "zz", None, None), (4, 1, None, "ALPHA", False), (5, 1, None, "bet", True), (6, 1, None, "BETA", None), (7, 2, None, None, None), (8, 3, None, None, None), (9, 1, None, "nope", None), (9, 1, None, "nope", None)]
+    got = rows.chosen(items, spark.createDataFrame(asked, "who int, nb int, id string, name string, earliest boolean"), "nb").select("who", "chosen", "n_matches", "reason", "error")
+    assert sorted(map(tuple, got.collect())) == [
+        (0, "b", 3, "latest of 3", None), (1, "a", 3, "earliest of 3", None), (2, "c", 1, "matched by id", None), (3, None, 0, None, "id not found"), (4, "b", 2, "latest of 2", None), (5, "b", 2, "earliest of 2", None),
+        (6, "c", 1, "matched by name", None), (7, "d", 1, "only one", None), (8, None, 0, None, "nothing there"), (9, None, 0, None, "no title matches"), (9, None, 0, None, "no title matches"),
+    ]
+
+
+def test_gates_of_framed_answers(spark):
+    good, bad = '["x"]', "[oops"
+    answers = ["", None, " \n ", good, f"5\n{good}", f"999\r\n{good}\r\n\r\n4\n{bad}", "\n".join([good] * 9 + [bad]), "\n".join([good] * 18 + [bad] * 2), "\n".join([good] * 17 + [bad] * 2), "\n".join([f"5\n{good}"] * 9 + ["5"]), "\n".join([f"5\n{good}"] * 8 + ["5"]), f"5\n\n{good}", "7\n8\n" + good, "\n".join([f"5\n{good}"] * 10 + [bad] + ["5"])]
+    got = gates.framed(spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, a string").coalesce(1), "a").orderBy("k").collect()
+    counts = [(len(r["chunks"]), r["n_payloads"], r["bad_payloads"], r["n_framings"], r["bad_framings"], r["refused"]) for r in got]
+    assert counts == [
+        (0, 0, 0, 0, 0, None), (0, 0, 0, 0, 0, None), (0, 0, 0, 0, 0, None), (1, 1, 0, 0, 0, None), (1, 1, 0, 1, 0, None), (1, 2, 1, 2, 0, "payload"),
+        (9, 10, 1, 0, 0, None), (18, 20, 2, 0, 0, None), (17, 19, 2, 0, 0, "payload"), (9, 9, 0, 10, 1, None), (8, 8, 0, 9, 1, "framing"), (1, 2, 1, 1, 0, "payload"), (2, 2, 0, 1, 0, None), (10, 11, 1, 11, 1, "total"),
+    ]
+
+
+def test_every_place_of_a_cited_text(spark):
+    probe = "ab" * 20
+    content = (probe + "ab") * 3 + "." + probe[:-1] + "x"
+    hits = [m.start() for m in re.finditer(probe, content)]
+    many = "needle-in-a-haystack" * 100_000
+    full = spark.createDataFrame([("s", content), ("m", many), ("n", None), ("e", "")], "source_id string, content string")
+    refs = spark.createDataFrame([("s", probe + "beyond forty"), ("m", "needle-in-a-haystack"), ("n", "x"), ("e", "x"), ("s", ""), ("s", None), ("gone", "x")], "source_id string, cited_text string")
+    got = citations.all_contexts(refs, full)
+    assert sorted((r["start"], r["context"]) for r in got.where("source_id = 's'").collect()) == [(h, content[max(0, h - 200) : h + 240]) for h in hits]
+    assert got.where("source_id = 'm'").agg(F.count("*"), F.sum("start"), F.max(F.length("context"))).first()[:] == (100_000, 20 * 100_000 * 99_999 // 2, 420)
+    assert got.where("source_id NOT IN ('s', 'm')").count() == 0
+
+
+def test_secrets_by_name(spark):
+    raw = ["SID=abc; HSID=d; SSID=e; APISID=f/g; SAPISID=h; LSID=s.x:1; OSID=o", 'NID=511=ab; SIDCC="q q"; LSOLH=_SNID; BSID=left', "sid=lower is no cookie", "__Secure-3PSIDTS=sidts-abcdefghij x", "the word SID alone"]
+    assert one(spark, text.scrubbed, *raw) == ["SID=***; HSID=***; SSID=***; APISID=***; SAPISID=***; LSID=***; OSID=***", 'NID=***; SIDCC="*** q"; LSOLH=***; BSID=***', "sid=lower is no cookie", "__Secure-3PSIDTS=*** x", "the word SID alone"]
+
+
+def test_adding_no_members_is_refused(spark):
+    bridge = spark.createDataFrame([(1, "a", 0)], "label_id int, source_id string, pos int")
+    with pytest.raises(ValueError):
+        membership.added(bridge, bridge.limit(0))
+
+
+def test_tables_without_a_header(spark):
+    rows_ = [(1, '[[0, 9, [["h"]]], [9, 20, [["x"]]]]'), (2, "[[0, 9]]"), (3, "[]"), (4, "oops"), (5, '[[1], [0, 9, [["late"]]]]'), (6, None), (7, '[[0, 9, [["h"]]]]')]
+    df = spark.createDataFrame(rows_, "table_id int, payload string")
+    assert sorted(map(tuple, payloads.table_errors(df).collect())) == [(2, "no header"), (3, "no header"), (4, "not a table"), (5, "no header"), (6, "not a table")]
+    assert [tuple(r) for r in payloads.cells(df).collect()] == [(1, 1, 0, "h", "x")]
+
+
 def test_chained_names_of_the_query(spark):
     got = sorted(map(tuple, catalog.QUERIES["e8_chained_names"](spark, SF).select("folder", "id", "title", "ext", "file").collect()))
     for folder in {g[0] for g in got}:

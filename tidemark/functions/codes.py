@@ -35,6 +35,13 @@ LANGUAGE = {
 }
 
 
+HINTS = {
+    "not_found": "check the id; it may have been deleted", "auth": "log in again", "rate_limited": "wait, then try again", "validation": "correct the input",
+    "config": "check the settings", "dependency": "install what is missing", "network": "check the connection, then try again", "notebook_limit": "delete a notebook first",
+    "artifact_timeout": "ask again later: it is still being made", "timeout": "try again with more time", "server": "try again later",
+}
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -98,6 +105,30 @@ def termination(code: Column | str, n_sources: Column | str) -> Column:
     return F.when(_col(code).isNotNull(), F.when((reason == "no_results") & (_col(n_sources) > 0), "unknown").otherwise(reason))
 
 
+def termination_message(reason: Column | str, code: Column | str, query: Column | str, source_type: Column | str) -> Column:
+    """What to tell of a run that ended otherwise than well, by its termination(); null of one that went well or is going on."""
+    asked = F.coalesce(F.concat(F.lit(" for '"), F.nullif(_col(query), F.lit("")), F.lit("'")), F.lit(""))
+    where = F.when(_col(source_type) == 1, " of the web").when(_col(source_type) == 2, " of the drive").otherwise("")
+    return (
+        F.when(_col(reason).isin("completed", "in_progress"), None)
+        .when(_col(reason) == "no_results", F.concat(F.lit("the search"), where, F.lit(" found nothing"), asked))
+        .when(_col(reason) == "cancelled", F.concat(F.lit("the run"), asked, F.lit(" was cancelled")))
+        .when(_col(reason).isNotNull(), F.concat(F.lit("the run"), asked, F.lit(" ended with code "), _col(code).cast("string")))
+    )
+
+
+def termination_hint(reason: Column | str, source_type: Column | str) -> Column:
+    """What could be done about it, by what was searched; null where nothing is to be done."""
+    broader, by_name = "try a broader query", "try the exact name, the address or the id of the document"
+    nothing = F.when(_col(source_type) == 2, by_name).when(_col(source_type) == 1, broader).otherwise(f"{broader}; in a drive, {by_name}")
+    return F.when(_col(reason) == "no_results", nothing).when(_col(reason) == "cancelled", "start the run again if its sources are needed").when(_col(reason) == "unknown", "taken for ended: start a new run")
+
+
+def error_hint(category: Column | str) -> Column:
+    """What could be done about a failure of a category; null where nothing general can be said."""
+    return F.try_element_at(F.create_map(*map(F.lit, itertools.chain(*HINTS.items()))), _col(category))
+
+
 def error_category(names: Column | str) -> Column:
     """Of the categories that fit a failure (an array), the first in the fixed order; ``unexpected`` where none does."""
     order = F.array(*map(F.lit, CATEGORIES))

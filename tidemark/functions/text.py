@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import unicodedata
 
 import pandas as pd
@@ -9,28 +11,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .urls import let
+
 # Fixed values.
 DASHES = "‐‑‒–—―−"
 DEAD_LINK = ("broken link", "page not found", "page isn't available", "page does not exist", "page no longer available", "no longer available", "error 404", "404 not found", "whoops!")
 BOT_WALL = ("just a moment", "enable javascript and cookies", "checking your browser", "attention required", "access denied", "security verification", "captcha", "cloudflare ray id")
 GATEWAY = r"(?i)^\s*(access denied|403|404|forbidden|not found|502|just a moment|attention required|security check|captcha)"
-SECRETS = (
-    (r"(\bat=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
-    (r"(\b(?:SNlM0e|FdrFJe))([\"']?\s*:\s*)\"(?:[^\"'\\]|\\.)*\"", "$1$2\"***\""),
-    (r"(\b(?:SNlM0e|FdrFJe))([\"']?\s*:\s*)'(?:[^\"'\\]|\\.)*'", "$1$2'***'"),
-    (r"(\b(?:SNlM0e|FdrFJe))((?:&quot;)?\s*:\s*)&quot;.*?&quot;", "$1$2&quot;***&quot;"),
-    (r"(\b(?:SNlM0e|FdrFJe))(\s*(?:value\s+is|[:=])\s*)[^\s\"'<>&;,.?!)\]}]+", "$1$2***"),
-    (r"(?i)(\bcsrf=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
-    (r"(AF1_QpN-)[A-Za-z0-9_-]+", "$1***"),
-    (r"(\bf\.sid=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
-    (r"(?i)(\bupload_id=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
-    (r"(?i)(\b(?:refresh_token|access_token|id_token|code)=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
-    (r"(__(?:Secure|Host)-[A-Za-z0-9_]+=)(\"?)[^;\s\"'<>]+(\"?)", "$1$2***$3"),
-    (r"(g\.a000-|sidts-|ya29\.|AIza)[A-Za-z0-9_.-]{8,}", "$1***"),
-    (r"(?i)(Authorization:\s*Bearer\s+)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
-    (r"(?i)(Cookie:\s*)[^\r\n]+", "$1***"),
+#: A lower-case text without which a pattern has nothing to find (several: any of them), the pattern, what becomes of it. The
+#: engine of the SQL beside has no back-references, so single and double quotes are two patterns.
+GATED_SECRETS = (
+    ("at=", r"(\bat=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
+    ("snlm0e|fdrfje", r"(\b(?:SNlM0e|FdrFJe))([\"']?\s*:\s*)\"(?:[^\"'\\]|\\.)*\"", "$1$2\"***\""),
+    ("snlm0e|fdrfje", r"(\b(?:SNlM0e|FdrFJe))([\"']?\s*:\s*)'(?:[^\"'\\]|\\.)*'", "$1$2'***'"),
+    ("snlm0e|fdrfje", r"(\b(?:SNlM0e|FdrFJe))((?:&quot;)?\s*:\s*)&quot;.*?&quot;", "$1$2&quot;***&quot;"),
+    ("snlm0e|fdrfje", r"(\b(?:SNlM0e|FdrFJe))(\s*(?:value\s+is|[:=])\s*)[^\s\"'<>&;,.?!)\]}]+", "$1$2***"),
+    ("csrf=", r"(?i)(\bcsrf=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
+    ("af1_qpn-", r"(AF1_QpN-)[A-Za-z0-9_-]+", "$1***"),
+    ("f.sid=", r"(\bf\.sid=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
+    ("upload_id=", r"(?i)(\bupload_id=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
+    ("token=|code=", r"(?i)(\b(?:refresh_token|access_token|id_token|code)=)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
+    ("sid=|sidcc=|nid=|lsolh=", r"((?:SAPISID|APISID|SIDCC|LSOLH|HSID|SSID|LSID|OSID|SID|NID)=)(\"?)[^;\s\"'<>]+(\"?)", "$1$2***$3"),
+    ("__secure-|__host-", r"(__(?:Secure|Host)-[A-Za-z0-9_]+=)(\"?)[^;\s\"'<>]+(\"?)", "$1$2***$3"),
+    ("g.a000-|sidts-|ya29.|aiza", r"(g\.a000-|sidts-|ya29\.|AIza)[A-Za-z0-9_.-]{8,}", "$1***"),
+    ("bearer", r"(?i)(Authorization:\s*Bearer\s+)(\"?)[^&\s\"'<>]+(\"?)", "$1$2***$3"),
+    ("cookie:", r"(?i)(Cookie:\s*)[^\r\n]+", "$1***"),
 )
-SECRET_HINT = r"(?i)at=|csrf=|upload_id=|token=|code=|bearer|cookie:|snlm0e|fdrfje|af1_qpn-|f\.sid=|__secure-|__host-|g\.a000-|sidts-|ya29\.|aiza"
+SECRETS = tuple((pattern, to) for _, pattern, to in GATED_SECRETS)
 PATHS = (
     (r"(/files/(?:dl|ul)/)[A-Za-z0-9._-]+", "$1***"),
     (r"(/(?:home|Users)/)(?:\w+(?:[.-]+\w+)* \w+(?:[.-]+\w+)*(?=/)|\w+(?:[.-]+\w+)*)", "$1***"),
@@ -57,11 +64,16 @@ def safe_name(title: Column | str) -> Column:
 
 
 def scrubbed(c: Column | str) -> Column:
-    """Secrets to ``***``; the patterns run only where a cheap test finds a hint of one."""
-    t = out = _col(c)
-    for pattern, to in SECRETS:
-        out = F.regexp_replace(out, pattern, to)
-    return F.when(t.rlike(SECRET_HINT), out).otherwise(t)
+    """Secrets to ``***``; a pattern runs only over texts that hold what it begins with. Cookie names are told apart by case, as their users write them."""
+
+    def one(text: Column, low: Column, gate: str, pattern: str, to: str) -> Column:
+        hinted = functools.reduce(operator.or_, (low.contains(word) for word in gate.split("|")))
+        return let(text, lambda t: F.when(hinted, F.regexp_replace(t, pattern, to)).otherwise(t))
+
+    def every(t: Column) -> Column:
+        return let(F.lower(t), lambda low: functools.reduce(lambda out, rule: one(out, low, *rule), GATED_SECRETS, t))
+
+    return let(_col(c), every)
 
 
 def redacted(c: Column | str, most: int = MESSAGE_CHARS) -> Column:

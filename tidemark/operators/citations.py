@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +50,31 @@ def first_context(refs: DataFrame, fulltext: DataFrame) -> DataFrame:
     return rows.withColumn("context", F.when(F.col("status") == "found", window)).drop("content")
 
 
+#: Hits that are given out at once.
+HITS = 10_000
+
+
 def all_contexts(refs: DataFrame, fulltext: DataFrame) -> DataFrame:
-    """Every non-overlapping place of the probe: start. By splitting at it and adding up lengths."""
-    rows = refs.join(fulltext.select("source_id", "content"), "source_id").where(F.coalesce("cited_text", F.lit("")) != "")
-    probe = F.substring(F.col("cited_text"), 1, PROBE)
-    quoted = F.concat(F.lit("\\Q"), F.replace(probe, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    parts = F.slice(F.split("content", quoted), 1, F.size(F.split("content", quoted)) - 1)
-    starts = F.transform(parts, lambda _, k: (F.aggregate(F.slice(parts, 1, k + 1), F.lit(0), lambda s, x: s + F.length(x)) + k * F.length(probe)).cast("long"))
-    return rows.withColumn("start", F.explode(starts)).drop("content")
+    """source_id, start, context of every place, none overlapping another, where a cited text's first characters stand in its source.
+
+    Each text is gone through once from its start, and its hits are given out by the ten thousand, so a text with very many
+    of them is neither searched again nor copied with each.
+    """
+    rows = refs.where(F.coalesce("cited_text", F.lit("")) != "").select("source_id", F.substring("cited_text", 1, PROBE).alias("probe"))
+    rows = rows.join(fulltext.select("source_id", "content").where("content IS NOT NULL"), "source_id")
+
+    def places(text_: str, probe: str):
+        at = text_.find(probe)
+        while at >= 0:
+            yield at, text_[max(0, at - AROUND) : at + len(probe) + AROUND]
+            at = text_.find(probe, at + len(probe))
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for source_id, probe, content in zip(pdf["source_id"], pdf["probe"], pdf["content"], strict=True):
+                hits = places(content, probe)
+                while own := list(itertools.islice(hits, HITS)):
+                    yield pd.DataFrame({"source_id": source_id, "start": [h[0] for h in own], "context": [h[1] for h in own]})
+
+    kind = dict(fulltext.dtypes)["source_id"]
+    return rows.mapInPandas(run, f"source_id {kind}, start long, context string")

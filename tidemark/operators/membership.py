@@ -25,7 +25,9 @@ def unlabelled(items: DataFrame, bridge: DataFrame) -> DataFrame:
 
 
 def added(bridge: DataFrame, more: DataFrame) -> DataFrame:
-    """more: label_id, source_id, pos. Members there already keep their places; new ones follow in order."""
+    """more: label_id, source_id, pos. Members there already keep their places; new ones follow in order. Adding nothing is refused."""
+    if more.isEmpty():
+        raise ValueError("no members to add")
     rows = bridge.withColumn("_new", F.lit(0)).unionByName(more.withColumn("_new", F.lit(1)))
     first = rows.groupBy("label_id", "source_id").agg(F.min(F.struct("_new", "pos")).alias("at")).select("label_id", "source_id", F.col("at._new").alias("_new"), F.col("at.pos").alias("_at"))
     return numbered(first, ["label_id"], ["_new", "_at", "source_id"], "pos").select("label_id", "pos", "source_id")

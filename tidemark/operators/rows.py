@@ -32,6 +32,28 @@ def selected(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Data
     return out.withColumn("reason", F.when(F.col("n_matches") == 1, "only one").otherwise(F.concat(F.lit("first of "), F.col("n_matches"))))
 
 
+def chosen(items: DataFrame, asked: DataFrame, group: str) -> DataFrame:
+    """asked: a group, id, name, earliest. Of items (group, id, title, created_at in seconds, pos) the one that each row asks for: asked's columns, chosen, n_matches, reason, error.
+
+    An id decides alone; else items whose title holds the name (case doesn't matter; none: all), and of several the latest or the earliest:
+    what has no time is before all others, and of equal times the first counts.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    first = F.coalesce(F.col("earliest"), F.lit(False))
+    wanted = asked.select(F.col(group).alias("_g"), F.nullif(F.col("id"), F.lit("")).alias("_i"), low(F.col("name")).alias("_w"), first.alias("_e")).distinct()
+    i = items.select(F.col(group).alias("_g"), F.col("id").alias("_id"), low(F.col("title")).alias("_t"), F.coalesce("created_at", F.lit(0)).alias("_c"), "pos")
+    hit = F.when(F.col("_i").isNotNull(), F.col("_id") == F.col("_i")).otherwise(F.contains("_t", "_w"))
+    order = F.struct(F.when(F.col("_e"), F.col("_c")).otherwise(-F.col("_c")).alias("c"), "pos")
+    found = wanted.join(i, "_g").groupBy("_g", "_i", "_w", "_e").agg(F.count("*").alias("_all"), F.count(F.when(hit, 1)).alias("_n"), F.min_by("_id", F.when(hit, order)).alias("chosen"))
+    same = (F.col(group) == F.col("_g")) & F.nullif(F.col("id"), F.lit("")).eqNullSafe(F.col("_i")) & (low(F.col("name")) == F.col("_w")) & (first == F.col("_e"))
+    out = asked.join(found, same, "left").withColumn("n_matches", F.coalesce("_n", F.lit(0)))
+    n = F.col("n_matches")
+    many = F.concat(F.when(first, "earliest of ").otherwise("latest of "), n.cast("string"))
+    reason = F.when(n == 0, None).when(F.col("_i").isNotNull(), "matched by id").when(n > 1, many).otherwise(F.when(F.col("_w") != "", "matched by name").otherwise("only one"))
+    error = F.when(F.col("_all").isNull(), "nothing there").when((n == 0) & F.col("_i").isNotNull(), "id not found").when(n == 0, "no title matches")
+    return out.select(*asked.columns, "chosen", "n_matches", reason.alias("reason"), error.alias("error"))
+
+
 def page(df: DataFrame, order: Sequence[Column | str], limit: int | None, offset: int = 0) -> DataFrame:
     """Rows offset..offset+limit with total and has_more. Without a limit, all rows; an offset needs a limit."""
     if limit is None:

@@ -260,6 +260,21 @@ def e2_latest(s, d):
     return rows.selected(V.artifacts(s, d).where("status = 3"), ["nb"], [F.desc("created_at"), F.col("id")]).select("nb", "id", "n_matches")
 
 
+@query(f"""WITH {V.ARTIFACTS}, i AS (SELECT nb, CAST(id AS VARCHAR) AS id, title, CASE WHEN id % 5 <> 0 THEN epoch(CAST(created_at AS TIMESTAMP)) END AS created_at, id AS pos FROM artifacts),
+a AS (SELECT c_custkey AS who, c_custkey % 60 AS nb, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey * 4 AS VARCHAR) END AS id, CASE c_custkey % 3 WHEN 1 THEN 'BRIEFING' WHEN 2 THEN 'no such' END AS name, c_custkey % 2 = 0 AS earliest FROM customer),
+j AS (SELECT a.who, a.id AS asked_id, a.name, a.earliest, i.id, coalesce(i.created_at, 0) AS c, pos, i.nb IS NOT NULL AS there, CASE WHEN a.id IS NOT NULL THEN a.id = i.id ELSE contains(lower(i.title), lower(coalesce(a.name, ''))) END AS hit FROM a LEFT JOIN i USING (nb)),
+g AS (SELECT who, asked_id, name, earliest, bool_or(there) AS there, count(*) FILTER (hit) AS n FROM j GROUP BY ALL),
+k AS (SELECT who, id AS chosen FROM j WHERE hit QUALIFY row_number() OVER (PARTITION BY who ORDER BY CASE WHEN earliest THEN c ELSE -c END, pos) = 1)
+SELECT who, chosen, n AS n_matches, CASE WHEN n = 0 THEN NULL WHEN asked_id IS NOT NULL THEN 'matched by id' WHEN n = 1 THEN CASE WHEN name IS NULL THEN 'only one' ELSE 'matched by name' END ELSE CASE WHEN earliest THEN 'earliest of ' ELSE 'latest of ' END || n END AS reason,
+  CASE WHEN NOT there THEN 'nothing there' WHEN n = 0 AND asked_id IS NOT NULL THEN 'id not found' WHEN n = 0 THEN 'no title matches' END AS error FROM g LEFT JOIN k USING (who)""")
+def e2_chosen(s, d):
+    """By id, by part of the title, or the latest or earliest of all; every fifth artifact has no time."""
+    i = V.artifacts(s, d).select("nb", F.col("id").cast("string").alias("id"), "title", F.when(F.col("id") % 5 != 0, F.unix_timestamp(F.col("created_at").cast("timestamp"))).alias("created_at"), F.col("id").alias("pos"))
+    k = F.col("c_custkey")
+    asked = V.table(s, d, "customer").select(k.alias("who"), (k % 60).alias("nb"), F.when(k % 4 == 0, (k * 4).cast("string")).alias("id"), F.when(k % 3 == 1, "BRIEFING").when(k % 3 == 2, "no such").alias("name"), (k % 2 == 0).alias("earliest"))
+    return rows.chosen(i, asked, "nb").select("who", "chosen", "n_matches", "reason", "error")
+
+
 @query(f"WITH {V.ARTIFACTS} SELECT nb, type_code, id FROM artifacts WHERE status = 3 QUALIFY row_number() OVER (PARTITION BY nb, type_code ORDER BY created_at DESC, id) = 1")
 def e3_latest_per_type(s, d):
     return rows.newest(V.artifacts(s, d).where("status = 3"), ["nb", "type_code"], [F.desc("created_at"), F.col("id")], 1).select("nb", "type_code", "id")

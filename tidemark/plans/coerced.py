@@ -100,15 +100,26 @@ def h29_terminations(s, d):
     return V.table(s, d, "orders").select("o_orderkey", codes.termination(F.expr(CODE), F.col("o_custkey") % 2).alias("reason"))
 
 
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 6 AS code, o_custkey % 3 AS kind, CASE WHEN o_custkey % 5 > 0 THEN o_orderpriority END AS q FROM orders),
+t AS (SELECT *, CASE code WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' WHEN 3 THEN 'no_results' WHEN 4 THEN 'cancelled' WHEN 0 THEN 'unknown' ELSE 'unknown' END AS reason, coalesce(' for ' || chr(39) || q || chr(39), '') AS asked FROM r)
+SELECT o_orderkey, CASE reason WHEN 'no_results' THEN 'the search' || CASE kind WHEN 1 THEN ' of the web' WHEN 2 THEN ' of the drive' ELSE '' END || ' found nothing' || asked WHEN 'cancelled' THEN 'the run' || asked || ' was cancelled' WHEN 'unknown' THEN 'the run' || asked || ' ended with code ' || code END AS message,
+  CASE reason WHEN 'no_results' THEN CASE kind WHEN 2 THEN 'try the exact name, the address or the id of the document' WHEN 1 THEN 'try a broader query' ELSE 'try a broader query; in a drive, try the exact name, the address or the id of the document' END WHEN 'cancelled' THEN 'start the run again if its sources are needed' WHEN 'unknown' THEN 'taken for ended: start a new run' END AS hint FROM t""")
+def h29_messages(s, d):
+    """What to tell of runs that ended otherwise than well, and what to do about it."""
+    code, kind = F.col("o_orderkey") % 6, F.col("o_custkey") % 3
+    r = V.table(s, d, "orders").select("o_orderkey", code.alias("code"), kind.alias("kind"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderpriority")).alias("q"), codes.termination(code, F.lit(0)).alias("reason"))
+    return r.select("o_orderkey", codes.termination_message("reason", "code", "q", "kind").alias("message"), codes.termination_hint("reason", "kind").alias("hint"))
+
+
 FITS = [("rpc", 2), ("server", 6), ("timeout", 10), ("auth", 14), ("library", 3), ("source_add", 7)]
 
 
 @query(f"""WITH c AS (SELECT event_id, coalesce({', '.join(f"CASE WHEN event_id % {k} = 0 THEN '{c}' END" for c, k in sorted(FITS, key=lambda x: codes.CATEGORIES.index(x[0])))}, 'unexpected') AS category FROM events)
-SELECT event_id, category, category IN ({', '.join(f"'{c}'" for c in codes.RETRIABLE)}) AS retriable FROM c""")
+SELECT event_id, category, category IN ({', '.join(f"'{c}'" for c in codes.RETRIABLE)}) AS retriable, CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.HINTS.items())} END AS hint FROM c""")
 def h31_error_categories(s, d):
     fits = F.array(*[F.when(F.col("event_id") % k == 0, c) for c, k in FITS])
     found = V.table(s, d, "events").select("event_id", codes.error_category(fits).alias("category"))
-    return found.withColumn("retriable", codes.retriable("category"))
+    return found.withColumn("retriable", codes.retriable("category")).withColumn("hint", codes.error_hint("category"))
 
 
 FRESH = cases("page_id", ["'true'", "'false'", "'[]'", "'[[null,true,[\"p' || page_id || '\"]]]'", "'[[null,false]]'", "'[\"x\"]'", "'[[null,null]]'", "'[[null,\"true\"]]'", "'[[null]]'", "'not json'"], "'null'")

@@ -95,6 +95,19 @@ def d1_wait_lists(s, d):
     return rows.numbered(w, ["nb", "outcome"], ["entity_id"], "n").select("nb", "outcome", F.col("n").alias("place"), "entity_id")
 
 
+@query("""WITH f AS (SELECT o_orderkey % 16 AS bad, o_orderkey % 3 AS cut, o_orderkey FROM orders), c AS (SELECT o_orderkey, 20 AS n_payloads, CASE bad WHEN 3 THEN 2 WHEN 5 THEN 3 ELSE 0 END AS bad_payloads, CASE WHEN cut = 1 THEN 11 ELSE 10 END AS n_framings, CASE WHEN cut = 1 THEN 1 ELSE 0 END AS bad_framings FROM f)
+SELECT o_orderkey, 20 - bad_payloads AS n_chunks, bad_payloads, bad_framings, CASE WHEN 10 * bad_payloads > n_payloads THEN 'payload' WHEN 10 * bad_framings > n_framings THEN 'framing' WHEN 10 * (bad_payloads + bad_framings) > 10 + n_framings THEN 'total' END AS refused FROM c""")
+def a3_framed_payloads(s, d):
+    """Answers of twenty payloads, half of them behind their length; two or three broken, the last length without a payload. A tenth is still let through."""
+    k = F.col("o_orderkey")
+    broken = F.when(k % 16 == 3, 2).when(k % 16 == 5, 3).otherwise(0)
+    payload = lambda i: F.when(i < broken, F.lit("[1, oops")).otherwise(F.concat(F.lit('["'), F.col("o_orderpriority"), F.lit('", '), i.cast("string"), F.lit("]")))
+    line = lambda i: F.when(i % 2 == 0, F.concat(F.length(payload(i)).cast("string"), F.lit("\r\n"), payload(i))).otherwise(payload(i))
+    text_ = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), line), "\n\n"), F.when(k % 3 == 1, "\n17\n").otherwise(""))
+    read = gates.framed(V.table(s, d, "orders").select("o_orderkey", text_.alias("answer")), "answer")
+    return read.select("o_orderkey", F.size("chunks").alias("n_chunks"), "bad_payloads", "bad_framings", "refused")
+
+
 DELETED = f"WITH {JUNK}, t AS (SELECT nb, reason IS NOT NULL AS junk, page_id % 4 = 0 AS refused FROM junk)"
 
 
@@ -163,7 +176,7 @@ def h18_marker_positions(s, d):
 
 
 @query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '5' WHEN 3 THEN '1' WHEN 4 THEN 'other' ELSE '7' END AS code FROM part")
-def h30_result_types(s, d):
+def h30_default_type(s, d):
     """Names to codes, other texts kept, nothing taken for web."""
     k = F.col("p_partkey")
     given = F.when(k % 6 == 0, "web").when(k % 6 == 1, "drive").when(k % 6 == 2, "report").when(k % 6 == 4, "other").when(k % 6 == 5, "7")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, urls
-from ..operators import citations, rows
+from ..operators import citations, names, rows
 from ..sources import views as V
 from .registry import query
 
@@ -47,12 +48,36 @@ def a9_embedded_value(s, d):
     return V.table(s, d, "pages").where(v != "").select("page_id", F.lit("track").alias("name"), v.cast("long").alias("value"))
 
 
-@query(f"""WITH {V.ARTIFACTS}, w AS (SELECT id, nb, title FROM artifacts WHERE status = 3), e AS (SELECT DISTINCT nb, title FROM artifacts WHERE status = 1)
-SELECT w.id, CASE WHEN e.title IS NULL THEN 'write' WHEN w.id % 2 = 0 THEN 'skipped' ELSE 'renamed' END AS action FROM w LEFT JOIN e USING (nb, title)""")
+PLANNED = """w AS (SELECT nb, id, title || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.md' AS file FROM (SELECT nb, id, replace(replace(title, '/', '_'), ':', '_') AS title, row_number() OVER (PARTITION BY nb, title ORDER BY id) AS n FROM artifacts WHERE status = 3)),
+e AS (SELECT DISTINCT nb, replace(replace(title, '/', '_'), ':', '_') || '.md' AS file FROM artifacts WHERE status = 1)"""
+
+
+def planned(s, d):
+    """Files that are to be written, each title of a folder numbered already, and files that are there: of other artifacts, so many have the name of the first."""
+    a = V.artifacts(s, d)
+    safe = F.regexp_replace("title", "[/:]", "_")
+    n = F.row_number().over(Window.partitionBy("nb", "title").orderBy("id"))
+    w = a.where("status = 3").select("nb", "id", F.concat(safe, F.when(n > 1, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(""), F.lit(".md")).alias("file"))
+    return w, a.where("status = 1").select("nb", F.concat(safe, F.lit(".md")).alias("file")).distinct()
+
+
+@query(f"""WITH {V.ARTIFACTS}, {PLANNED} SELECT id, 'force' AS policy, CASE WHEN e.file IS NULL THEN 'write' ELSE 'overwritten' END AS action, w.file AS target FROM w LEFT JOIN e USING (nb, file)
+UNION ALL SELECT id, 'skip', CASE WHEN e.file IS NULL THEN 'write' ELSE 'skipped' END, CASE WHEN e.file IS NULL THEN w.file END FROM w LEFT JOIN e USING (nb, file)""")
 def a10_conflict_policy(s, d):
+    w, e = planned(s, d)
+    both = [names.resolved(w, "nb", "file", "id", e, p).select("id", F.lit(p).alias("policy"), "action", "target") for p in ("force", "skip")]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""WITH {V.ARTIFACTS}, w AS (SELECT nb, id, replace(replace(title, '/', '_'), ':', '_') AS title, row_number() OVER (PARTITION BY nb, title ORDER BY id) AS n FROM artifacts WHERE status = 3),
+e AS (SELECT DISTINCT nb, replace(replace(title, '/', '_'), ':', '_') AS title FROM artifacts WHERE status = 1), j AS (SELECT w.*, e.title IS NOT NULL AS there FROM w LEFT JOIN e USING (nb, title))
+SELECT id, title || CASE WHEN n + there::INT > 1 THEN ' (' || (n + there::INT) || ')' ELSE '' END || '.md' AS file FROM j""")
+def e8_names_beside_existing(s, d):
+    """Names for titles where files of other artifacts are there already."""
     a = V.artifacts(s, d)
-    e = a.where("status = 1").select("nb", "title").distinct().withColumn("there", F.lit(True))
-    return a.where("status = 3").join(e, ["nb", "title"], "left").select("id", F.when(F.col("there").isNull(), "write").when(F.col("id") % 2 == 0, "skipped").otherwise("renamed").alias("action"))
+    _, e = planned(s, d)
+    got = names.unique(a.where("status = 3").select("nb", "id", "title", F.lit(".md").alias("ext")), "nb", "title", "ext", "id", e)
+    return got.select("id", "file")
 
 
 KIND_SQL = "CASE type_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in codes.SOURCE_KIND.items()) + " ELSE 'unknown' END"

@@ -71,13 +71,37 @@ def a5_data_tables(s, d):
     return cells(V.table(s, d, "orders").select(F.col("o_orderkey").alias("table_id"), F.expr(TABLE).alias("payload")))
 
 
+@query("SELECT o_orderkey AS table_id, CASE o_orderkey % 4 WHEN 0 THEN 'not a table' ELSE 'no header' END AS error FROM orders WHERE o_orderkey % 4 < 3")
+def a5_table_errors(s, d):
+    """Payloads that are no JSON, tables that are empty, and such whose first row has no cells."""
+    k = F.col("o_orderkey")
+    payload = F.when(k % 4 == 0, "[oops").when(k % 4 == 1, "[]").when(k % 4 == 2, F.concat(F.lit("[[1], "), F.substring(F.expr(TABLE), 2, 10_000))).otherwise(F.expr(TABLE))
+    return table_errors(V.table(s, d, "orders").select(k.alias("table_id"), payload.alias("payload")))
+
+
+def _rows(tables):
+    """tables with rows: each row's variant, in place."""
+    return tables.select("table_id", F.try_variant_get(variants.parsed("payload"), "$", "array<variant>").alias("rows"))
+
+
+def _long_enough(row):
+    return F.coalesce(F.size(F.try_variant_get(row, "$", "array<variant>")) >= 3, F.lit(False))
+
+
+def table_errors(tables):
+    """table_id, error of the tables that cells() can make nothing of."""
+    head = F.get("rows", F.lit(0))
+    error = F.when(F.col("rows").isNull(), "not a table").when(head.isNull() | ~_long_enough(head), "no header")
+    return _rows(tables).select("table_id", error.alias("error")).where("error IS NOT NULL")
+
+
 def cells(tables, row_of=lambda row: F.try_variant_get(row, "$[2]", "array<variant>"), text_of=None):
-    """table_id, payload to table_id, row, col, header, text: rows of fewer than three slots go, the first of the rest is the header.
+    """table_id, payload to table_id, row, col, header, text: the first row is the header, and a table without one is an error (table_errors()); other rows of fewer than three slots go.
 
     ``row_of`` takes the cells from a row's variant, ``text_of`` the text from a column with a cell's JSON.
     """
-    rows = F.filter(F.try_variant_get(variants.parsed("payload"), "$", "array<variant>"), lambda r: F.size(F.try_variant_get(r, "$", "array<variant>")) >= 3)
-    long = tables.select("table_id", F.transform(rows, lambda r: F.transform(row_of(r), lambda c: F.to_json(c))).alias("rows")).where(F.size("rows") > 0)
+    held = _rows(tables).where(_long_enough(F.get("rows", F.lit(0)))).select("table_id", F.filter("rows", _long_enough).alias("rows"))
+    long = held.select("table_id", F.transform("rows", lambda r: F.transform(row_of(r), lambda c: F.to_json(c))).alias("rows"))
     text = text_of or nested_text("")
     body = long.select("table_id", F.col("rows")[0].alias("head"), F.posexplode("rows").alias("row", "cells")).where("row > 0")
     cell = body.select("table_id", "row", "head", F.posexplode("cells").alias("col", "cell"))

@@ -9,9 +9,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) under its name, with its SQL."""
+    """Registers a function (spark, sf_dir) under its name, with its SQL; a name is taken once."""
 
     def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
