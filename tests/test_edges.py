@@ -13,6 +13,7 @@ from tidemark import catalog
 from tidemark.functions import codes, markdown, text, urls, variants
 from tidemark.operators import citations, gates, membership, names, resolve, rows
 from tidemark.plans import payloads
+from tidemark.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,6 +89,19 @@ def test_equal_titles_are_counted_in_many_tasks(spark):
     assert dict(map(tuple, last)) == {0: "untitled.md", 1: "same.md", 1000: "untitled (2).md", 39999: "same (39960).md"}
 
 
+def test_pieces_of_groups(spark):
+    rng = random.Random(3)
+    data = [(rng.choice([None, 1, 2]), k, rng.randrange(1, 60)) for k in range(3000)]
+    got = sorted(map(tuple, rows.pieced(spark.createDataFrame(data, "k int, v int, s int").repartition(5), ["k"], ["v"], F.col("s"), 500).collect()), key=str)
+    want = []
+    for key in (None, 1, 2):
+        before = 0
+        for n, (k, v, s) in enumerate((d for d in data if d[0] == key), 1):
+            want.append((k, v, s, n, before // 500))
+            before += s
+    assert got == sorted(want, key=str)
+
+
 def test_who_is_chosen(spark):
     items = spark.createDataFrame([(1, "a", "Alpha", None, 0), (1, "b", "alphabet", 5, 1), (1, "c", "Beta", 5, 2), (2, "d", None, 7, 0)], "nb int, id string, title string, created_at long, pos int")
     asked = [(0, 1, None, None, None), (1, 1, "", "", True), (2, 1, "c", "alpha", None), (3, 1, "zz", None, None), (4, 1, None, "ALPHA", False), (5, 1, None, "bet", True), (6, 1, None, "BETA", None), (7, 2, None, None, None), (8, 3, None, None, None), (9, 1, None, "nope", None), (9, 1, None, "nope", None)]
@@ -329,7 +343,23 @@ def test_markdown_sources_are_not_escaped():
 def test_csv_lines(spark):
     df = spark.createDataFrame([(1, '[[0, 9, [["a\\"b"], ["c"]]], [9, 20, [["x"], ["y,z"]]]]'), (2, "[[0]]"), (3, "oops")], "table_id int, payload string")
     got = sorted(map(tuple, payloads.csv_lines(payloads.cells(df)).collect()))
-    assert got == [(1, 0, '"a""b","c"'), (1, 1, '"x","y,z"')]
+    assert got == [(1, 0, '"a""b",c'), (1, 1, 'x,"y,z"')]
+
+
+def test_files_of_pieces(spark, tmp_path):
+    uri = f"file://{tmp_path}/out"
+    pieces = [("a/b.txt", k, f"{k}é\n") for k in range(2000)] + [("c.csv", 2, None), ("c.csv", 1, "x\r\n"), (None, 0, "lost"), ("empty", 0, "")]
+    files.write_files(spark.createDataFrame(pieces, "path string, place int, text string").repartition(7), uri, bom=True)
+    read = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith(".")}
+    bom = b"\xef\xbb\xbf"
+    assert read == {"a/b.txt": bom + "".join(f"{k}é\n" for k in range(2000)).encode(), "c.csv": bom + b"x\r\n", "empty": bom}
+    fails = spark.range(4).select(F.lit("bad").alias("path"), "id", F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise("x").alias("text")).withColumnRenamed("id", "place")
+    with pytest.raises(Exception, match="no"):
+        files.write_files(fails, uri)
+    assert not (tmp_path / "out" / "bad").exists()
+    again = spark.createDataFrame([("c.csv", 0, "new")], "path string, place int, text string")
+    files.write_files(again, uri)
+    assert (tmp_path / "out" / "c.csv").read_bytes() == b"new"
 
 
 def test_numbers_within_few_keys(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import numbered
+from .rows import numbered, pieced
 
 
 def members(bridge: DataFrame, items: DataFrame) -> DataFrame:
@@ -20,6 +20,19 @@ def listed(bridge: DataFrame, items: DataFrame, title: str) -> DataFrame:
     return out.select("label_id", F.transform("m", lambda x: x["source_id"]).alias("ids"), F.transform("m", lambda x: x["title"]).alias("titles"), F.size("m").cast("long").alias("n_members"))
 
 
+#: Bytes of ids and titles that a row of a listing holds, about.
+PIECE_BYTES = 1 << 20
+
+
+def listed_in_pieces(bridge: DataFrame, items: DataFrame, title: str, most: int = PIECE_BYTES) -> DataFrame:
+    """listed() for labels of any size: label_id, piece, first (the place of its first member), ids, titles; the pieces of a label follow one another."""
+    rows = bridge.join(items.select("source_id", F.col(title).alias("title")), "source_id", "left")
+    size = F.octet_length("source_id") + F.coalesce(F.octet_length("title"), F.lit(0)) + 16
+    own = F.array_sort(F.collect_list(F.struct("place", "source_id", "title")))
+    out = pieced(rows.select("label_id", "pos", "source_id", "title"), ["label_id"], ["pos", "source_id"], size, most).groupBy("label_id", "piece").agg(own.alias("m"))
+    return out.select("label_id", "piece", F.col("m")[0]["place"].alias("first"), F.transform("m", lambda x: x["source_id"]).alias("ids"), F.transform("m", lambda x: x["title"]).alias("titles"))
+
+
 def unlabelled(items: DataFrame, bridge: DataFrame) -> DataFrame:
     return items.join(bridge, "source_id", "left_anti")
 

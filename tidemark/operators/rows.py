@@ -82,6 +82,24 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return rows.join(first, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]).withColumn(name, F.col("place") - F.col("_first") + 1).drop("place", "_first", *["_" + k for k in keys])
 
 
+def pieced(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], size: Column, most: int) -> DataFrame:
+    """df with ``place`` (from 1) and ``piece`` (from 0) within each key: in a total order, so many rows a piece that their sizes before each add up to less than most.
+
+    Sums run within range partitions and over a row for each key that a partition has, so no key meets in one task.
+    """
+    named = df.withColumn("_s", size.cast("long"))
+    parts = stored(named.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "pieces")
+    within = Window.partitionBy("_p", *keys)
+    so_far = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = parts.withColumn("_b", F.sum("_s").over(so_far) - F.col("_s")).withColumn("_n", F.count("*").over(so_far))
+    each = parts.groupBy(*[F.col(k).alias("_" + k) for k in keys], F.col("_p").alias("_q")).agg(F.sum("_s").alias("_t"), F.count("*").alias("_c"))
+    before = Window.partitionBy(*["_" + k for k in keys]).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_t", F.coalesce(F.sum("_t").over(before), F.lit(0))).withColumn("_c", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    same = [F.col("_p") == F.col("_q"), *[F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]]
+    out = local.join(each, same).withColumn("place", F.col("_n") + F.col("_c")).withColumn("piece", F.floor((F.col("_b") + F.col("_t")) / most))
+    return out.select(*df.columns, "place", "piece")
+
+
 def envelope(df: DataFrame, limit: Column, offset: Column, keys: Sequence[str], order: Sequence[Column | str], most: int = 1000) -> DataFrame:
     """Pages of groups, each with a limit and an offset of its own: keys, total, returned, has_more, problem.
 

@@ -182,6 +182,27 @@ def c20_label_list(s, d):
     return m.select("label_id", "n_members", F.array_join("ids", ",").alias("ids"), F.size(F.filter("titles", lambda t: t.isNotNull())).cast("long").alias("n_titled"))
 
 
+@query(f"""WITH {V.BRIDGE}, {V.SOURCES}, t AS (SELECT 'd' || page_id AS source_id, title FROM sources WHERE source_id LIKE 'p%'), b AS (SELECT label_id, pos, source_id, title, length(source_id) + coalesce(strlen(title), 0) + 16 AS size FROM bridge LEFT JOIN t USING (source_id)),
+q AS (SELECT *, row_number() OVER w AS place, (sum(size) OVER w - size) // 1000 AS piece FROM b WINDOW w AS (PARTITION BY label_id ORDER BY pos, source_id ROWS UNBOUNDED PRECEDING))
+SELECT label_id, CAST(piece AS BIGINT) AS piece, min(place) AS first, string_agg(source_id, ',' ORDER BY place) AS ids, string_agg(coalesce(title, '-'), ',' ORDER BY place) AS titles FROM q GROUP BY ALL""")
+def c20_members_in_pieces(s, d):
+    """Labels with their members and titles in rows of a thousand bytes; so much for a real listing is the caller's to say."""
+    titles = V.sources(s, d).where("source_id LIKE 'p%'").select(F.concat(F.lit("d"), "page_id").alias("source_id"), "title")
+    got = membership.listed_in_pieces(V.label_bridge(s, d), titles, "title", 1000)
+    return got.select("label_id", "piece", "first", F.array_join("ids", ",").alias("ids"), F.array_join("titles", ",", "-").alias("titles"))
+
+
+@query(f"""WITH {V.SOURCES}, q AS (SELECT nb, title, url, status, row_number() OVER w AS place, (sum(coalesce(strlen(title), 0) + coalesce(strlen(url), 0) + 16) OVER w - (coalesce(strlen(title), 0) + coalesce(strlen(url), 0) + 16)) // 500 AS piece FROM sources WINDOW w AS (PARTITION BY nb ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT nb, CAST(piece AS BIGINT) AS piece, min(place) AS first, count(*) AS n, string_agg(coalesce(url, ''), ' ' ORDER BY place) AS urls FROM q GROUP BY ALL""")
+def c4_metadata_in_pieces(s, d):
+    """A notebook's sources nested in rows of bounded size, in order."""
+    src = V.sources(s, d).select("nb", "title", "url", "status", "pos")
+    size = F.coalesce(F.octet_length("title"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + 16
+    m = F.array_sort(F.collect_list(F.struct("place", "title", "url", "status")))
+    got = rows.pieced(src, ["nb"], ["pos"], size, 500).groupBy("nb", "piece").agg(m.alias("sources"))
+    return got.select("nb", "piece", F.col("sources")[0]["place"].alias("first"), F.size("sources").cast("long").alias("n"), F.array_join(F.transform("sources", lambda x: F.coalesce(x["url"], F.lit(""))), " ").alias("urls"))
+
+
 @query("""WITH t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS token FROM part), f AS (SELECT p_name AS token, count(*) AS c, min(p_partkey) AS id FROM part GROUP BY p_name)
 SELECT token, CASE WHEN c = 1 THEN 'found' WHEN c > 1 THEN 'ambiguous' ELSE 'none' END AS verdict, CASE WHEN c = 1 THEN id END AS id FROM t LEFT JOIN f USING (token)""")
 def c21_exact_title(s, d):

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codes, markdown, variants
+from ..sources import files
 from ..sources import views as V
+from ..sources.shared import folder
 from .registry import query
 
 DEPTH = 100
@@ -109,11 +111,65 @@ def cells(tables, row_of=lambda row: F.try_variant_get(row, "$[2]", "array<varia
 
 
 def csv_lines(cells_):
-    """cells() as the lines of CSV files, one per table and row, the header being row 0; write them with write.text."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    head = cells_.groupBy("table_id", "col").agg(F.first("header").alias("text")).select("table_id", F.lit(0).alias("row"), "col", "text")
-    rows = cells_.select("table_id", "row", "col", "text").unionByName(head).groupBy("table_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("c"))
-    return rows.select("table_id", "row", F.array_join(F.transform("c", lambda c: quoted(c["text"])), ",").alias("line"))
+    """cells() as the lines of CSV files, one per table and row, the header being row 0; a text is quoted where it has to be."""
+    bare = F.col("text").rlike('[",\r\n]')
+    one = F.when(bare, F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("text"))
+    head = cells_.groupBy("table_id", "col").agg(F.first("header").alias("text")).select("table_id", F.lit(0).cast("long").alias("row"), "col", "text")
+    rows = cells_.select("table_id", F.col("row").cast("long").alias("row"), "col", "text").unionByName(head).select("table_id", "row", "col", F.coalesce(one, F.lit("")).alias("text"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), ",")
+    return rows.groupBy("table_id", "row").agg(line.alias("line")).withColumn("line", F.when(F.col("line") == "", '""').otherwise(F.col("line")))
+
+
+@query("""WITH c AS (SELECT o_custkey % 40 AS t, o_orderpriority || ',' || o_orderkey AS line FROM orders UNION ALL SELECT DISTINCT o_custkey % 40, NULL FROM orders)
+SELECT 'table-' || t || '.csv' AS file, CASE WHEN line IS NULL THEN 'Name,Qty' ELSE '"' || replace(line, ',', ' ""p"", x",') END AS line FROM c""")
+def a5_csv_files(s, d):
+    """A CSV file for each table, written with a byte-order mark (which reading takes away) and read back line by line."""
+    k = F.col("o_orderkey")
+    cell = lambda col, header, text: F.struct(F.lit(col).alias("col"), F.lit(header).alias("header"), text.alias("text"))
+    both = F.array(cell(0, "Name", F.concat("o_orderpriority", F.lit(' "p", x'))), cell(1, "Qty", k.cast("string")))
+    long = V.table(s, d, "orders").select((F.col("o_custkey") % 40).alias("table_id"), (k + 1).alias("row"), F.explode(both).alias("c")).select("table_id", "row", "c.*")
+    uri = folder(s, "csv")
+    lines = csv_lines(long)
+    pieces = lines.select(F.concat(F.lit("table-"), F.col("table_id"), F.lit(".csv")).alias("path"), F.col("row").alias("place"), F.concat("line", F.lit("\r\n")).alias("text"))
+    files.write_files(pieces, uri, bom=True)
+    return files.read_lines(s, uri)
+
+
+@query("""WITH m AS (SELECT n_nationkey, n_name FROM nation), k AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer), n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM k JOIN m ON c_nationkey = n_nationkey WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_mktsegment))
+SELECT 'map-' || n_nationkey || '.json' AS file, unnest(['{', '  "name": "é ' || n_name || '",', '  "children": [']) AS line FROM m WHERE n_nationkey IN (SELECT c_nationkey FROM k)
+UNION ALL SELECT 'map-' || c_nationkey || '.json', unnest(['    {', '      "name": "' || c_mktsegment || '"', CASE WHEN i < n THEN '    },' ELSE '    }' END]) FROM n UNION ALL SELECT 'map-' || n_nationkey || '.json', unnest(['  ]', '}']) FROM m WHERE n_nationkey IN (SELECT c_nationkey FROM k)""")
+def a6_map_files(s, d):
+    """Mind maps as indented JSON, a file each."""
+
+    @F.pandas_udf(T.StringType())
+    def indented(trees: pd.Series) -> pd.Series:
+        return trees.map(lambda t: json.dumps(json.loads(t), indent=2, ensure_ascii=False))
+
+    kids = V.table(s, d, "customer").select("c_nationkey", "c_mktsegment").distinct().groupBy("c_nationkey").agg(F.transform(F.sort_array(F.collect_list("c_mktsegment")), lambda x: F.struct(x.alias("name"))).alias("children"))
+    n = V.table(s, d, "nation").join(kids, F.col("c_nationkey") == F.col("n_nationkey"))
+    tree = F.to_json(F.struct(F.concat(F.lit("é "), "n_name").alias("name"), "children"))
+    uri = folder(s, "maps")
+    files.write_files(n.select(F.concat(F.lit("map-"), "n_nationkey", F.lit(".json")).alias("path"), F.lit(0).alias("place"), indented(tree).alias("text")), uri)
+    return files.read_lines(s, uri)
+
+
+QUESTION = "'## ' || p_partkey || '. ' || p_name || chr(10) || chr(10) || '- [' || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE ' ' END || '] ' || p_brand || chr(10) || '- [' || CASE WHEN p_partkey % 2 = 1 THEN 'x' ELSE ' ' END || '] ' || p_type"
+
+
+@query(f"""WITH q AS (SELECT p_size AS quiz, string_agg({QUESTION}, chr(10) || chr(10) ORDER BY p_partkey) AS doc FROM part GROUP BY p_size) SELECT 'quiz-' || quiz || '.md' AS file, unnest(string_split('# Quiz ' || quiz || chr(10) || chr(10) || doc || chr(10) || '---', chr(10))) AS line FROM q
+UNION ALL SELECT 'quiz-' || p_size || '.json', unnest(string_split(string_agg('{{"question":"' || p_name || '"}}', ',' || chr(10) ORDER BY p_partkey), chr(10))) FROM part GROUP BY p_size UNION ALL SELECT 'quiz-' || p_size || '.json', unnest(['{{"title":"quiz ' || p_size || '","questions":[', ']}}']) FROM part GROUP BY p_size""")
+def a7_quiz_files(s, d):
+    """Quizzes as Markdown and as JSON, from a row for each question: a quiz need not fit in one."""
+    right = lambda odd: F.when(F.col("p_partkey") % 2 == odd, "x").otherwise(" ")
+    text = F.concat(F.lit("## "), F.col("p_partkey").cast("string"), F.lit(". "), "p_name", F.lit("\n\n- ["), right(0), F.lit("] "), "p_brand", F.lit("\n- ["), right(1), F.lit("] "), "p_type")
+    p = V.table(s, d, "part")
+    quiz = F.col("p_size").cast("string")
+    named = lambda kind: lambda q: F.concat(F.lit("quiz-"), q.cast("string"), F.lit(kind))
+    md = files.listed(p, "p_size", "p_partkey", named(".md"), text, F.concat(F.lit("# Quiz "), quiz, F.lit("\n\n")), "\n\n", "\n---\n")
+    js = files.listed(p, "p_size", "p_partkey", named(".json"), F.to_json(F.struct(F.col("p_name").alias("question"))), F.concat(F.lit('{"title":"quiz '), quiz, F.lit('","questions":[\n')), ",\n", "\n]}\n")
+    uri = folder(s, "quizzes")
+    files.write_files(md.unionByName(js), uri)
+    return files.read_lines(s, uri)
 
 
 @query()

@@ -17,16 +17,14 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = F.col("page_id")
     title = F.when(pid % 13 == 0, "403 Forbidden").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     status = F.when(pid % 11 == 0, 3).when(pid % 11 == 1, 1).otherwise(2)
-    p = table(spark, sf_dir, "pages").select(
-        "page_id", (pid % 20).alias("nb"), F.concat(F.lit("p"), pid).alias("source_id"), "url", title.alias("title"), status.alias("status"), F.lit(5).alias("type_code"),
-        F.when(pid % 17 != 0, BASE + pid * 60).alias("created_at"), (pid * 2).alias("pos"),
-    )
+    made = F.when(pid % 17 != 0, BASE + pid * 60)
     top = F.upper(F.regexp_extract("url", "^([a-z]+://[^/?#]*)(.*)$", 1))
-    v = p.where(pid % 3 == 0).select(
-        "page_id", "nb", F.concat(F.lit("v"), pid).alias("source_id"), F.concat(top, F.regexp_extract("url", "^([a-z]+://[^/?#]*)(.*)$", 2), F.lit("#v")).alias("url"), "title", "status", "type_code",
-        (F.col("created_at") + F.when(pid % 2 == 0, -86400).otherwise(86400)).alias("created_at"), (F.col("pos") + 1).alias("pos"),
-    )
-    return p.unionByName(v)
+    form = lambda prefix, url, at, pos: F.struct(F.concat(F.lit(prefix), pid).alias("source_id"), url.alias("url"), at.alias("created_at"), pos.alias("pos"))
+    page = form("p", F.col("url"), made, pid * 2)
+    variant = form("v", F.concat(top, F.regexp_extract("url", "^([a-z]+://[^/?#]*)(.*)$", 2), F.lit("#v")), made + F.when(pid % 2 == 0, -86400).otherwise(86400), pid * 2 + 1)
+    p = table(spark, sf_dir, "pages").select("page_id", (pid % 20).alias("nb"), title.alias("title"), status.alias("status"), F.when(pid % 3 == 0, F.array(page, variant)).otherwise(F.array(page)).alias("forms"))
+    each = p.select("page_id", "nb", "title", "status", F.explode("forms").alias("f"))  # one scan for both
+    return each.select("page_id", "nb", "f.source_id", "f.url", "title", "status", F.lit(5).alias("type_code"), "f.created_at", "f.pos")
 
 
 SOURCES = f"""
