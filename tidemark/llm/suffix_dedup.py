@@ -11,7 +11,8 @@ repeated throughout. Pass 3 takes the anchors whose runs differ (where copies be
 distinct run into blocks of ``step`` strings and sorts these by their *core*, the bytes all of a block's strings share; a core
 that occurs once ends its block. Pass 4 sorts the rest by the bytes around the core, first whole blocks, then, where blocks
 differ, string by string at full depth. A string is counted wherever it starts, in any document; matches never
-cross documents. Anchors, runs and cores travel as 64-bit hashes, two of them to a key, so 128 bits decide; the bytes around a core travel as they are.
+cross documents. Anchors, runs and cores travel as 64-bit hashes: 64 bits tell anchors apart, and 64 more the runs and cores
+under one anchor, so what shares an anchor rests on 64 bits; the bytes around a core travel as they are.
 
 Edge cases: a null or empty text, or one shorter than the threshold, has no repeats; repeated rows repeat each other;
 ids play no part, so repeated or null ones are fine: equal texts lose the same bytes, so what is found is kept once per
