@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..sources.shared import stored
 from .rows import keep_first, numbered
 
 
@@ -32,12 +31,12 @@ def verified(requested: DataFrame, baseline: DataFrame, current: DataFrame) -> D
     key = urls.import_key("url")
     new_keys = new.where("url IS NOT NULL").select("nb", key.alias("_key")).distinct().withColumn("_new", F.lit(True))
     now_keys = current.where("url IS NOT NULL").select("nb", key.alias("_key")).distinct().withColumn("_now", F.lit(True))
-    rows = requested.withColumn("_key", F.when(F.col("url").isNotNull(), key)).join(new_keys, ["nb", "_key"], "left").join(now_keys, ["nb", "_key"], "left")
     spare = new.where("url IS NULL").groupBy("nb").agg(F.count("*").alias("_spare"))
-    rows = stored(rows, "requested")  # read for the flag, for the numbers of rows without a URL, and for the answer
-    any_new = rows.groupBy("nb").agg(F.coalesce(F.bool_or("_new"), F.lit(False)).alias("_any"))
-    rows = rows.where("url IS NOT NULL").withColumn("_nth", F.lit(None).cast("long")).unionByName(numbered(rows.where("url IS NULL"), ["nb"], ["pos"], "_nth"))
-    rows = rows.join(spare, "nb", "left").join(any_new, "nb")
+    addressed = requested.where("url IS NOT NULL").withColumn("_key", key)
+    any_new = addressed.select("nb", "_key").join(new_keys, ["nb", "_key"], "left_semi").select("nb").distinct().withColumn("_any", F.lit(True))
+    rows = addressed.join(new_keys, ["nb", "_key"], "left").join(now_keys, ["nb", "_key"], "left")
+    rows = rows.unionByName(numbered(requested.where("url IS NULL"), ["nb"], ["pos"], "_nth"), allowMissingColumns=True)
+    rows = rows.join(spare, "nb", "left").join(any_new, "nb", "left")
     state = F.when(F.col("_new"), "committed").when(F.col("url").isNull(), F.when(F.col("_nth") <= F.coalesce("_spare", F.lit(0)), "committed").when(F.col("_any"), "dropped").otherwise("retry")).when(F.col("_now"), "dropped").otherwise("retry")
     return rows.withColumn("state", state).drop("_key", "_new", "_now", "_nth", "_spare", "_any")
 

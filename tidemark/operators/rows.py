@@ -75,29 +75,34 @@ def placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(before), "_p").withColumn("place", F.col("_before") + F.col("_n")).drop("_p", "_n", "_before")
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, **sums: Column) -> DataFrame:
+    """df with the running total of each of sums within each key, its own row included, in an order that is total within it.
+
+    Sums run within stored range partitions. What a key has in earlier partitions is added where it goes over from one to the next: that
+    are no more rows than partitions, so they go to every task; no key meets in one task, however few keys there are.
+    """
+    held = df
+    for k, c in sums.items():
+        held = held.withColumn(k, c.cast("long"))
+    parts = stored(held.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), name)
+    so_far = Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = parts.groupBy(*[F.col(k).alias("_" + k) for k in keys], F.col("_p").alias("_q")).agg(F.count("*").alias("_rows"), *[F.sum(k).alias("_of_" + k) for k in sums])
+    earlier = Window.partitionBy(*["_" + k for k in keys]).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(*["_" + k for k in keys], "_q", F.sum("_rows").over(earlier).alias("_rows"), *[F.sum("_of_" + k).over(earlier).alias("_of_" + k) for k in sums]).where("_rows > 0").drop("_rows")
+    same = [F.col("_p") == F.col("_q"), *[F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]]
+    out = parts.select(*df.columns, "_p", *[F.sum(k).over(so_far).alias(k) for k in sums]).join(F.broadcast(each), same, "left")
+    return out.select(*df.columns, *[(F.col(k) + F.coalesce("_of_" + k, F.lit(0))).alias(k) for k in sums])
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
-    """df with ``name``: 1, 2, 3 within each key, in an order that is total within it. No key meets in one task, however few keys there are."""
-    rows = stored(placed(df, [*keys, *order]), "numbered")
-    first = rows.groupBy(*[F.col(k).alias("_" + k) for k in keys]).agg(F.min("place").alias("_first"))
-    return rows.join(first, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]).withColumn(name, F.col("place") - F.col("_first") + 1).drop("place", "_first", *["_" + k for k in keys])
+    """df with ``name``: 1, 2, 3 within each key, in an order that is total within it."""
+    return ranged(df, keys, order, "numbered", **{name: F.lit(1)})
 
 
 def pieced(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], size: Column, most: int) -> DataFrame:
-    """df with ``place`` (from 1) and ``piece`` (from 0) within each key: in a total order, so many rows a piece that their sizes before each add up to less than most.
-
-    Sums run within range partitions and over a row for each key that a partition has, so no key meets in one task.
-    """
-    named = df.withColumn("_s", size.cast("long"))
-    parts = stored(named.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "pieces")
-    within = Window.partitionBy("_p", *keys)
-    so_far = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = parts.withColumn("_b", F.sum("_s").over(so_far) - F.col("_s")).withColumn("_n", F.count("*").over(so_far))
-    each = parts.groupBy(*[F.col(k).alias("_" + k) for k in keys], F.col("_p").alias("_q")).agg(F.sum("_s").alias("_t"), F.count("*").alias("_c"))
-    before = Window.partitionBy(*["_" + k for k in keys]).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("_t", F.coalesce(F.sum("_t").over(before), F.lit(0))).withColumn("_c", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    same = [F.col("_p") == F.col("_q"), *[F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]]
-    out = local.join(each, same).withColumn("place", F.col("_n") + F.col("_c")).withColumn("piece", F.floor((F.col("_b") + F.col("_t")) / most))
-    return out.select(*df.columns, "place", "piece")
+    """df with ``place`` (from 1) and ``piece`` (from 0) within each key: in a total order, so many rows a piece that their sizes before each add up to less than most."""
+    sums = ranged(df.withColumn("_s", size.cast("long")), keys, order, "pieces", place=F.lit(1), _sum=F.col("_s"))
+    return sums.select(*df.columns, "place", F.floor((F.col("_sum") - F.col("_s")) / most).alias("piece"))
 
 
 def envelope(df: DataFrame, limit: Column, offset: Column, keys: Sequence[str], order: Sequence[Column | str], most: int = 1000) -> DataFrame:
