@@ -89,6 +89,12 @@ def test_equal_titles_are_counted_in_many_tasks(spark):
     assert dict(map(tuple, last)) == {0: "untitled.md", 1: "same.md", 1000: "untitled (2).md", 39999: "same (39960).md"}
 
 
+def test_uuids_in_nested_lists(spark):
+    u, v = "0a1b2c3d-0000-4000-8000-00000000000" + "1", "0A1B2C3D-0000-4000-8000-00000000000F"
+    given = [f'["x{u}", [["{v}"]], "{u}"]', f'{{"k": "{u}"}}', f'[{{"k": "{u}"}}, "{v}"]', "[" * 9 + f'"{u}"' + "]" * 9, "[" * 10 + f'"{u}"' + "]" * 10, f'"{u}"', "[", None, "[1, null]"]
+    assert one(spark, text.first_uuid, *given) == [v, None, v, u, None, u, None, None, None]
+
+
 def test_pieces_of_groups(spark):
     rng = random.Random(3)
     data = [(rng.choice([None, 1, 2]), k, rng.randrange(1, 60)) for k in range(3000)]

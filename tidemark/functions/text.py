@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import json
 import operator
+import re
 import unicodedata
 
 import pandas as pd
@@ -131,7 +133,8 @@ def pair(question: Column | str, answer: Column | str) -> Column:
     return F.concat_ws("\n\n", half(question, "Q"), half(answer, "A"))
 
 
-# Fixed value.
+# Fixed values.
+UUID_DEPTH = 9
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
@@ -139,6 +142,22 @@ def is_uuid(c: Column | str) -> Column:
     return F.coalesce(_col(c).rlike(f"^{UUID}$"), F.lit(False))
 
 
-def first_uuid(c: Column | str) -> Column:
-    """The first whole string in JSON text that is a UUID, at any depth."""
-    return F.nullif(F.regexp_extract(_col(c), f'"({UUID})"', 1), F.lit(""))
+@F.pandas_udf(T.StringType())
+def first_uuid(payloads: pd.Series) -> pd.Series:
+    """The first whole string of JSON text that is a UUID, in lists nested up to UUID_DEPTH times, depth first; objects aren't looked into. No built-in goes by depth."""
+    shape = re.compile(UUID)
+
+    def one(payload: str | None) -> str | None:
+        try:
+            stack = [(json.loads(payload), 0)] if payload and shape.search(payload) else []
+        except (ValueError, RecursionError):
+            return None
+        while stack:
+            value, depth = stack.pop()
+            if isinstance(value, str) and shape.fullmatch(value):
+                return value
+            if isinstance(value, list) and depth < UUID_DEPTH:
+                stack += [(x, depth + 1) for x in reversed(value)]
+        return None
+
+    return payloads.map(one)
