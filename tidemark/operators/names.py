@@ -46,10 +46,15 @@ def distinct(rows: DataFrame, folder: str, extension: str, order: str, existing:
         there = there.select(folder, F.expr("left(file, length(file) - length(_x))").alias("_base"), F.col("_x").alias(extension)).withColumn("_root", F.regexp_replace("_base", ROOT, ""))
         there = there.join(held.select(*keys).distinct(), keys, "left_semi")
         tricky = tricky.unionByName(there.select(*keys)).distinct()
+
+    def counted(own: DataFrame) -> DataFrame:
+        number = F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise("")
+        return numbered(own.drop("_root"), [folder, "_base", extension], [order], "_n").withColumn("file", F.concat("_base", number, extension)).select(*columns)
+
+    if tricky.isEmpty():
+        return counted(held)
     marked = held.join(tricky.withColumn("_tricky", F.lit(True)), keys, "left")
-    plain = numbered(marked.where("_tricky IS NULL").drop("_tricky", "_root"), [folder, "_base", extension], [order], "_n")
-    number = F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise("")
-    plain = plain.withColumn("file", F.concat("_base", number, extension)).select(*columns)
+    plain = counted(marked.where("_tricky IS NULL").drop("_tricky"))
     chained = marked.where("_tricky").drop("_tricky").withColumn("_there", F.lit(False))
     if there is not None:
         chained = chained.unionByName(there.withColumn("_there", F.lit(True)), allowMissingColumns=True)
