@@ -1,5 +1,6 @@
 """Operators 1, 2, 3, 5, 7 and 9 against plain models, on the smallest tables and on edge cases."""
 
+import functools
 import itertools
 import random
 import zlib
@@ -163,7 +164,9 @@ def test_op5(spark, monkeypatch, which):
     assert got == sorted(((d, *x) for (d, _), x in zip(rows, brute.op5([t for _, t in rows]), strict=True)), key=KEY)
 
 
-def test_op5_on_edited_copies(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [suffix_dedup.SPREAD, 3])
+def test_op5_on_edited_copies(spark, monkeypatch, spread):
+    """Also with all but the rarest anchors and cores dealt over several tasks."""
     rng = random.Random(5)
     base = ["".join(rng.choice("abcd \n") for _ in range(1200)) for _ in range(4)]
     rows = []
@@ -173,6 +176,7 @@ def test_op5_on_edited_copies(spark, monkeypatch):
             t[rng.randrange(len(t))] = rng.choice("XYZé")
         rows.append((k, "".join(t) + rng.choice(["", "ab" * 150, "x" * 400])))
     monkeypatch.setattr(suffix_dedup, "BUFFER_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "removed", functools.partial(suffix_dedup.removed, spread=spread))
     got = sorted(map(tuple, run(spark, monkeypatch, spark.createDataFrame(rows, "doc_id long, text string"), queries.op5_suffix_dedup).collect()))
     assert got == sorted((d, *x) for (d, _), x in zip(rows, brute.op5([t for _, t in rows]), strict=True))
 

@@ -14,6 +14,9 @@ differ, string by string at full depth. A string is counted wherever it starts,
 cross documents. Anchors, runs and cores travel as 64-bit hashes: 64 bits tell anchors apart, and 64 more the runs and cores
 under one anchor, so what shares an anchor rests on 64 bits; the bytes around a core travel as they are.
 
+An anchor or core may hold a third of all rows (a line that a text repeats, a group of copies). Its rows are dealt over
+several tasks by a random share; each tallies its own, and tallies, at most one a share, are added up before rows are told whether they recur.
+
 Edge cases: a null or empty text, or one shorter than the threshold, has no repeats; repeated rows repeat each other;
 ids play no part, so repeated or null ones are fine: equal texts lose the same bytes, so what is found is kept once per
 text, named by 96 bits of two hash functions; an empty table gives an empty result; extra columns are ignored.
@@ -25,7 +28,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHES, bounded_batches, groups_of, stored, working
@@ -34,6 +37,8 @@ THRESHOLD = 200
 DIGIT = 40
 BASE = 0x9E3779B97F4A7C15
 STEP = 16
+#: An anchor or core of more rows is dealt over several tasks, one for so many; what they tally is then put together.
+SPREAD = 4096
 #: Texts are scanned through buffers of so many bytes; some ten arrays of 8 bytes a place are held for one.
 BUFFER_BYTES = 1 << 18
 RUN = "k long, h int, start int, n int, lead int, anchor long, run long"
@@ -176,40 +181,61 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return bounded_batches(docs).select(F.xxhash64(text).alias("k"), F.hash(text).alias("h"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
 
 
-def repeats(rows: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, step: int = STEP) -> DataFrame:
+def _salt(parts: str) -> Column:
+    """A random one of ``parts`` shares for a row of a key that is dealt over several tasks, -1 for one of a key that one task can hold; null parts stay null.
+
+    Only drawn in a stage that writes its table, so that all who read the table see one draw.
+    """
+    return F.when(F.col(parts) > 1, F.floor(F.rand() * F.col(parts)).cast("int")).when(F.col(parts) == 1, -1).alias("salt")
+
+
+def _recurring(tallies: DataFrame, key: list[str]) -> DataFrame:
+    """tallies: key, salt, total. The key and salts of all keys whose totals sum to more than one."""
+    hot = tallies.where("salt >= 0").select(*key, "salt", "total")
+    several = hot.groupBy(*key).agg(F.sum("total").alias("all")).where("all > 1").select(*key)
+    return tallies.where("salt < 0 AND total > 1").select(*key, "salt").unionByName(hot.drop("total").join(several, key))
+
+
+def _once(tallies: DataFrame, key: list[str]) -> DataFrame:
+    """tallies: key, salt, total, r. One row of each key: its whole total, its first r, and that one's salt."""
+    hot = tallies.where("salt >= 0").groupBy(*key).agg(F.sum("total").alias("total"), F.min(F.struct("r", "salt")).alias("f"))
+    return tallies.where("salt < 0").select(*key, "salt", "total", "r").unionByName(hot.select(*key, "f.salt", "total", "f.r"))
+
+
+def repeats(rows: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, step: int = STEP, spread: int = SPREAD) -> DataFrame:
     """rows as from keyed(). k, h, spans (array<long>, start << 32 | end): what to remove from each text, not yet merged."""
     rows = rows.select("k", "h", "text")
     span = lambda start, n: F.shiftleft(start.cast("long"), 32).bitwiseOR((start + n + (threshold - 1)).cast("long")).alias("span")
+    parts = F.ceil(F.col("total") / spread).cast("int")
     all_runs = rows.mapInArrow(_runs_of(threshold, digit), RUN)
-    # Pass 1. The runs are made twice, which costs less than keeping those that turn out to be alone.
-    anchors = all_runs.groupBy("anchor").agg(F.count("*").alias("total"), (F.min("run") != F.max("run")).alias("mixed")).where("total > 1").select("anchor", "mixed")
+    # Pass 1. The runs are made twice, which costs less than keeping those that turn out to be alone. parts: of anchors whose runs differ.
+    anchors = all_runs.groupBy("anchor").agg(F.count("*").alias("total"), (F.min("run") != F.max("run")).alias("mixed")).where("total > 1").select("anchor", F.when(F.col("mixed"), parts).alias("parts"))
     anchors = stored(anchors, "anchors")  # else the join keeps the aggregate's partitions, and a hot anchor's can't be split
-    tied = stored(all_runs.join(anchors, "anchor"), "tied")
-    whole = tied.where("NOT mixed").select("k", "h", span(F.col("start"), F.col("n")))
-    # Pass 2: runs under a mixed anchor, once each.
-    first = F.min(F.struct("k", "h", "start", "n", "lead")).alias("r")
-    differ = stored(tied.where("mixed").groupBy("anchor", "run").agg(F.count("*").alias("total"), first), "differ")
-    same = tied.where("mixed").join(differ.where("total > 1").select("anchor", "run"), ["anchor", "run"]).select("k", "h", span(F.col("start"), F.col("n")))
+    tied = stored(all_runs.join(anchors, "anchor").select(*all_runs.columns, _salt("parts")), "tied")
+    whole = tied.where("salt IS NULL").select("k", "h", span(F.col("start"), F.col("n")))
+    # Pass 2: runs under an anchor whose runs differ, once each.
+    run = ["anchor", "run"]
+    differ = stored(tied.where("salt IS NOT NULL").groupBy(*run, "salt").agg(F.count("*").alias("total"), F.min(F.struct("k", "h", "start", "n", "lead")).alias("r")), "differ")
+    same = tied.where("salt IS NOT NULL").join(_recurring(differ, run), [*run, "salt"]).select("k", "h", span(F.col("start"), F.col("n")))
     # Pass 3.
-    wanted = differ.select("r.*", "anchor", F.when(F.col("total") > 1, 2).otherwise(1).alias("weight"))
+    wanted = _once(differ, run).select("r.*", "anchor", F.when(F.col("total") > 1, 2).otherwise(1).alias("weight"))
     per_doc = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("start", "n", "lead", "anchor", "weight")).alias("runs"))
     held = _packed(rows).dropDuplicates(["k", "h"]).join(per_doc, ["k", "h"]).select("k", "h", "packed", "runs")
     blocks = held.mapInArrow(_blocks_of(threshold, step), BLOCK)
     core, around = ["anchor", "place", "core"], ["left", "right"]
-    first = F.min(F.struct("k", "h", "start", "n")).alias("r")
     blocks = stored(blocks, "blocks")
-    cores = blocks.groupBy(*core).agg(F.sum("weight").alias("total")).where("total > 1").select(*core)
+    cores = blocks.groupBy(*core).agg(F.sum("weight").alias("total")).where("total > 1").select(*core, parts.alias("parts"))
     cores = stored(cores, "shared-cores")
-    shared = stored(blocks.join(cores, core), "cores")
+    shared = stored(blocks.join(cores, core).select(*blocks.columns, _salt("parts")), "cores")
     # Pass 4.
-    distinct = stored(shared.groupBy(*core, *around).agg(F.sum("weight").alias("total"), first), "distinct")
-    equal = shared.where("weight = 1").join(distinct.where("total > 1").select(*core, *around), core + around).select("k", "h", span(F.col("start"), F.col("n")))
+    distinct = stored(shared.groupBy(*core, *around, "salt").agg(F.sum("weight").alias("total"), F.min(F.struct("k", "h", "start", "n")).alias("r")), "distinct")
+    equal = shared.where("weight = 1").join(_recurring(distinct, core + around), [*core, *around, "salt"]).select("k", "h", span(F.col("start"), F.col("n")))
     lead = F.lit(step - 1) - F.octet_length("left")  # of the block's first string
-    strings = distinct.withColumn("lead", lead).select(*core, "total", "r", "lead", "left", "right", F.explode(F.sequence(F.col("lead"), F.col("lead") + F.col("r.n") - 1)).alias("j"))
-    strings = strings.select(*core, "j", F.expr("concat(substring(left, j - lead + 1, octet_length(left)), substring(right, 1, j))").alias("rest"), "total", "r", (F.col("r.start") + F.col("j") - F.col("lead")).alias("start"))
+    strings = _once(distinct, core + around).withColumn("lead", lead).select(*core, "salt", "total", "r", "lead", "left", "right", F.explode(F.sequence(F.col("lead"), F.col("lead") + F.col("r.n") - 1)).alias("j"))
+    strings = strings.select(*core, "salt", "j", F.expr("concat(substring(left, j - lead + 1, octet_length(left)), substring(right, 1, j))").alias("rest"), "total", "r", (F.col("r.start") + F.col("j") - F.col("lead")).alias("start"))
     key = [*core, "j", "rest"]
-    twice = strings.groupBy(*key).agg(F.sum("total").alias("all")).where("all > 1").select(*key)
-    edges = strings.where("total = 1").join(twice, key).select("r.k", "r.h", span(F.col("start"), F.lit(1)))
+    twice = _recurring(strings.groupBy(*key, "salt").agg(F.sum("total").alias("total")), key)
+    edges = strings.where("total = 1").join(twice, [*key, "salt"]).select("r.k", "r.h", span(F.col("start"), F.lit(1)))
     return whole.unionByName(same).unionByName(equal).unionByName(edges).groupBy("k", "h").agg(F.collect_set("span").alias("spans"))
 
 
@@ -254,10 +280,10 @@ def _cut(whole_chars: bool):
     return run
 
 
-def removed(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, whole_chars: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, whole_chars: bool = False, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, kept (binary), starts and ends of the maximal removed runs, in bytes of the input."""
     rows = keyed(docs, id_col, text_col)
-    spans, texts = repeats(rows, threshold, digit), _packed(rows)
+    spans, texts = repeats(rows, threshold, digit, spread=spread), _packed(rows)
     held = texts.join(spans, ["k", "h"], "left").select("doc_id", "n_bytes", "packed", "spans")
     return held.mapInArrow(_cut(whole_chars), "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
 
