@@ -15,8 +15,10 @@ PROBE, AROUND = 40, 200
 
 def report_keys(reports: DataFrame) -> DataFrame:
     """nb, key: distinct citation keys of all URLs in a group's reports except those of images; a report may be one row, or a row for each line."""
-    every, images = (reports.select("nb", F.explode(found).alias("url")).select("nb", urls.citation_key("url").alias("key")) for found in (urls.bare_urls("report"), urls.image_urls("report")))
-    return every.where("key LIKE 'http://%' OR key LIKE 'https://%'").distinct().join(images, ["nb", "key"], "left_anti")
+    tagged = lambda found, image: F.transform(found, lambda u: F.struct(u.alias("url"), F.lit(image).alias("image")))
+    found = reports.select("nb", F.explode(F.concat(tagged(urls.bare_urls("report"), False), tagged(urls.image_urls("report"), True))).alias("u"))
+    keys = found.select("nb", urls.citation_key("u.url").alias("key"), "u.image").where("key LIKE 'http://%' OR key LIKE 'https://%'")
+    return keys.groupBy("nb", "key").agg(F.bool_or("image").alias("image")).where("NOT image").select("nb", "key")
 
 
 def cited(sources: DataFrame, reports: DataFrame) -> DataFrame:
