@@ -377,3 +377,10 @@ def test_numbers_within_few_keys(spark):
     assert none.count() == 0
     first = rows.selected(spark.createDataFrame([(None, 2), (None, 1), (1, 5)], "k long, v long"), ["k"], [F.col("v")])
     assert sorted(map(tuple, first.select(F.coalesce("k", F.lit(0)), "v", "n_matches", "reason").collect())) == [(0, 1, 2, "first of 2"), (1, 5, 1, "only one")]
+
+
+def test_report_keys_leave_out_what_is_an_image_anywhere(spark):
+    rows = [(1, "see http://a.org/x and ![p](http://b.org/y)"), (1, "from http://b.org/y."), (1, None), (1, ""), (2, "http://b.org/y http://b.org/y"), (None, "http://c.org/z"), (3, "![p](http://a.org/x)")]
+    got = {tuple(r) for r in citations.report_keys(spark.createDataFrame(rows, "nb int, report string")).collect()}
+    assert got == {(1, "http://a.org/x"), (2, "http://b.org/y"), (None, "http://c.org/z")}
+    assert citations.report_keys(spark.createDataFrame([], "nb int, report string")).count() == 0
