@@ -3,6 +3,7 @@
 import difflib
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -118,6 +119,21 @@ def test_who_is_chosen(spark):
     ]
 
 
+def test_many_ids_chosen_in_one_group(spark):
+    n = 30_000  # as pairs of an id and an item: 900 million
+    items = spark.range(n).selectExpr("1 AS nb", "CAST(id AS STRING) AS id", "concat('Title ', id % 7) AS title", "id % 5 AS created_at", "id AS pos")
+    asked = spark.range(n).selectExpr("id AS who", "1 AS nb", "IF(id % 10 = 0, NULL, CAST(id * 2 AS STRING)) AS id", "concat('title ', id % 3) AS name", "id % 2 = 0 AS earliest")
+    began = time.time()
+    got = {r["who"]: (r["chosen"], r["n_matches"]) for r in rows.chosen(items, asked, "nb").collect()}
+    assert time.time() - began < 60
+    for k in range(n):
+        if k % 10:
+            assert got[k] == ((str(2 * k), 1) if 2 * k < n else (None, 0))
+        else:
+            own = range(k % 3, n, 7)
+            assert got[k] == (str(min(own, key=lambda x: (x % 5, x))), len(own))
+
+
 def test_gates_of_framed_answers(spark):
     good, bad = '["x"]', "[oops"
     answers = ["", None, " \n ", good, f"5\n{good}", f"999\r\n{good}\r\n\r\n4\n{bad}", "\n".join([good] * 9 + [bad]), "\n".join([good] * 18 + [bad] * 2), "\n".join([good] * 17 + [bad] * 2), "\n".join([f"5\n{good}"] * 9 + ["5"]), "\n".join([f"5\n{good}"] * 8 + ["5"]), f"5\n\n{good}", "7\n8\n" + good, "\n".join([f"5\n{good}"] * 10 + [bad] + ["5"])]

@@ -40,17 +40,24 @@ def chosen(items: DataFrame, asked: DataFrame, group: str) -> DataFrame:
     """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     first = F.coalesce(F.col("earliest"), F.lit(False))
-    wanted = asked.select(F.col(group).alias("_g"), F.nullif(F.col("id"), F.lit("")).alias("_i"), low(F.col("name")).alias("_w"), first.alias("_e")).distinct()
+    named = asked.withColumns({"_a": F.nullif(F.col("id"), F.lit("")), "_b": low(F.col("name"))})
     i = items.select(F.col(group).alias("_g"), F.col("id").alias("_id"), low(F.col("title")).alias("_t"), F.coalesce("created_at", F.lit(0)).alias("_c"), "pos")
-    hit = F.when(F.col("_i").isNotNull(), F.col("_id") == F.col("_i")).otherwise(F.contains("_t", "_w"))
-    order = F.struct(F.when(F.col("_e"), F.col("_c")).otherwise(-F.col("_c")).alias("c"), "pos")
-    found = wanted.join(i, "_g").groupBy("_g", "_i", "_w", "_e").agg(F.count("*").alias("_all"), F.count(F.when(hit, 1)).alias("_n"), F.min_by("_id", F.when(hit, order)).alias("chosen"))
-    same = (F.col(group) == F.col("_g")) & F.nullif(F.col("id"), F.lit("")).eqNullSafe(F.col("_i")) & (low(F.col("name")) == F.col("_w")) & (first == F.col("_e"))
-    out = asked.join(found, same, "left").withColumn("n_matches", F.coalesce("_n", F.lit(0)))
+    ends = [F.min(F.struct("_c", "pos", "_id")).alias("_first"), F.min(F.struct(-F.col("_c"), "pos", "_id")).alias("_last")]
+    # An id is met by equality; a name is looked for in a group's distinct titles, not in every item.
+    ids = named.select(F.col(group).alias("_g"), F.col("_a").alias("_id")).distinct().join(i, ["_g", "_id"]).groupBy("_g", F.col("_id").alias("_i")).agg(F.count("*").alias("_n"), *ends)
+    titles = i.groupBy("_g", "_t").agg(F.count("*").alias("_n"), *ends)
+    words = named.where("_a IS NULL").select(F.col(group).alias("_g"), F.col("_b").alias("_w")).distinct()
+    hits = words.join(titles, "_g").where(F.contains("_t", "_w")).groupBy("_g", "_w").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.min("_last").alias("_last"))
+    there = titles.select("_g").distinct().withColumn("_all", F.lit(True))
+    out = named.join(there, F.col(group) == F.col("_g"), "left").drop("_g")
+    out = out.join(ids, (F.col(group) == F.col("_g")) & (F.col("_a") == F.col("_i")), "left").withColumnsRenamed({"_n": "_n_id", "_first": "_first_id", "_last": "_last_id"}).drop("_g")
+    out = out.join(hits, (F.col(group) == F.col("_g")) & F.col("_a").isNull() & (F.col("_b") == F.col("_w")), "left").drop("_g")
+    chosen_id = F.when(first, F.coalesce("_first_id", "_first")["_id"]).otherwise(F.coalesce("_last_id", "_last")["_id"])
+    out = out.withColumns({"chosen": chosen_id, "n_matches": F.coalesce("_n_id", "_n", F.lit(0))})
     n = F.col("n_matches")
     many = F.concat(F.when(first, "earliest of ").otherwise("latest of "), n.cast("string"))
     reason = F.when(n == 0, None).when(F.col("_i").isNotNull(), "matched by id").when(n > 1, many).otherwise(F.when(F.col("_w") != "", "matched by name").otherwise("only one"))
-    error = F.when(F.col("_all").isNull(), "nothing there").when((n == 0) & F.col("_i").isNotNull(), "id not found").when(n == 0, "no title matches")
+    error = F.when(F.col("_all").isNull(), "nothing there").when((n == 0) & F.col("_a").isNotNull(), "id not found").when(n == 0, "no title matches")
     return out.select(*asked.columns, "chosen", "n_matches", reason.alias("reason"), error.alias("error"))
 
 
