@@ -245,6 +245,18 @@ def test_labels_nothing_fits_get_near_names(spark):
     assert got == {"projct alpha": ("none", ["1a", "4d", "2b"]), "1A": ("id", None), "OTHER": ("none", ["3c"]), "qqqq": ("none", None), "project": ("none", ["1a", "2b", "4d"])}
 
 
+def test_beginnings_against_all_pairs(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda most: "".join(rng.choice("abé😀") for _ in range(rng.randint(0, most)))
+    tokens, items = sorted({word(8) for _ in range(150)}), [(k, word(10)) for k in range(300)] + [(300, None)]
+    spark.createDataFrame([(t,) for t in [*tokens, None]], "token string").write.parquet(f"{tmp_path}/tokens")
+    spark.createDataFrame(items, "id int, name string").write.parquet(f"{tmp_path}/items")
+    got = resolve.begun(spark.read.parquet(f"{tmp_path}/tokens"), spark.read.parquet(f"{tmp_path}/items"), "token", "name")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # rows made of names are many more than names
+    pairs = [(r["token"], r["id"]) for r in got.collect()]
+    assert sorted(pairs) == sorted((t, i) for t in tokens for i, n in items if t and n and n.startswith(t)) and len(pairs) > 500
+
+
 def test_labels_ids_before_names(spark):
     items = spark.createDataFrame([("abc1", "x"), ("abc2", "abc1"), ("ff", "abc"), ("ffe", "Name"), ("q", "Name"), ("r", "one")], "id string, name string")
     tokens = ["ABC1", "abc", "ff", "Name", "name", "one", "r", "zz", ""]

@@ -16,15 +16,23 @@ UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 SHOWN = 5
 
 
+#: Names and tokens meet by so many first characters before they meet by the whole token.
+HEAD = 4
+
+
 def begun(tokens: DataFrame, items: DataFrame, token: str, name: str) -> DataFrame:
     """Pairs of a token and an item whose name it begins: an equality join on the name's beginning of the token's length.
 
-    Only lengths that tokens have are made of each name; the lengths (no more than the longest name has characters) reach the driver.
+    Of each name only the lengths are made that tokens of the same first characters have. How many rows that gives can't be told
+    beforehand, so no side is sent whole to the tasks.
     """
-    most = items.agg(F.max(F.length(name))).first()[0] or 0
-    lengths = [r[0] for r in tokens.select(F.length(token)).distinct().where(F.length(token).between(1, most)).collect()]
-    parts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(name)), lambda n: F.substring(F.col(name), F.lit(1), n))
-    return tokens.join(items.withColumn("_k", F.explode(parts)), F.col(token) == F.col("_k")).drop("_k")
+    lengths = tokens.select(F.substring(token, 1, HEAD).alias("_h"), F.length(token).alias("_l")).where("_l > 0").groupBy("_h").agg(F.collect_set("_l").alias("_ls"))
+    col = F.col(name)
+    heads = F.transform(F.filter(F.array(*map(F.lit, range(1, HEAD + 1))), lambda n: n <= F.length(col)), lambda n: F.substring(col, F.lit(1), n))
+    near = items.withColumn("_h", F.explode(heads)).join(lengths.hint("merge"), "_h")
+    # Of a head that is shorter than others the only length is its own; tokens of others begin with a whole head.
+    parts = F.transform(F.filter("_ls", lambda n: n <= F.length(col)), lambda n: F.substring(col, F.lit(1), n))
+    return tokens.join(near.withColumn("_k", F.explode(parts)).drop("_h", "_ls").hint("merge"), F.col(token) == F.col("_k")).drop("_k")
 
 
 def by_id(tokens: DataFrame, items: DataFrame) -> DataFrame:
@@ -32,7 +40,7 @@ def by_id(tokens: DataFrame, items: DataFrame) -> DataFrame:
     t = tokens.select("token", F.lower(text.strip("token")).alias("_t")).distinct()
     hits = begun(t.where("_t <> ''"), items.select("id", F.lower("id").alias("_i")), "_t", "_i")
     found = hits.groupBy("token").agg(F.min(F.when(F.col("_t") == F.col("_i"), F.col("id"))).alias("_exact"), F.count("*").alias("_n"), F.min("id").alias("_one"))
-    out = t.join(found, "token", "left")
+    out = t.join(found.hint("merge"), "token", "left")
     uuid = F.col("_t").rlike(UUID)
     verdict = F.when(uuid, "passthrough").when(F.col("_exact").isNotNull(), "exact").when(F.col("_n") == 1, "prefix").when(F.col("_n") > 1, "ambiguous").otherwise("none")
     return out.select("token", verdict.alias("verdict"), F.when(uuid, F.col("_t")).when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.col("_n") == 1, F.col("_one")).alias("id"))
@@ -54,7 +62,7 @@ def by_label(tokens: DataFrame, items: DataFrame) -> DataFrame:
     hits = begun(t.where("_t <> ''"), items.select("id", F.lower("id").alias("_i")), "_t", "_i")
     ids = hits.groupBy("token").agg(F.min(F.when(F.col("_t") == F.col("_i"), F.col("id"))).alias("_exact"), F.count("*").alias("_n"), F.min("id").alias("_one"))
     names = items.groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("_m"), F.min("id").alias("_named"))
-    out = t.join(ids, "token", "left").join(names, text.strip("token") == F.col("_name"), "left")
+    out = t.join(ids.hint("merge"), "token", "left").join(names.hint("merge"), text.strip("token") == F.col("_name"), "left")
     cases = [(F.col("_exact").isNotNull(), "id", "_exact"), (F.col("_n") == 1, "prefix", "_one"), (F.col("_n") > 1, "ambiguous_id", None), (F.col("_m") == 1, "name", "_named"), (F.col("_m") > 1, "ambiguous_name", None)]
     verdict, found = F.lit("none"), F.lit(None).cast("string")
     for when, name, col in reversed(cases):
