@@ -239,6 +239,31 @@ def test_similar_titles_of_ten_thousand(spark):
     assert got == want and len(want) > 15
 
 
+def test_nearest_are_the_best_of_all_pairs(spark):
+    rng = random.Random(5)
+    names_ = sorted({"".join(rng.choice("abcé😀") for _ in range(rng.randint(1, 9))) for _ in range(300)})
+    tokens = sorted({"".join(rng.choice("abcé😀") for _ in range(rng.randint(1, 9))) + rng.choice(["", "!"]) for _ in range(60)})
+    t, n = spark.createDataFrame([(x,) for x in tokens], "_t string"), spark.createDataFrame([(x,) for x in names_], "_f string")
+    every = {(x, y): r for x in tokens for y in names_ if (r := difflib.SequenceMatcher(None, y, x).ratio()) >= 0.6}
+    for limit in (1, 3):
+        got = {(r["_t"], r["_f"]): r["_s"] for r in resolve.nearest(t, n, limit).collect()}
+        assert got.items() <= every.items()
+        for x in tokens:
+            best = lambda of: sorted(((s, f) for (y, f), s in of.items() if y == x), reverse=True)[:limit]  # noqa: B023, E731
+            assert best(got) == best(every)
+
+
+def test_close_names_are_not_held_against_all(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(resolve, "similar", fail)
+    items = spark.range(3000).selectExpr("CAST(id AS STRING) AS id", "concat('large ring ', id) AS title", "id AS pos")
+    tokens = spark.range(3000).selectExpr("IF(id % 2 = 0, upper(concat('large ring ', id)), concat('large ring ', id, '!')) AS token")
+    got = {r["token"]: r["id"] for r in resolve.near_misses(tokens, items, 1).collect()}
+    assert got == {f"LARGE RING {k}" if k % 2 == 0 else f"large ring {k}!": str(k) for k in range(3000)}
+
+
 def test_labels_nothing_fits_get_near_names(spark):
     labels = spark.createDataFrame([("1a", "Project Alpha"), ("2b", "project beta"), ("3c", "Other"), ("4d", "Project Alpha")], "id string, name string")
     got = {r["token"]: (r["verdict"], r["near_ids"]) for r in resolve.labelled_or_near(spark.createDataFrame([("projct alpha",), ("1A",), ("OTHER",), ("qqqq",), ("project",)], "token string"), labels).collect()}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import stored
 
 UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 SHOWN = 5
@@ -94,6 +95,35 @@ def numbered_characters(title: str) -> list[str]:
     return out
 
 
+def scored(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """_t, _f, _s: the pairs of texts whose ratio is at least cutoff; the matcher sees those that the counts of characters still admit."""
+
+    def counts(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct text how often each class of characters occurs, and which of them each row is."""
+        at, distinct = pd.factorize(texts)
+        table = np.zeros((len(distinct), CLASSES), np.int32)
+        for k, text_ in enumerate(distinct):
+            np.add.at(table[k], [ord(c) % CLASSES for c in text_], 1)
+        return table, at
+
+    @F.pandas_udf("double")
+    def ratio(tokens: pd.Series, titles: pd.Series) -> pd.Series:
+        (a, i), (b, j) = counts(tokens), counts(titles)
+        both = np.minimum(a[i], b[j]).sum(1)
+        size = a.sum(1)[i] + b.sum(1)[j]
+        out = np.zeros(len(tokens))
+        s, last = difflib.SequenceMatcher(), None
+        for k in np.flatnonzero(2.0 * both >= cutoff * size):
+            if tokens.iloc[k] != last:
+                last = tokens.iloc[k]
+                s.set_seq2(last)
+            s.set_seq1(titles.iloc[k])
+            out[k] = s.ratio() if s.quick_ratio() >= cutoff else 0.0
+        return pd.Series(out)
+
+    return pairs.withColumn("_s", ratio("_t", "_f")).where(F.col("_s") >= cutoff)
+
+
 def similar(tokens: DataFrame, names: DataFrame, cutoff: float = 0.6) -> DataFrame:
     """_t, _f, _s: the pairs of a text of tokens and one of names whose ratio (twice the matching characters by both lengths) is at least cutoff; both distinct.
 
@@ -124,55 +154,70 @@ def similar(tokens: DataFrame, names: DataFrame, cutoff: float = 0.6) -> DataFra
     met = t.withColumn("_c", F.explode("_p")).join(n.withColumn("_c", F.explode("_q")), "_c").where(fits)
     met = met.where(F.array_intersect("_p", "_q")[0] == F.col("_c")).select("_t", "_f")
 
-    def counts(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        """Of each distinct text how often each class of characters occurs, and which of them each row is."""
-        at, distinct = pd.factorize(texts)
-        table = np.zeros((len(distinct), CLASSES), np.int32)
-        for k, text_ in enumerate(distinct):
-            np.add.at(table[k], [ord(c) % CLASSES for c in text_], 1)
-        return table, at
+    return scored(met, cutoff)
+
+
+def closest(tokens: DataFrame, names: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """similar(), but of pairs only whose multisets of characters are equal or differ by one character that one of them has more.
+
+    All other pairs have a ratio of at most n / (n + 1), n being the token's characters. Texts meet by equal sums of hashes of their
+    characters, with all or with all but one of them, so the work grows with the texts, not with the pairs of them.
+    """
+
+    def hashes(text_: str) -> np.ndarray:
+        x = np.frombuffer(text_.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(27))
+
+    @F.pandas_udf("long")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([hashes(t).sum().view(np.int64) for t in texts], dtype="int64")
+
+    @F.pandas_udf("array<long>")
+    def lessened(texts: pd.Series) -> pd.Series:
+        own = map(hashes, texts)
+        return pd.Series([np.unique(h.sum() - h).view(np.int64) for h in own], dtype=object)
+
+    t, n = tokens.select("_t", whole("_t").alias("_k")), names.select("_f", whole("_f").alias("_k"))
+    fewer = lambda df, c: df.select(c, F.explode(lessened(c)).alias("_k"))
+    met = [a.join(b.hint("merge"), "_k").select("_t", "_f") for a, b in ((t, n), (fewer(tokens, "_t"), n), (t, fewer(names, "_f")))]
+    return scored(met[0].unionByName(met[1]).unionByName(met[2]).distinct(), cutoff)
 
-    @F.pandas_udf("double")
-    def ratio(tokens: pd.Series, titles: pd.Series) -> pd.Series:
-        (a, i), (b, j) = counts(tokens), counts(titles)
-        both = np.minimum(a[i], b[j]).sum(1)
-        size = a.sum(1)[i] + b.sum(1)[j]
-        out = np.zeros(len(tokens))
-        s, last = difflib.SequenceMatcher(), None
-        for k in np.flatnonzero(2.0 * both >= cutoff * size):
-            if tokens.iloc[k] != last:
-                last = tokens.iloc[k]
-                s.set_seq2(last)
-            s.set_seq1(titles.iloc[k])
-            out[k] = s.ratio() if s.quick_ratio() >= cutoff else 0.0
-        return pd.Series(out)
 
-    return met.withColumn("_s", ratio("_t", "_f")).where(F.col("_s") >= cutoff)
+def nearest(tokens: DataFrame, names: DataFrame, limit: int, cutoff: float = 0.6) -> DataFrame:
+    """Pairs of similar(), of each token the ``limit`` best at least; only tokens that have fewer among the closest are held against all names."""
+    first = stored(closest(tokens, names, cutoff), "closest")
+    n = F.length("_t")
+    settled = first.where(F.col("_s") > n / (n + 1) + 1e-9).groupBy("_t").agg(F.count("*").alias("_n")).where(F.col("_n") >= limit).select("_t")
+    rest = stored(tokens.join(settled.hint("merge"), "_t", "left_anti"), "rest")
+    return first if rest.isEmpty() else first.join(rest.hint("merge"), "_t", "left_anti").unionByName(similar(rest, names, cutoff))
 
 
 def near_misses(tokens: DataFrame, items: DataFrame, limit: int = 3, cutoff: float = 0.6) -> DataFrame:
     """token, rank, id, title of up to ``limit`` items: titles the token begins in input order, then similar ones, best first.
 
-    Titles are compared folded; distinct ones are scored once, and the prefix pass is a join on equal beginnings.
+    Titles are compared folded; distinct ones are scored once, and the prefix pass is a join on equal beginnings. What it fills isn't scored.
     """
     t = tokens.select("token").distinct().withColumn("_t", text.folded("token")).where("_t <> ''")
     i = items.where(F.coalesce("title", F.lit("")) != "").select("id", "title", "pos", text.folded("title").alias("_f"))
     prefix = begun(t, i, "_t", "_f").select("token", "id", "title", F.lit(0).alias("_pass"), F.lit(0.0).alias("_s"), F.lit("").alias("_f"), "pos")
-    best = similar(t.select("_t").distinct(), i.select("_f").distinct(), cutoff)
+    full = prefix.select("token", "id").distinct().groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") >= limit)
+    open_ = stored(t.join(full.hint("merge"), "token", "left_anti"), "open")
+    best = nearest(open_.select("_t").distinct(), i.select("_f").distinct(), limit, cutoff)
     best = best.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("_s"), F.desc("_f")))).where(F.col("_n") <= limit)
     # Of each title no more than the first ids can be shown, once those of the prefix pass are put aside.
     first = i.groupBy("_f", "id").agg(F.min_by(F.struct("title", "pos"), "pos").alias("_i")).select("_f", "id", "_i.*")
     few = first.withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy("pos"))).where(F.col("_n") <= 2 * limit).drop("_n")
-    fuzzy = t.join(best, "_t").drop("_n").join(few, "_f").select("token", "id", "title", F.lit(1).alias("_pass"), "_s", "_f", "pos")
+    fuzzy = open_.join(best, "_t").drop("_n").join(few, "_f").select("token", "id", "title", F.lit(1).alias("_pass"), "_s", "_f", "pos")
     order = ["_pass", F.desc("_s"), F.desc("_f"), "pos"]
     once = prefix.unionByName(fuzzy).withColumn("_d", F.row_number().over(Window.partitionBy("token", "id").orderBy(*order))).where("_d = 1")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("rank") <= limit).select("token", "rank", "id", "title")
 
 
-def labelled_or_near(tokens: DataFrame, labels: DataFrame) -> DataFrame:
-    """by_label(), and for tokens that nothing fits the near misses by name: near_ids, best first (at most three; else null)."""
-    found = by_label(tokens, labels)
+def labelled_or_near(tokens: DataFrame, labels: DataFrame, limit: int = 3) -> DataFrame:
+    """by_label(), and for tokens that nothing fits the near misses by name: near_ids, best first (at most ``limit``; else null)."""
+    found = stored(by_label(tokens, labels), "found")
     order = labels.select("id", F.col("name").alias("title"), F.col("id").alias("pos"))
-    near = near_misses(found.where("verdict = 'none'").select("token"), order)
+    near = near_misses(found.where("verdict = 'none'").select("token"), order, limit)
     listed = near.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("near_ids"))
     return found.join(listed, "token", "left")
