@@ -6,6 +6,7 @@ import re
 import time
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -399,6 +400,14 @@ def test_markdown_sources_are_not_escaped():
     assert markdown.markdown("<p># a_b *c*</p>", 8) == "# a_b *c*" and markdown.markdown("<p>a_b</p>", 5) == "a\\_b" and markdown.markdown(None) is None
 
 
+def test_markdown_of_cut_entities_against_its_sql(spark, tmp_path):
+    pages = [(k, "u", h) for k, h in enumerate(["<h1>a &amp;&amp</h1><p>b</p>", "<p>x &lt y &gt; &quot z &copy 1 &middot</p>", "<p>&am &l &ampx &amplt; &amp;lt &amp;lt;</p>", '<a href="/b">R&amp</a>'])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["markdown"] for r in catalog.QUERIES["a8_markdown"](spark, str(tmp_path)).collect()}
+    want = dict(duckdb.connect().execute(f"WITH pages AS (SELECT * FROM '{tmp_path}/pages.parquet/*.parquet') {catalog.ORACLES['a8_markdown']}").fetchall())
+    assert got == want and got[0] == "# a &&\n\nb"
+
+
 def test_csv_lines(spark):
     df = spark.createDataFrame([(1, '[[0, 9, [["a\\"b"], ["c"]]], [9, 20, [["x"], ["y,z"]]]]'), (2, "[[0]]"), (3, "oops")], "table_id int, payload string")
     got = sorted(map(tuple, payloads.csv_lines(payloads.cells(df)).collect()))

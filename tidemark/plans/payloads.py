@@ -185,10 +185,10 @@ def _by_token(sql: str, pattern: str, otherwise: str, within: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({sql}, '{pattern}|[^$]+|[$]'), lambda t: CASE WHEN t LIKE '$_%' THEN {within} ELSE {otherwise} END), '')"
 
 
-#: The tags of the pages at hand, by patterns: heads and comments out, white space to one blank, signs escaped outside of math, then tag by tag.
+#: The tags of the pages at hand, by patterns: heads and comments out, white space to one blank, signs escaped outside of math, then tag by tag. These entities are HTML's old ones, which stand without their semicolon too.
 TEXT_SQL = _replaced("html", ("(?s)<head>.*?</head>", ""), ("(?s)<!--.*?-->|<![^>]*>", ""), (r"\s+", " "))
 ESCAPED_SQL = f"CASE WHEN page_id % 8 = 0 THEN {TEXT_SQL} ELSE {_by_token(TEXT_SQL, '[$][$][^<]+?[$][$]|[$][^$<]+[$]', _replaced('t', (r'([\\*_`\[\]])', chr(92) * 2 + chr(92) + '1')), 't')} END"
-TAGS_SQL = _replaced(ESCAPED_SQL, ('<a href="([^"]*)">(.*?)</a>', r"[\2](\1)"), ("<h1>", "\n\n# "), ("</?b>", "**"), ("<br>", "  \n"), ("<li>", "\n- "), ("</?(?:ul|h1|p|div|article|nav|footer)(?: [^>]*)?>", "\n\n"), ("<[^>]*>", ""), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+TAGS_SQL = _replaced(ESCAPED_SQL, ('<a href="([^"]*)">(.*?)</a>', r"[\2](\1)"), ("<h1>", "\n\n# "), ("</?b>", "**"), ("<br>", "  \n"), ("<li>", "\n- "), ("</?(?:ul|h1|p|div|article|nav|footer)(?: [^>]*)?>", "\n\n"), ("<[^>]*>", ""), ("&copy;?", "©"), ("&middot;?", "·"), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&amp;?", "&"))
 TAGS_SQL = _by_token(TAGS_SQL, r"[$][^$\n]*[$]", "t", _replaced("t", (r"\\([*_])", r"\1")))
 LINES_SQL = f"array_to_string(list_transform(string_split({TAGS_SQL}, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^ *(-|[0-9]+[.]) |  $') THEN x ELSE trim(x) END), chr(10))"
 
