@@ -170,6 +170,22 @@ def test_adding_no_members_is_refused(spark):
         membership.added(bridge, bridge.limit(0))
 
 
+def test_a_label_list_holds_no_texts(spark, tmp_path, monkeypatch):
+    docs = [(k, "x" * 5000 if k % 4 else None) for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    longest, plain = [], membership.listed
+
+    def listed(bridge, items, title):
+        longest.append(items.agg(F.max(F.octet_length(F.col(title).cast("string")))).first()[0])
+        return plain(bridge, items, title)
+
+    monkeypatch.setattr(membership, "listed", listed)
+    got = catalog.QUERIES["c20_label_list"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("quality", 20, ",".join(f"d{k}" for k in range(1, 40, 2)), 20)]
+    assert longest[0] < 10
+
+
 def test_tables_without_a_header(spark):
     rows_ = [(1, '[[0, 9, [["h"]]], [9, 20, [["x"]]]]'), (2, "[[0, 9]]"), (3, "[]"), (4, "oops"), (5, '[[1], [0, 9, [["late"]]]]'), (6, None), (7, '[[0, 9, [["h"]]]]')]
     df = spark.createDataFrame(rows_, "table_id int, payload string")

@@ -178,7 +178,9 @@ def c18_unlabelled(s, d):
 
 @query(f"WITH {V.FULLTEXT}, {V.BRIDGE} SELECT label_id, count(*) AS n_members, string_agg(source_id, ',' ORDER BY pos) AS ids, count(content) AS n_titled FROM bridge LEFT JOIN fulltext USING (source_id) GROUP BY label_id")
 def c20_label_list(s, d):
-    m = membership.listed(V.label_bridge(s, d), V.fulltext(s, d), "content")
+    """Of a member's title the list shows only whether there is one: a list need not hold whole texts."""
+    titled = V.fulltext(s, d).select("source_id", F.when(F.col("content").isNotNull(), True).alias("titled"))
+    m = membership.listed(V.label_bridge(s, d), titled, "titled")
     return m.select("label_id", "n_members", F.array_join("ids", ",").alias("ids"), F.size(F.filter("titles", lambda t: t.isNotNull())).cast("long").alias("n_titled"))
 
 
